@@ -12,12 +12,15 @@ are packed by first fit. A full bin of class length s wastes capacity mod s, few
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,22 +39,60 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# fixed values: the tokenizer's own pattern of what is tokenised by itself, for plain and for Latin letters
+_PLAIN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_IS_PLAIN, _IS_LATIN = re.compile(rb"[!-~]*").fullmatch, re.compile("[!-~\u00c0-\u024f]*").fullmatch
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones for themselves, the others in order from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes, as the tokenizer gives them for the whole text.
 
-    The tokenizer lower-cases and never joins tokens over white space; so texts are cut there, A-Z is lowered and every
-    different chunk is encoded once. Texts with "<|" may hold a special token's string and go to the tokenizer whole.
+    The tokenizer lower-cases and never joins tokens over white space, nor over the parts its pattern cuts a word into.
+    So texts are cut at ASCII white space, A-Z is lowered, and every different chunk is looked up; a new one of plain or
+    Latin letters is cut into those parts and every different part goes through the BPE model once. Other new chunks,
+    and texts with "<|", which may hold a special token's string, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
 
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        return [_packed(e.ids) for e in encoded]
+
+    def _part(self, part: bytes) -> bytes:
+        text = part.decode() if part.isascii() else "".join(map(self.letters.__getitem__, part))
+        ids = self.parts[part] = _packed([t.id for t in self.model.tokenize(text)])
+        return ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        known, find, rest = self.known, self.parts.get, []
+        for c in new:
+            if _IS_PLAIN(c):
+                parts = _PLAIN.findall(c)
+            else:
+                text = c.decode("utf-8", "replace")
+                if not _IS_LATIN(text):
+                    rest.append(c)
+                    continue
+                parts = [x.encode() for x in _LATIN.findall(text.lower())]
+            known[c] = b"".join([find(x) or self._part(x) for x in parts])
+        known.update(zip(rest, self._whole(rest), strict=True))
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -60,13 +101,17 @@ class Encoder:
             chunks = [None if b"<|" in t else t.lower().split() for t in block]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            new = list({c for words in chunks if words for c in words if c not in self.known})
-            self.known.update(zip(new, self._ids(new), strict=True))
+            seen = {c for words in chunks if words for c in words}
+            self._learn([c for c in seen if c not in self.known])
             find = self.known.__getitem__
-            out += [self._ids([t])[0] if words is None else b"".join(map(find, words)) for t, words in zip(block, chunks, strict=True)]
+            out += [self._whole([t])[0] if words is None else b"".join(map(find, words)) for t, words in zip(block, chunks, strict=True)]
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for the file; it stays for later tasks."""
     if path not in _tokenizers:
