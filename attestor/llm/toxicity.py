@@ -42,12 +42,14 @@ def features_of(word: bytes) -> list[int]:
 
 
 def _features(batches):
+    """A row's different features, ascending, and how many words have each, three at most."""
     for b in batches:
-        lists = []
+        names, counts = [], []
         for x in b.column("bytes"):
-            words = words_of(x.as_py())
-            lists.append(np.sort(np.array([f for w in words for f in features_of(w)], dtype=np.int32)))
-        yield pa.record_batch([b.column("grade"), pa.array(lists, pa.list_(pa.int32()))], names=["grade", "features"])
+            n, c = np.unique(np.array([f for w in words_of(x.as_py()) for f in features_of(w)], dtype=np.int32), return_counts=True)
+            names.append(n)
+            counts.append(np.minimum(c, 3).astype(np.int8))
+        yield pa.record_batch([b.column("grade"), pa.array(names, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int8()))], names=["grade", "features", "counts"])
 
 
 class Ordinal:
@@ -57,27 +59,24 @@ class Ordinal:
         self.weights, self.cuts, self.known = weights, cuts, {}
 
     @classmethod
-    def fit(cls, grades: np.ndarray, share: np.ndarray, lists: list[np.ndarray], top: int, rounds: int = 300, penalty: float = PENALTY) -> Ordinal:
-        """grades 0 to top; share: the documents each stands for; lists: feature hashes, repeated as often as words have them."""
+    def fit(cls, grades: np.ndarray, share: np.ndarray, sizes: np.ndarray, features: np.ndarray, counts: np.ndarray, top: int, rounds: int = 300, penalty: float = PENALTY) -> Ordinal:
+        """grades 0 to top; share: the documents each stands for; sizes: the features of each; features and counts: those of all, one after the other."""
         n = len(grades)
-        rows = np.repeat(np.arange(n), [len(x) for x in lists])
-        every = np.concatenate(lists) if n else np.empty(0, np.int32)
-        cell, count = np.unique(rows.astype(np.int64) << BITS | every, return_counts=True)
-        rows, every = cell >> BITS, cell & ((1 << BITS) - 1)
         share = share / share.sum()
-        names, column = np.unique(every, return_inverse=True)
-        seen = np.bincount(column)
-        hit = np.bincount(column, weights=share[rows] * (grades[rows] > 0))
-        base = np.bincount(column, weights=share[rows])
+        rows = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        seen = np.bincount(features, minlength=1 << BITS)
+        hit = np.bincount(features, weights=(share * (grades > 0))[rows], minlength=1 << BITS)
+        base = np.bincount(features, weights=share[rows], minlength=1 << BITS)
         rate = float((share * (grades > 0)).sum())
-        gain = np.abs(hit - rate * base) / np.sqrt(base + 1e-12)
-        gain[seen < LEAST] = -1
+        gain = np.where(seen >= LEAST, np.abs(hit - rate * base) / np.sqrt(base + 1e-12), -1)
         chosen = np.argsort(-gain, kind="stable")[:FEATURES]
         chosen = np.sort(chosen[gain[chosen] >= 0])
-        place = np.full(len(names), -1)
-        place[chosen] = np.arange(len(chosen))
-        use = place[column] >= 0
-        rows, column, value = rows[use], place[column[use]], np.minimum(count[use], 3).astype(np.float64)
+        del seen, hit, base, gain
+        place = np.full(1 << BITS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen), dtype=np.int32)
+        column = place[features]
+        use = column >= 0
+        rows, column, value = rows[use], column[use], counts[use].astype(np.float64)
         weights = np.zeros(len(chosen))
         # cuts start at the grades' shares, smoothed so that a grade without documents has a finite cut
         above = np.array([(share * (grades >= k)).sum() for k in range(1, top + 1)])
@@ -106,7 +105,7 @@ class Ordinal:
                 cut_slope = float((share * (np.where(up, 1.0, 0.0) - np.where(down, 1.0, 0.0)) * at * (1 - at) / chance).sum())
                 cuts[k] -= 2.0 * cut_slope
             cuts = np.maximum.accumulate(cuts + np.arange(top) * 1e-9)
-        return cls({int(names[c]): float(w) for c, w in zip(chosen, weights, strict=True) if w}, cuts)
+        return cls({int(c): float(w) for c, w in zip(chosen, weights, strict=True) if w}, cuts)
 
     def weight(self, word: bytes) -> float:
         get = self.weights.get
@@ -142,14 +141,15 @@ def train(docs: DataFrame, graded: DataFrame, train_docs: int = TRAIN_DOCS) -> O
     rank = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = ids.withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("doc_id", "grade").distinct()
     sample = docs.select("doc_id", text_bytes().alias("bytes")).join(F.broadcast(chosen), "doc_id")  # at most train_docs ids a grade
-    got = sample.select("grade", "bytes").mapInArrow(_features, "grade int, features array<int>").toArrow()
+    got = sample.select("grade", "bytes").mapInArrow(_features, "grade int, features array<int>, counts array<tinyint>").toArrow().combine_chunks()
+    # rows in an order of their own, whatever that of the partitions
+    marks = [zlib.crc32(x.values.to_numpy()) for x in got["features"]]
+    got = got.take(np.lexsort((marks, got["grade"].to_numpy()))).combine_chunks()
     grades = got["grade"].to_numpy().astype(np.int64)
-    lists = [x.values.to_numpy().astype(np.int64) for x in got["features"]]
-    order = sorted(range(len(grades)), key=lambda i: (grades[i], zlib.crc32(lists[i].tobytes()), len(lists[i])))  # whatever the order of partitions
-    grades, lists = grades[order], [lists[i] for i in order]
-    count = np.bincount(grades)
-    share = np.array([found[g] / count[g] for g in grades.tolist()])
-    return Ordinal.fit(grades, share, lists, int(grades.max()))
+    lists, counts = got["features"].combine_chunks(), got["counts"].combine_chunks()
+    per_grade = np.bincount(grades)
+    share = np.array([found[g] / per_grade[g] for g in grades.tolist()])
+    return Ordinal.fit(grades, share, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), counts.flatten().to_numpy(), int(grades.max()))
 
 
 def _graded(model, threshold: float):
