@@ -52,59 +52,55 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+class _Chunks(dict):
+    """Ids by chunk; a chunk that is new is encoded when it is first looked up."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.parts, self.letters = tokenizer, tokenizer.model, {}, _byte_letters()
+
+    def whole(self, text: bytes) -> bytes:
+        return _packed(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def _part(self, part: bytes) -> bytes:
+        text = part.decode() if part.isascii() else "".join(map(self.letters.__getitem__, part))
+        ids = self.parts[part] = _packed([t.id for t in self.model.tokenize(text)])
+        return ids
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if _IS_PLAIN(chunk):
+            parts = _PLAIN.findall(chunk)
+        else:
+            text = chunk.decode("utf-8", "replace")
+            parts = [x.encode() for x in _LATIN.findall(text.lower())] if _IS_LATIN(text) else None
+        find = self.parts.get
+        ids = self[chunk] = self.whole(chunk) if parts is None else b"".join([find(x) or self._part(x) for x in parts])
+        return ids
+
+
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes, as the tokenizer gives them for the whole text.
 
     The tokenizer lower-cases and never joins tokens over white space, nor over the parts its pattern cuts a word into.
-    So texts are cut at ASCII white space, A-Z is lowered, and every different chunk is looked up; a new one of plain or
-    Latin letters is cut into those parts and every different part goes through the BPE model once. Other new chunks,
-    and texts with "<|", which may hold a special token's string, go through the whole tokenizer.
+    So texts are cut at ASCII white space, A-Z is lowered, and every chunk is looked up; a new one of plain or Latin
+    letters is cut into those parts and every different part goes through the BPE model once. Other new chunks, and
+    texts with "<|", which may hold a special token's string, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-
-    def _whole(self, texts: list[bytes]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [_packed(e.ids) for e in encoded]
-
-    def _part(self, part: bytes) -> bytes:
-        text = part.decode() if part.isascii() else "".join(map(self.letters.__getitem__, part))
-        ids = self.parts[part] = _packed([t.id for t in self.model.tokenize(text)])
-        return ids
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        known, find, rest = self.known, self.parts.get, []
-        for c in new:
-            if _IS_PLAIN(c):
-                parts = _PLAIN.findall(c)
-            else:
-                text = c.decode("utf-8", "replace")
-                if not _IS_LATIN(text):
-                    rest.append(c)
-                    continue
-                parts = [x.encode() for x in _LATIN.findall(text.lower())]
-            known[c] = b"".join([find(x) or self._part(x) for x in parts])
-        known.update(zip(rest, self._whole(rest), strict=True))
+        self.known = _Chunks(Tokenizer.from_file(path))
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            block = [t or b"" for t in texts[at : at + 256]]
-            chunks = [None if b"<|" in t else t.lower().split() for t in block]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            seen = {c for words in chunks if words for c in words}
-            self._learn([c for c in seen if c not in self.known])
-            find = self.known.__getitem__
-            out += [self._whole([t])[0] if words is None else b"".join(map(find, words)) for t, words in zip(block, chunks, strict=True)]
+        known, out = self.known, []
+        for t in texts:
+            if len(known) > REMEMBERED:
+                known.clear()
+            if len(known.parts) > REMEMBERED:
+                known.parts.clear()
+            t = t or b""
+            out.append(known.whole(t) if b"<|" in t else b"".join(map(known.__getitem__, t.lower().split())))
         return out
 
 
