@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than ASCII white space.
@@ -83,3 +84,20 @@ def has_columns(df: DataFrame, names: Sequence[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
+
+
+def first_by_hash(rows: DataFrame, kind: str, count: int, key: str = "doc_id") -> DataFrame:
+    """Of each kind, the `count` rows first by a hash of key; all if it has no more. Kinds are classes of labels: few.
+
+    The kinds are counted first, and only rows whose hash lies in the share of its range that should hold `count` rows,
+    and some to spare, are ranked: however many rows a kind has, no task sees many more than `count` of them.
+    """
+    sizes = {r[kind]: r["n"] for r in rows.groupBy(kind).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return rows
+    span = float(1 << 62)
+    limits = [(k, int(span * min(1.0, (count + 8 * count**0.5 + 50) / n))) for k, n in sizes.items()]
+    limit = functools.reduce(lambda out, x: out.when(F.col(kind) == x[0], x[1]), limits[1:], F.when(F.col(kind) == limits[0][0], limits[0][1]))
+    turn = F.shiftrightunsigned(F.xxhash64(key), 2)
+    rank = F.row_number().over(Window.partitionBy(kind).orderBy("turn__", key))
+    return rows.withColumn("turn__", turn).filter(F.col("turn__") <= limit).withColumn("rank__", rank).filter(F.col("rank__") <= count).drop("turn__", "rank__")

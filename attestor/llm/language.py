@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import has_columns, text_bytes
+from attestor.llm.common import first_by_hash, has_columns, text_bytes
 
 #: Documents a language is learned from, at most; those first by a hash of doc_id.
 TRAIN_DOCS = 400
@@ -141,9 +141,8 @@ class Model:
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, table_bytes: int = TABLE_BYTES) -> Model | None:
     """A model from documents with text and lang that aren't held out; None if there are none. At most train_docs documents a language are read."""
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # at most train_docs ids a language
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("doc_id", F.col("lang").alias("chosen")).distinct()
+    chosen = first_by_hash(labelled.select("doc_id", "lang"), "lang", train_docs).select("doc_id", F.col("lang").alias("chosen")).distinct()
     rows = labelled.select("doc_id", "lang", text_bytes().alias("bytes")).join(F.broadcast(chosen), "doc_id").filter("lang = chosen").select("lang", "bytes")
     grams = rows.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = grams.toArrow()  # bounded by the chosen documents

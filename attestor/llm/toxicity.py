@@ -15,10 +15,10 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import has_columns, text_bytes
+from attestor.llm.common import first_by_hash, has_columns, text_bytes
 
 #: Labelled documents of one grade that the model learns from, at most; those first by a hash of doc_id.
 TRAIN_DOCS = 4000
@@ -26,7 +26,7 @@ TRAIN_DOCS = 4000
 BITS, FEATURES = 22, 20_000
 #: Occurrences a feature needs; the penalty, as a share of the mean loss's slope.
 LEAST, PENALTY = 3, 2e-4
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _EDGES = b".,!?;:\"'()[]{}*&%$#|<>-_=+~`/\\"
 
 
@@ -138,8 +138,7 @@ def train(docs: DataFrame, graded: DataFrame, train_docs: int = TRAIN_DOCS) -> O
     found = {r["grade"]: r["n"] for r in ids.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if len(found) < 2:
         return None
-    rank = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("doc_id", "grade").distinct()
+    chosen = first_by_hash(ids, "grade", train_docs).select("doc_id", "grade").distinct()
     sample = docs.select("doc_id", text_bytes().alias("bytes")).join(F.broadcast(chosen), "doc_id")  # at most train_docs ids a grade
     got = sample.select("grade", "bytes").mapInArrow(_features, "grade int, features array<int>, counts array<tinyint>").toArrow().combine_chunks()
     # rows in an order of their own, whatever that of the partitions
