@@ -89,7 +89,9 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints `fp` (long) that connect exactly those within Hamming distance 2."""
-    cells = fps.mapInArrow(_spread(popcount_cells), "fp long, cell long")
+    # small rows become many: dealt out, or a few tasks would do all of it
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = fps.repartition(parts, "fp").mapInArrow(_spread(popcount_cells), "fp long, cell long")
     near = cells.join(_shared(cells), "cell", "left_semi").select("fp").distinct()
     mids = checkpointed(near).mapInArrow(_spread(hamming_midpoints), "fp long, cell long")
     return mids.join(_shared(mids), "cell").filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
@@ -124,7 +126,7 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     rows, classes = _classified(docs)
     first = rows.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("one")).select(F.col("one.doc_id").alias("kept_id"), F.col("one.th").alias("kept_th"))
     # the texts move once, by document
-    th = F.xxhash64("text")
-    joined = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]) & (th == first["kept_th"]))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    joined = whole.join(first, whole["id"].eqNullSafe(first["kept_id"]) & (whole["th"] == first["kept_th"]))
     rank = F.row_number().over(Window.partitionBy("kept_id", "kept_th").orderBy(F.lit(1)))
-    return joined.withColumn("kept_rank", rank).filter("kept_rank = 1").select(*(docs[c] for c in docs.columns))
+    return joined.withColumn("rank", rank).filter("rank = 1").select("row.*")
