@@ -30,16 +30,16 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2) -> dict:
-    """The words each source should give: sources in order of code point, null last, weigh by turns and share `share` of all words; none goes over `most` times its words, and what is over is shared anew by weight."""
+def targets(sizes: dict, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, total: int | None = None) -> dict:
+    """The words each source should give: sources in order of code point, null last, weigh by turns and share `share` of all words (`total`, if sources overlap); none goes over `most` times its words, and what is over is shared anew by weight."""
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weigh = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    open_, out, left = list(names), {}, share * sum(sizes.values())
+    open_, out, left = list(names), {}, share * (sum(sizes.values()) if total is None else total)
     while open_:
-        total = sum(weigh[s] for s in open_)
-        over = [s for s in open_ if left * weigh[s] > most * sizes[s] * total]
+        whole = sum(weigh[s] for s in open_)
+        over = [s for s in open_ if left * weigh[s] > most * sizes[s] * whole]
         if not over:
-            out.update({s: left * weigh[s] / total for s in open_})
+            out.update({s: left * weigh[s] / whole for s in open_})
             break
         for s in over:
             out[s] = Fraction(most * sizes[s])
@@ -110,20 +110,12 @@ def seeded(seed: int, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 1)
 
 
-def mix(docs: DataFrame, sources: str = "sources", keep: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 42, exact: bool = True) -> DataFrame:
-    """The rows' `keep` columns with size, pattern (JSON), source_size, target and taken (words, repetitions counted).
-
-    docs has text and `sources`, the array of sources of a document (a null element is a source of its own; a null or
-    empty array is the source null alone). Of sources with several, source_size and target are those of the first in the
-    pattern. A null text has size 0 and nothing is taken of it. Repeated rows are documents of their own. With exact,
-    the last document taken of a pattern counts only for the words still missing, so that the words taken are the flow;
-    without, it is taken whole or not, whichever is nearer. An empty table gives no rows.
-    """
-    has_columns(docs, ["text", sources, *keep])
+def _mixed(docs: DataFrame, sources: Column, keep: list[str], identity: list[str], weights: tuple[int, ...], share: Fraction, most: int, seed: int, exact: bool) -> DataFrame:
+    """row (struct of keep), size, pattern, source_size, target, taken."""
     spark = docs.sparkSession
+    # names of sources, in order; null for none
     pattern = F.when(F.size(F.coalesce(sources, F.array().cast("array<string>"))) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(sources)))
-    identity = [*keep] if "text" in keep else [*keep, "text"]
-    rows = stored(docs.select(*keep, F.to_json(pattern).alias("pattern"), words_of(F.col("text")).alias("size"), seeded(seed, *identity).alias("turn")), "mix")
+    rows = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.to_json(pattern).alias("pattern"), words_of(F.col("text")).alias("size"), seeded(seed, *identity).alias("turn")), "mix")
     found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -132,7 +124,7 @@ def mix(docs: DataFrame, sources: str = "sources", keep: tuple[str, ...] = ("doc
     for _, p, size in patterns:
         for s in p:
             sizes[s] = sizes.get(s, 0) + size
-    want = targets(sizes, weights, share, most)
+    want = targets(sizes, weights, share, most, sum(size for _, _, size in patterns))
     names = list(sizes)
     at = {s: i for i, s in enumerate(names)}
     flows = min_cost_flow([size for _, _, size in patterns], [[at[s] for s in p] for _, p, _ in patterns], [int(want[s]) for s in names], most)
@@ -154,10 +146,30 @@ def mix(docs: DataFrame, sources: str = "sources", keep: tuple[str, ...] = ("doc
     inside = F.col("range") == F.col("last")
     whole = F.when(F.col("last").isNull(), False).otherwise(F.col("range") < F.col("last"))
     edge = rows.filter(inside)
-    order = Window.partitionBy("pattern").orderBy("turn", *keep, "size")
+    order = Window.partitionBy("pattern").orderBy("turn", "size")
     edge = edge.withColumn("left", F.col("rest") - F.col("before") - (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")))
     part = F.greatest(F.lit(0), F.least("size", "left"))
     more = part if exact else F.when(part * 2 >= F.col("size"), F.col("size")).otherwise(0)
-    out = [*keep, "size", "pattern", "source_size", "target"]
+    out = ["row", "size", "pattern", "source_size", "target"]
     taken = lambda x: (F.col("copies") * F.col("size") + x).cast("long").alias("taken")
     return edge.select(*out, taken(more)).unionByName(rows.filter(~F.coalesce(inside, F.lit(False))).select(*out, taken(F.when(whole, F.col("size")).otherwise(0))))
+
+
+def mix(docs: DataFrame, sources: str = "sources", weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 42) -> DataFrame:
+    """doc_id, size, pattern (JSON), source_size, target and taken (words, repetitions counted).
+
+    docs has doc_id, text and `sources`, the array of sources of a document (a null element is a source of its own; a null
+    or empty array is the source null alone). Of a document with several sources, source_size and target are those of
+    the first in the pattern. A null text has size 0 and nothing is taken of it. Repeated rows are documents of their own;
+    null doc_ids too. The last document taken of a pattern counts only for the words still missing, so that the words
+    taken are the flow. Other columns are ignored; an empty table gives no rows.
+    """
+    has_columns(docs, ["doc_id", "text", sources])
+    return _mixed(docs, F.col(sources), ["doc_id"], ["doc_id", "text"], weights, share, most, seed, True).select("row.*", "size", "pattern", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, sources: Column, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 42) -> DataFrame:
+    """The mix itself: docs' rows, each as often as it is taken; columns as they are. The last document of a pattern is taken whole or not, whichever is nearer; documents without words aren't taken."""
+    has_columns(docs, ["doc_id", "text"])
+    out = _mixed(docs, sources, docs.columns, ["doc_id", "text"], weights, share, most, seed, False).filter("taken > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.expr("taken div size").cast("int")))).select("row.*")

@@ -55,13 +55,17 @@ def _feistel(values: str, radices: str, key: str, tweak: str) -> str:
 
 
 def _chars(text: str, fixed: str, key: str, tweak: str, first_from_two: str = "false") -> str:
-    """text with its letters and digits permuted in their classes, but not those for whose index i (from 0) `fixed` holds; where first_from_two does, digits are 2 to 9."""
+    """text with its letters and digits permuted in their classes, but not those for whose index i (from 0) `fixed` holds; where first_from_two does, digits are 2 to 9. Other characters stay and have no part in it, so that a number with separators is linked to the same without."""
     kind = f"CASE WHEN {fixed} THEN 0 WHEN c BETWEEN '0' AND '9' THEN if({first_from_two}, 8, 10) WHEN c BETWEEN 'a' AND 'z' THEN 26 WHEN c BETWEEN 'A' AND 'Z' THEN 27 ELSE 0 END"
-    parts = f"transform(transform(sequence(1, length(q)), i -> substr(q, i, 1)), (c, i) -> named_struct('c', c, 'k', {kind}))"
-    values = "transform(u, x -> cast(CASE x.k WHEN 8 THEN ascii(x.c) - 50 WHEN 10 THEN ascii(x.c) - 48 WHEN 26 THEN ascii(x.c) - 97 WHEN 27 THEN ascii(x.c) - 65 ELSE 0 END as bigint))"
-    radices = "transform(u, x -> cast(CASE x.k WHEN 0 THEN 1 WHEN 27 THEN 26 ELSE x.k END as bigint))"
-    back = f"array_join(zip_with(u, {_feistel(values, radices, key, tweak)}, (x, v) -> CASE x.k WHEN 8 THEN chr(v + 50) WHEN 10 THEN chr(v + 48) WHEN 26 THEN chr(v + 97) WHEN 27 THEN chr(v + 65) ELSE x.c END), '')"
-    return _let("q", text, f"if(q = '', q, {_let('u', parts, back)})")
+    kinds = f"transform(transform(sequence(1, length(q)), i -> substr(q, i, 1)), (c, i) -> named_struct('c', c, 'k', {kind}))"
+    parts = "transform(z, (x, i) -> named_struct('c', x.c, 'k', x.k, 'j', size(filter(slice(z, 1, i + 1), y -> y.k > 0))))"
+    moving = "filter(u, x -> x.k > 0)"
+    values = f"transform({moving}, x -> cast(CASE x.k WHEN 8 THEN ascii(x.c) - 50 WHEN 10 THEN ascii(x.c) - 48 WHEN 26 THEN ascii(x.c) - 97 ELSE ascii(x.c) - 65 END as bigint))"
+    radices = f"transform({moving}, x -> cast(if(x.k = 27, 26, x.k) as bigint))"
+    place = "element_at(o, x.j)"
+    back = f"array_join(transform(u, x -> CASE x.k WHEN 8 THEN chr({place} + 50) WHEN 10 THEN chr({place} + 48) WHEN 26 THEN chr({place} + 97) WHEN 27 THEN chr({place} + 65) ELSE x.c END), '')"
+    moved = _let("z", kinds, _let("u", parts, _let("o", _feistel(values, radices, key, tweak), back)))
+    return _let("q", text, f"if(q = '', q, {moved})")
 
 
 def _luhn(digits: str) -> str:
@@ -160,14 +164,13 @@ def pseudonymised(text: str, key: str) -> Column:
     return F.expr(f"if({text} rlike {_text(ANY)}, {both}, named_struct('text', {text}, 'found', cast(array() as array<struct<kind: string, value: string, pseudonym: string>>)))")
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """docs with text replaced and a last column `pii`, array<struct<kind, value, pseudonym>> of what was replaced.
+def pseudonymise(docs: DataFrame, key: str, found: str | None = "pii") -> DataFrame:
+    """docs with text replaced and a last column `found`, array<struct<kind, value, pseudonym>> of what was replaced; with found None, docs' own columns only.
 
-    All other columns and rows stay as they are; a column of docs named pii is overwritten. A null text stays null with
-    an empty list; so does an empty one. Numbers that fail validation are left alone.
+    All other columns and rows stay as they are; a column of docs named as `found` is overwritten. A null text stays null
+    with an empty list; so does an empty one. Numbers that fail validation are left alone.
     """
     has_columns(docs, ["text"])
-    names = [c for c in docs.columns if c != "pii"]
-    quoted = [F.col(f"`{c}`") for c in names]
-    done = docs.select(*quoted, pseudonymised("text", key).alias("pii"))
-    return done.select(*(F.coalesce("pii.text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names), F.col("pii.found").alias("pii"))
+    done = docs.select(F.struct("*").alias("row"), pseudonymised("text", key).alias("done"))
+    columns = [F.col("done.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != found]
+    return done.select(*columns, *([F.col("done.found").alias(found)] if found else []))
