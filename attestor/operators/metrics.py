@@ -407,6 +407,17 @@ def fusion(df: DataFrame, axes: list[str], positive: Column, far: float = 0.01)
     return out.filter("name <> 'energy'").select("name", "auc", (F.col("auc") - F.col("auc0")).alias("delta_auc"), "tpr", (F.col("tpr") - F.col("tpr0")).alias("delta_tpr"), "corr").orderBy(F.col("delta_tpr").desc(), F.col("delta_auc").desc(), "corr", "name")
 
 
+def boundary(df: DataFrame, tau: float, width: float, axes: list[str], far: float = 0.01, least: int = 20) -> DataFrame:
+    """axis, auc, tpr (at far) and corr with energy of each axis within width of tau; empty unless both splits have `least` rows there."""
+    rows = band(df, tau, width)
+    sizes = rows.agg(F.count(F.when(F.col("split") == "pos", 1)).alias("p"), F.count(F.when(F.col("split") == "neg", 1)).alias("n"))
+    positive = F.col("split") == "pos"
+    got = auc_by_axis(rows, {a: F.col(a) for a in axes}, positive).select("axis", "auc")
+    tprs = functools.reduce(DataFrame.unionByName, (tpr_at(rows, F.col(a), positive, far).withColumn("axis", F.lit(a)) for a in axes))
+    corr = rows.agg(*(guarded_corr(F.col("energy"), F.col(a)).alias(a) for a in axes)).unpivot([], axes, "axis", "corr")
+    return got.join(tprs, "axis").join(corr, "axis").crossJoin(F.broadcast(sizes)).filter(F.least("p", "n") >= least).drop("p", "n")  # one row
+
+
 def bootstrap_auc(df: DataFrame, score: str, positive: Column, replicates: int = 1000, seed: int = 42, order: str = "id") -> DataFrame:
     """One row: mean, low, high (2.5 and 97.5 percentiles) and replicates with both classes. Draws come from a hash that other engines compute alike.
 

@@ -105,6 +105,12 @@ def support_features(rows: DataFrame, key: str = "id", threshold: float = 0.5) -
     )
 
 
+def summary_diagnostics(df: DataFrame, key: str = "id", summary: str = "summary", document: str = "document", rank: int = RANK) -> DataFrame:
+    """Support features without entailment, with the characters of summary and document."""
+    rows = support_features(sentence_support(df, key, summary, document, rank=rank), key).drop("max_entailment", "mean_entailment", "min_entailment")
+    return rows.join(df.select(key, F.length(summary).alias("summary_chars"), F.length(document).alias("document_chars")), key)
+
+
 def summary_axes(features: DataFrame) -> DataFrame:
     """features with combined = max_energy * (1 - mean_coverage)."""
     return features.withColumn("combined", F.col("max_energy") * (1 - F.col("mean_coverage")))

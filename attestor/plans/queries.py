@@ -565,6 +565,14 @@ def pr_curve_ap(spark, sf):
     return metrics.average_precision(scored(spark, sf), F.col("energy"), F.col("split") == "neg")
 
 
+BAND_AXES = ["participation_ratio", "sensitivity", "alignment"]
+
+
+@query(BASE + ", bx AS (" + " UNION ALL ".join(f"SELECT split, '{a}' AS axis, {a} AS x FROM s WHERE abs(energy - 0.97) <= 0.05" for a in BAND_AXES) + ")" + _auc("bx", "x", "split = 'pos'", "axis") + " SELECT axis, auc FROM g3")
+def boundary_axes(spark, sf):
+    return metrics.boundary(scored(spark, sf), TAU, 0.05, BAND_AXES).select("axis", "auc")
+
+
 @query()
 def score_fusion(spark, sf):
     return metrics.fusion(scored(spark, sf), ["participation_ratio", "sensitivity", "alignment"], F.col("split") == "pos")
@@ -653,6 +661,17 @@ def support_features(spark, sf):
     return support.support_features(support.sentence_support(summaries(spark, sf)))
 
 
+@query()
+def summary_diagnostics(spark, sf):
+    return support.summary_axes(support.summary_diagnostics(summaries(spark, sf)))
+
+
+@query()
+def summary_effects(spark, sf):
+    rows = support.summary_axes(support.support_features(support.sentence_support(summaries(spark, sf)))).withColumn("y", F.split("id", "_")[0].cast("int") % 2 == 1)
+    return support.effect_size(rows, ["max_energy", "mean_energy", "p90_energy", "mean_coverage", "combined"], F.col("y"))
+
+
 @query("SELECT a.doc_id FROM documents a WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.doc_id)")
 def missing_only(spark, sf):
     return prepare.missing_only(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), ["doc_id"])
