@@ -66,6 +66,14 @@ def keep(words: list[bytes], repeated: np.ndarray, width: int = WIDTH) -> list[b
     return [w for w, f in zip(words, free, strict=True) if f]
 
 
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are in some, a list without order."""
+    some = np.sort(some)
+    at = np.searchsorted(some, values)
+    at[at == len(some)] = 0
+    return some[at] == values if len(some) else np.zeros(len(values), bool)
+
+
 def _words(x) -> list[bytes]:
     return (x.as_py() or b"").split()
 
@@ -79,7 +87,8 @@ def _postings(width, gram):
         for b in batches:
             docs, prints = b.column("doc").to_numpy(), []
             for x in b.column("bytes"):
-                prints.append(np.unique(windows(_words(x), width, gram)[1]))
+                p = windows(_words(x), width, gram)[1]
+                prints.append(np.unique(p[np.r_[True, p[1:] != p[:-1]]]) if len(p) else p)  # neighbours mostly have one fingerprint
             yield pa.record_batch([_longs(np.concatenate(prints)) if prints else pa.array([], pa.int64()), pa.array(np.repeat(docs, [len(p) for p in prints]))], names=["fp", "doc"])
 
     return run
@@ -88,13 +97,15 @@ def _postings(width, gram):
 def _verified(width, gram):
     def run(batches):
         for b in batches:
-            docs, out = b.column("doc").to_numpy(), []
+            docs, hashes, prints = b.column("doc").to_numpy(), [], []
             for x, shared in zip(b.column("bytes"), b.column("shared"), strict=True):
-                whole, prints = windows(_words(x), width, gram)
-                mask = np.isin(prints, shared.values.to_numpy().view(np.uint64))
-                out.append(np.unique(np.stack([whole[mask], prints[mask]], axis=1), axis=0) if mask.any() else np.empty((0, 2), np.uint64))
-            rows = np.concatenate(out) if out else np.empty((0, 2), np.uint64)
-            yield pa.record_batch([_longs(rows[:, 0]), _longs(rows[:, 1]), pa.array(np.repeat(docs, [len(o) for o in out]))], names=["whole", "fp", "doc"])
+                whole, p = windows(_words(x), width, gram)
+                mask = _among(p, shared.values.to_numpy().view(np.uint64))
+                whole, first = np.unique(whole[mask], return_index=True)
+                hashes.append(whole)
+                prints.append(p[mask][first])
+            empty = [np.empty(0, np.uint64)]
+            yield pa.record_batch([_longs(np.concatenate(hashes or empty)), _longs(np.concatenate(prints or empty)), pa.array(np.repeat(docs, [len(h) for h in hashes]))], names=["whole", "fp", "doc"])
 
     return run
 
@@ -106,7 +117,7 @@ def _kept(width, gram):
             for x, repeated in zip(b.column("bytes"), b.column("repeated"), strict=True):
                 words = left = _words(x)
                 if repeated.is_valid:
-                    left = keep(words, np.isin(windows(words, width, gram)[0], repeated.values.to_numpy().view(np.uint64)), width)
+                    left = keep(words, _among(windows(words, width, gram)[0], repeated.values.to_numpy().view(np.uint64)), width)
                 total.append(len(words))
                 removed.append(len(words) - len(left))
                 text.append(b" ".join(left))
