@@ -66,7 +66,9 @@ def stored_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFra
     table = f"{name}_{uuid.uuid4().hex}"
     with shuffles_freed(spark):
         df.write.format("parquet").option("path", new_path(spark, name)).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # an external table: the name goes, the files and out's plan stay
+    return out
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
