@@ -23,9 +23,9 @@ from attestor.llm.common import first_by_hash, has_columns, text_bytes
 #: Labelled documents of one grade that the model learns from, at most; those first by a hash of doc_id.
 TRAIN_DOCS = 4000
 #: Hash values of features, and features that enter the fit (those that tell grades apart best).
-BITS, FEATURES = 22, 20_000
+BITS, FEATURES = 22, 4000
 #: Occurrences a feature needs; the penalty, as a share of the mean loss's slope.
-LEAST, PENALTY = 3, 2e-4
+LEAST, PENALTY = 3, 5e-5
 REMEMBERED = 200_000
 _EDGES = b".,!?;:\"'()[]{}*&%$#|<>-_=+~`/\\"
 
@@ -59,7 +59,7 @@ class Ordinal:
         self.weights, self.cuts, self.known = weights, cuts, {}
 
     @classmethod
-    def fit(cls, grades: np.ndarray, share: np.ndarray, sizes: np.ndarray, features: np.ndarray, counts: np.ndarray, top: int, rounds: int = 300, penalty: float = PENALTY) -> Ordinal:
+    def fit(cls, grades: np.ndarray, share: np.ndarray, sizes: np.ndarray, features: np.ndarray, counts: np.ndarray, top: int, rounds: int = 800, penalty: float = PENALTY) -> Ordinal:
         """grades 0 to top; share: the documents each stands for; sizes: the features of each; features and counts: those of all, one after the other."""
         n = len(grades)
         share = share / share.sum()
