@@ -70,4 +70,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_warc, op3_simhash, op4_packing, op5_language, op6_mixing, op7_toxicity, op8_ogg, op9_ann, op10_substring, pipeline)}
 
-ORACLE: dict[str, str] = {}
+BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i) // 4 + 1, 2))::INT >> (3 - i % 4)::INT) & 31) + 1, 1)), '')"
+
+#: SQL for the queries that it can express. The others hash, train, tokenise, follow links or lay out files.
+ORACLE: dict[str, str] = {
+    "op2_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h)""",
+    "op10_substring": """WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+k AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key),
+g AS (SELECT DISTINCT k.doc_id, i + o AS p FROM k JOIN f USING (key), range(13) r(o) WHERE first < k.doc_id),
+t AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+s AS (SELECT t.doc_id, string_agg(x, ' ' ORDER BY t.p) AS kept, count(*) AS n FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.p = t.p WHERE g.p IS NULL GROUP BY t.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s ON s.doc_id = w.doc_id""",
+}

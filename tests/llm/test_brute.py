@@ -199,3 +199,17 @@ def test_op10(spark, documents):
         r = got.loc[i]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(words), len(gone), hashlib.sha256(kept).hexdigest()), i
     assert got.n_removed.sum() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.execute(queries.ORACLE[name])
+    columns = [d[0] for d in want.description]
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
