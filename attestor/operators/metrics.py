@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.policies import ACCEPT, REJECT, REVIEW
+from attestor.operators.frames import settled
 from attestor.operators.negatives import dense_index, portable_hash
 
 #: Edges of equal bins as they are in binary fractions of ten.
@@ -35,7 +36,7 @@ def _running(rows: DataFrame, by: list[str], order: str, columns: dict[str, str]
     if by:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return functools.reduce(lambda d, c: d.withColumn(c[1], F.coalesce(F.sum(c[0]).over(w), F.lit(0))), columns.items(), rows)
-    parts = rows.repartitionByRange(order).withColumn("part__", F.spark_partition_id())
+    parts = settled(rows.repartitionByRange(order).withColumn("part__", F.spark_partition_id()))
     own = Window.partitionBy("part__").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.groupBy("part__").agg(*(F.sum(c).alias(f"t_{c}") for c in columns))
     earlier = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
@@ -224,7 +225,7 @@ def interpolated(curve: DataFrame, points: DataFrame, x: str = "far") -> DataFra
     """points with `at`, the curve's tpr at x by linear interpolation; of several at one far the highest counts; ends are flat."""
     line = curve.groupBy("far").agg(F.max("tpr").alias("tpr"))
     marks = line.select(F.col("far").alias("x__"), "tpr", F.lit(None).cast("long").alias("id__"))
-    asked = points.withColumn("id__", F.monotonically_increasing_id())
+    asked = settled(points.withColumn("id__", F.monotonically_increasing_id()))
     both = marks.unionByName(asked.select(F.col(x).alias("x__"), F.lit(None).cast("double").alias("tpr"), "id__"))
     known = F.when(F.col("tpr").isNotNull(), F.struct("x__", "tpr"))
     w = Window.orderBy("x__", F.col("tpr").isNull())  # a curve's points

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.text import pages_of
 from attestor.functions.vectors import centroid, unit
+from attestor.operators.frames import settled
 from attestor.operators.geometry import spectral
 
 OFFSET, CANDIDATES, BLOCK = 37, 16, 4096
@@ -30,7 +31,7 @@ def portable_hash(seed: int, *columns: Column) -> Column:
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
     """df with a dense index from 0 in the given total order. Rows are range-partitioned and each partition adds the number of rows before it: no task sees all rows."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id()).withColumn("mono__", F.monotonically_increasing_id())
+    parts = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id()).withColumn("mono__", F.monotonically_increasing_id()))
     # a row a partition
     counts = parts.groupBy("part__").agg(F.count("*").alias("n__"), F.min("mono__").alias("first__"))
     before = counts.withColumn("before__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
