@@ -51,7 +51,7 @@ def test_interpolation_takes_the_higher_of_equal_points(spark):
     curve = spark.createDataFrame([(0.0, 0.0, 0.0), (0.0, 0.4, 0.1), (0.5, 0.8, 0.2)], "far double, tpr double, tau double")
     ask = spark.createDataFrame([(0.0,), (0.25,), (0.9,)], "far double")
     assert [r["at"] for r in M.interpolated(curve, ask).orderBy("far").collect()] == pytest.approx([0.4, 0.6, 0.8])
-    assert M.dominates(curve, curve.filter("tau < 0.2")).first()["dominates"]
+    assert M.dominates(curve.filter("tau > 0"), curve.filter("tau < 0.2")).first()["dominates"]
 
 
 def test_sweep_counts_scores_on_a_tau(spark):
