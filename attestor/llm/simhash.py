@@ -89,9 +89,9 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints `fp` (long) that connect exactly those within Hamming distance 2."""
-    # small rows become many: dealt out, or a few tasks would do all of it
+    # small rows become many: dealt out, or a few tasks would do all of it (by fp itself, Spark would leave them as they are)
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = fps.repartition(parts, "fp").mapInArrow(_spread(popcount_cells), "fp long, cell long")
+    cells = fps.repartition(parts, F.xxhash64("fp")).mapInArrow(_spread(popcount_cells), "fp long, cell long")
     near = cells.join(_shared(cells), "cell", "left_semi").select("fp").distinct()
     mids = checkpointed(near).mapInArrow(_spread(hamming_midpoints), "fp long, cell long")
     return mids.join(_shared(mids), "cell").filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
