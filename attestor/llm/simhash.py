@@ -104,10 +104,15 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), text_bytes().alias("bytes")).mapInArrow(_fingerprints, f"doc_id {kind}, th long, fp long")
     rows = stored(rows, "simhash")
     by_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    roots = components(links(by_fp.select("fp")))
+    return rows, named_components(by_fp, links(by_fp.select("fp")))
+
+
+def named_components(by_fp: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, root and component_id (the component's smallest doc_id) from fp, first_doc and the edges (u, v) between them."""
+    roots = components(edges)
     joined = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = joined.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return rows, checkpointed(joined.select("fp", "root").join(named, "root"))
+    return checkpointed(joined.select("fp", "root").join(named, "root"))
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -123,7 +128,11 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id (of several such rows, one); columns as they are."""
-    rows, classes = _classified(docs)
+    return first_of_each(docs, *_classified(docs))
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs with the one row of each root, from rows (doc_id, th, fp) and classes (fp, root, component_id)."""
     first = rows.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("one")).select(F.col("one.doc_id").alias("kept_id"), F.col("one.th").alias("kept_th"))
     # the texts move once, by document
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
