@@ -87,7 +87,7 @@ class Tree:
         best_i, best_d = np.empty(0, np.int64), np.empty(0)
         at, step = 0, 8
         while at < len(visit):
-            if len(best_d) == k and reach[visit[at]] >= quantile * best_d[-1]:
+            if len(best_d) == k and reach[visit[at]] > quantile * best_d[-1] + 1e-15 * own:  # copies of the query, at 0 but for rounding, are seen all
                 break
             rows = np.concatenate([np.arange(self.starts[j], self.starts[j + 1]) for j in visit[at : at + step]])
             at += step

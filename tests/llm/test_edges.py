@@ -348,3 +348,13 @@ def test_substring_on_ties_and_copies(spark, docs):
         by.setdefault(r["doc_id"], []).append((r["n_words"], r["n_removed"]))
     assert by[1] == [(14, 0), (14, 0)] and by[2] == [(14, 14)] and by[3] == [(0, 0)] and by[5] == [(0, 0)]
     assert sorted(by[None]) == [(5, 0), (14, 14)]
+
+
+
+def test_ann_sees_all_copies():
+    rng = np.random.default_rng(2)
+    copy = rng.integers(-3, 4, 16).astype(float)
+    ids = np.arange(3000)[::-1].copy()
+    tree = ann.Tree(np.tile(copy, (3000, 1)), ids, rng.standard_normal((16, 8)))
+    got, d = tree.nearest(-1, copy, tree.least[0], 10, ann.chi_square_quantile(0.99, 8))
+    assert got.tolist() == list(range(10)) and not d.any()
