@@ -101,8 +101,16 @@ class _Tail:
         self.data, self.start = self.data[upto - self.start :], upto
 
 
+def _begins(tail: _Tail, at: int) -> bool:
+    """Whether the first bytes unpacked at byte at, which tail holds, are those of a WARC member."""
+    try:
+        return zlib.decompressobj(31).decompress(tail.data[at - tail.start :], 7) == b"WARC/1."
+    except zlib.error:
+        return False
+
+
 def _member(tail: _Tail, at: int) -> tuple[bytes, int] | None:
-    """(content, end) of the WARC member that starts at byte at; None if none does."""
+    """(content, end) of the WARC member that starts at byte at; None if none does. Raises on one that is cut short or damaged behind its first bytes."""
     unpack = zlib.decompressobj(31)
     out: list[bytes] = []
     known, pos = 0, at
@@ -110,11 +118,15 @@ def _member(tail: _Tail, at: int) -> tuple[bytes, int] | None:
         piece = tail.data[pos - tail.start : pos - tail.start + tail.block]
         if not piece:
             if not tail.more():
+                if known == 7:
+                    raise ValueError(f"the WARC member at byte {at} is cut short")
                 return None
             continue
         try:
             out.append(unpack.decompress(piece))
-        except zlib.error:
+        except zlib.error as e:
+            if known == 7 or _begins(tail, at):
+                raise ValueError(f"the WARC member at byte {at} is damaged: {e}") from e
             return None
         pos += len(piece)
         if known < 7:

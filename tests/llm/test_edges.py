@@ -350,6 +350,18 @@ def test_substring_on_ties_and_copies(spark, docs):
     assert sorted(by[None]) == [(5, 0), (14, 14)]
 
 
+def test_warc_damage_is_an_error(tmp_path):
+    import pyarrow.fs as pafs
+
+    noise = np.random.default_rng(0).bytes(5000)
+    one, two = (warc.record(i, "u", noise, "response", None) for i in (1, 2))
+    bad = bytearray(one)
+    bad[-6] ^= 1  # in the checksum
+    for data in (one + two[:-20], bytes(bad) + two, one + two[:3000]):
+        (tmp_path / "w").write_bytes(data)
+        with pafs.LocalFileSystem().open_input_file(str(tmp_path / "w")) as file, pytest.raises(ValueError, match="WARC member at byte"):
+            list(warc.members_in(file, len(data), 0, len(data)))
+
 
 def test_ann_sees_all_copies():
     rng = np.random.default_rng(2)
