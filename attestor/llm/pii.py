@@ -26,7 +26,7 @@ IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?
 SSN = r"(?<![0-9A-Za-z\-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z\-])"
 IPV4 = r"(?<![0-9A-Za-z.])(?:\d{1,3}\.){3}\d{1,3}(?![0-9A-Za-z]|\.\d)"
 PHONE = r"(?<![0-9A-Za-z+(])(?:\+\d{8,15}|(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4})(?![0-9A-Za-z]|[.\-]\d)"
-SECRET = r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:password|passwd|token|secret|api_key)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9_\-]{8,64})"
+SECRET = r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|token|secret|api_key)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9_\-]{8,}+)"
 ANY = "|".join((EMAIL, DATE, CARD, IBAN, SSN, IPV4, PHONE, SECRET))
 
 KINDS = ("email", "date", "card", "iban", "ssn", "ipv4", "phone", "secret")
@@ -80,11 +80,20 @@ def _card(m: str, key: str) -> str:
     return f"if({_luhn(digits)} % 10 = 0, {_let('n', moved, f'concat(n, cast({check} as string))')}, {m})"
 
 
-def _iban(m: str, key: str) -> str:
-    def rest(s: str) -> str:
-        number = "if(c BETWEEN '0' AND '9', ascii(c) - 48, ascii(c) - 55)"
-        return f"aggregate(split(concat(substr({s}, 5), substr({s}, 1, 4)), ''), 0, (a, c) -> (a * if(c BETWEEN '0' AND '9', 10, 100) + {number}) % 97)"
+def _iban_rest(s: str) -> str:
+    number = "if(c BETWEEN '0' AND '9', ascii(c) - 48, ascii(c) - 55)"
+    return f"aggregate(split(concat(substr({s}, 5), substr({s}, 1, 4)), ''), 0, (a, c) -> (a * if(c BETWEEN '0' AND '9', 10, 100) + {number}) % 97)"
+
+
+def _iban_of(m: str) -> str:
+    """The longest part of an IBAN candidate, from its start to a space or its end, that has the right check digits; else all of it."""
+    parts = "transform(reverse(sequence(1, size(w))), i -> array_join(slice(w, 1, i), ' '))"
+    right = f"filter({parts}, y -> y rlike {_text(f'^(?:{IBAN})$')} AND {_iban_rest("replace(y, ' ', '')")} = 1)"
+    return _let("w", f"split({m}, ' ')", f"coalesce(get({right}, 0), {m})")
 
+
+def _iban(m: str, key: str) -> str:
+    rest = _iban_rest
     plain = f"replace({m}, ' ', '')"
     body = _chars(f"substr({m}, 5)", "false", key, "iban")
     check = f"lpad(cast(98 - {rest("concat(substr(" + m + ", 1, 2), '00', replace(n, ' ', ''))")} as string), 2, '0')"
@@ -136,7 +145,8 @@ def _date(m: str, key: str) -> str:
 
 def _secret(m: str, key: str) -> str:
     value = f"regexp_extract({m}, '[A-Za-z0-9_-]+$', 0)"
-    return f"if({m} LIKE 'AKIA%', concat('AKIA', {_chars(f'substr({m}, 5)', 'false', key, 'key')}), {_let('n', value, f'concat(substr({m}, 1, length({m}) - length(n)), ' + _chars('n', 'false', key, 'secret') + ')')})"
+    pieces = f"array_join(transform(regexp_extract_all(n, '.{{1,64}}', 0), g -> {_chars('g', 'false', key, 'secret')}), '')"  # a list of values costs the square of its length
+    return f"if({m} LIKE 'AKIA%', concat('AKIA', {_chars(f'substr({m}, 5)', 'false', key, 'key')}), {_let('n', value, f'concat(substr({m}, 1, length({m}) - length(n)), {pieces})')})"
 
 
 def _kind(m: str) -> str:
@@ -155,11 +165,12 @@ def pseudonym(kind: str, value: str, key: str) -> str:
 
 def pseudonymised(text: str, key: str) -> Column:
     """struct<text, found array<struct<kind, value, pseudonym>>> for a text column; found has only what was replaced."""
-    hits = f"transform(regexp_extract_all({text}, {_text(ANY)}, 0), m -> named_struct('kind', {_kind('m')}, 'value', m))"
-    done = f"transform({hits}, f -> named_struct('kind', f.kind, 'value', f.value, 'pseudonym', {pseudonym('f.kind', 'f.value', key)}))"
+    hits = f"transform(regexp_extract_all({text}, {_text(ANY)}, 0), m -> named_struct('kind', {_kind('m')}, 'whole', m))"
+    cut = f"transform({hits}, f -> named_struct('kind', f.kind, 'whole', f.whole, 'value', if(f.kind = 'iban', {_iban_of('f.whole')}, f.whole)))"
+    done = f"transform({cut}, f -> named_struct('kind', f.kind, 'value', f.value, 'pseudonym', {pseudonym('f.kind', 'f.value', key)}, 'after', substr(f.whole, length(f.value) + 1)))"
     gaps = f"split({text}, {_text(ANY)}, -1)"
-    joined = "array_join(zip_with(gaps, found, (g, f) -> concat(g, coalesce(f.pseudonym, ''))), '')"
-    kept = "filter(found, f -> f.pseudonym <> f.value)"
+    joined = "array_join(zip_with(gaps, found, (g, f) -> concat(g, coalesce(concat(f.pseudonym, f.after), ''))), '')"
+    kept = "transform(filter(found, f -> f.pseudonym <> f.value), f -> named_struct('kind', f.kind, 'value', f.value, 'pseudonym', f.pseudonym))"
     both = _let("found", done, _let("gaps", gaps, f"named_struct('text', {joined}, 'found', {kept})"))
     return F.expr(f"if({text} rlike {_text(ANY)}, {both}, named_struct('text', {text}, 'found', cast(array() as array<struct<kind: string, value: string, pseudonym: string>>)))")
 

@@ -350,6 +350,16 @@ def test_substring_on_ties_and_copies(spark, docs):
     assert sorted(by[None]) == [(5, 0), (14, 14)]
 
 
+def test_pii_whole_secrets_and_ibans_before_words(spark):
+    long = "aB3_" * 40
+    texts = ['TOKEN = "9233A8ECAB12"', f"token={long} end", "pay BE68539007547034 EUR 10", "pay BE68 5390 0754 7034 PAID CASH now"]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").orderBy("doc_id").collect()
+    assert [[x["value"] for x in r["pii"]] for r in rows] == [[texts[0][:-1]], [f"token={long}"], ["BE68539007547034"], ["BE68 5390 0754 7034"]]
+    assert "9233A8ECAB12" not in rows[0]["text"] and len(rows[1]["text"]) == len(texts[1])
+    assert not any(long[i : i + 12] in rows[1]["text"] for i in range(len(long) - 12))
+    assert rows[2]["text"].endswith(" EUR 10") and rows[3]["text"].endswith(" PAID CASH now") and "5390" not in rows[3]["text"]
+
+
 def test_warc_damage_is_an_error(tmp_path):
     import pyarrow.fs as pafs
 
