@@ -4,16 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or the checkpoint folder set by hand. Where neither is set, a session on one machine gets a folder of its own; on a cluster that raises, as other machines would not see it."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    current = context._jsc.sc().getCheckpointDir()
+    if not found and current.isDefined():
+        return current.get().rstrip("/")
+    if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="attestor-")
+    if not current.isDefined():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df after a reliable checkpoint in the folder of spark.checkpoint.dir.
+    """df after a reliable checkpoint in the shared folder.
 
     Range partitions are drawn from samples, and adaptive execution may merge them: a plan that is run twice may deal its
     rows out differently. What counts rows by partition and joins the counts back has to see one dealing.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="attestor-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

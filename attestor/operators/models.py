@@ -57,7 +57,7 @@ def _auc(scored: DataFrame) -> float | None:
 
 def logistic(train: DataFrame, names: list[str], c: float = 1.0, iterations: int = 3000):
     """L2-penalised with inverse strength c, on features as they are."""
-    return LogisticRegression(regParam=1 / (c * max(1, train.count())), elasticNetParam=0.0, standardization=False, maxIter=min(iterations, 200), tol=1e-9).fit(_assembled(train, names))
+    return LogisticRegression(regParam=1 / (c * max(1, train.count())), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-9).fit(_assembled(train, names))
 
 
 def split_model(df: DataFrame, names: list[str], key: str = "id", seed: int = 42, scale: bool = True) -> tuple[float | None, dict[str, float], DataFrame]:

@@ -76,25 +76,33 @@ def shuffled_pairs(pairs: DataFrame, seed: int = 1337, index: str = "idx") -> Da
 
 def _best(k: int):
     def run(claims: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(claims) and len(others):
-            c, o = np.stack(claims["claim__"].to_numpy()), np.stack(others["centroid__"].to_numpy())
-            sims = c @ o.T
-            names = others["other__"].to_numpy()
-            for i, row in zip(claims["idx__"].to_numpy(), sims, strict=True):
-                best = np.lexsort((names, -row))[:k]
-                out.append(pd.DataFrame({"idx__": i, "other__": names[best], "sim": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"idx__": np.empty(0, np.int64), "other__": np.empty(0, np.int64), "sim": np.empty(0)})
+        if not len(claims) or not len(others):
+            return pd.DataFrame({"idx__": np.empty(0, np.int64), "other__": np.empty(0, np.int64), "sim": np.empty(0)})
+        ids, names = claims["idx__"].to_numpy(), others["other__"].to_numpy()
+        sims = np.stack(claims["claim__"].to_numpy()) @ np.stack(others["centroid__"].to_numpy()).T
+        take = min(k, len(names))
+        # what is as near as the k-th stays in until it is ranked, so that ties go by name
+        at, to = np.nonzero(sims >= np.partition(sims, len(names) - take, axis=1)[:, [len(names) - take]])
+        order = np.lexsort((names[to], -sims[at, to], at))
+        at, to = at[order], to[order]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < take
+        at, to = at[best], to[best]
+        return pd.DataFrame({"idx__": ids[at], "other__": names[to], "sim": sims[at, to]})
 
     return run
 
 
+def _centroids(pairs: DataFrame) -> Column:
+    return centroid(F.col("evidence_vecs").cast("array<array<double>>"))
+
+
 def candidates(pairs: DataFrame, k: int = CANDIDATES, index: str = "idx", block: int = BLOCK, own: bool = True) -> DataFrame:
     """(index, other, sim, rank): the k evidence centroids most similar to each claim, ties to the smaller index. With own, a claim's own evidence holds its place."""
     claims = pairs.select(F.col(index).cast("long").alias("idx__"), unit(F.col("claim_vec").cast("array<double>")).alias("claim__")).filter(F.col("claim__").isNotNull())
-    others = pairs.select(F.col(index).cast("long").alias("other__"), centroid(F.col("evidence_vecs").cast("array<array<double>>")).alias("centroid__")).filter(F.col("centroid__").isNotNull())
+    others = pairs.select(F.col(index).cast("long").alias("other__"), _centroids(pairs).alias("centroid__")).filter(F.col("centroid__").isNotNull())
     blocks = max(1, -(-pairs.count() // block))
-    deal = lambda c, name: F.pmod(F.xxhash64(c), F.lit(blocks)).alias(name)
+    # both sides' keys are ints: keys of unlike types hash apart and would never meet
+    deal = lambda c, name: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias(name)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = claims.select("*", deal("idx__", "p"), every.alias("q"))
     right = others.select("*", deal("other__", "q"), every.alias("p"))
@@ -105,24 +113,30 @@ def candidates(pairs: DataFrame, k: int = CANDIDATES, index: str = "idx", block:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("idx__").alias(index), F.col("other__").alias("other"), "sim", "rank")
 
 
+def _with_evidence(pairs: DataFrame) -> int:
+    """The rows whose evidence has a centroid."""
+    return pairs.filter(_centroids(pairs).isNotNull()).count()
+
+
 def hard_mined_pairs(pairs: DataFrame, index: str = "idx", seed: int = 1337) -> DataFrame:
-    """The evidence whose centroid is most similar to the claim, the claim's own left out. Fewer than two usable rows: deranged."""
+    """The evidence whose centroid is most similar to the claim, the claim's own left out; adds sim. Fewer than two rows with evidence: deranged, sim null. Claims without a vector have no row."""
+    if _with_evidence(pairs) < 2:
+        return deranged_pairs(pairs, seed, index).withColumn("sim", F.lit(None).cast("double"))
     best = candidates(pairs, 1, index, own=False)
-    if best.limit(2).count() < 2:
-        return deranged_pairs(pairs, seed, index)
     return _take(pairs.join(best.select(index, F.col("other").alias("partner__"), "sim"), index), F.col("partner__"), F.lit(0), "NEG", index).drop("partner__")
 
 
 def mined_pairs(pairs: DataFrame, by_energy: bool = False, k: int = CANDIDATES, page_mismatch: bool = True, disjoint_ids: bool = True, rank: int = 8, index: str = "idx", seed: int = 1337) -> DataFrame:
     """Of the k most similar evidence sets (a claim's own holds its place, then goes), one that shares no page and no id with the claim's own.
 
-    Where there is none, pages may meet, then ids too, then any row by hash is taken. The first by similarity is taken or,
-    by_energy, that of least energy. The guards are inert without evidence_ids. Adds mined_energy and relaxed (0 to 3).
+    Where there is none, pages may meet, then ids too; a claim without candidates gets any row that has evidence, by hash.
+    The first by similarity is taken or, by_energy, that of least energy. The guards are inert without evidence_ids. Adds
+    mined_energy and relaxed (0 to 3). Fewer than two rows with evidence: deranged, both null.
     """
-    pairs_n = pairs.count()
+    usable = _with_evidence(pairs)
+    if usable < 2:
+        return deranged_pairs(pairs, seed, index).withColumns({"mined_energy": F.lit(None).cast("double"), "relaxed": F.lit(None).cast("int")})
     near = candidates(pairs, k, index).filter(F.col(index) != F.col("other"))
-    if pairs_n < 2 or near.limit(1).count() == 0:
-        return deranged_pairs(pairs, seed, index)
     ids = F.col("evidence_ids") if "evidence_ids" in pairs.columns else F.lit(None).cast("array<string>")
     facts = pairs.select(F.col(index).cast("long").alias("i__"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), pages_of(ids).alias("pages"), F.col("claim_vec"), F.col("evidence_vecs"))
     mine = facts.select(F.col("i__").alias(index), F.col("ids").alias("own_ids"), F.col("pages").alias("own_pages"), "claim_vec")
@@ -133,10 +147,14 @@ def mined_pairs(pairs: DataFrame, by_energy: bool = False, k: int = CANDIDATES,
     rated = spectral(both.withColumn("relaxed", step).select(index, "other", "rank", "relaxed", "claim_vec", "evidence_vecs"), rank=rank)
     # energies equal to nine places are ties, which the nearer candidate wins
     key = F.struct("relaxed", *([F.round("energy", 9).alias("e")] if by_energy else []), F.col("rank").alias("r"))
-    best = rated.groupBy(index).agg(F.min_by(F.struct(F.col("other").alias("partner__"), F.col("energy").alias("mined_energy"), "relaxed"), key).alias("best")).select(index, "best.*")
-    rest = F.pmod(F.col(index) + 1 + portable_hash(seed, F.col(index)) % max(1, pairs_n - 1), F.lit(pairs_n)).cast("long")
-    chosen = pairs.select(index).join(best, index, "left").withColumn("relaxed", F.coalesce("relaxed", F.lit(3))).withColumn("partner__", F.coalesce("partner__", rest))
-    return _take(pairs.join(chosen, index), F.col("partner__"), F.lit(0), LABELS["hardest_energy" if by_energy else "hard_mined_v2"], index).drop("partner__")
+    best = settled(rated.groupBy(index).agg(F.min_by(F.struct(F.col("other").alias("partner__"), F.col("energy").alias("mined_energy"), "relaxed"), key).alias("best")).select(index, "best.*"))
+    bare = pairs.join(best.select(index), index, "left_anti").select(index, "claim_vec")
+    if bare.limit(1).count():
+        valid = dense_index(pairs.filter(_centroids(pairs).isNotNull()).select(F.col(index).alias("partner__"), "evidence_vecs"), [F.col("partner__")], "at__")
+        given = bare.withColumn("at__", portable_hash(seed, F.col(index)) % usable).join(valid, "at__")
+        rest = spectral(given.select(index, "partner__", "claim_vec", "evidence_vecs"), rank=rank)
+        best = best.unionByName(rest.select(index, F.col("partner__").cast("long").alias("partner__"), F.col("energy").alias("mined_energy"), F.lit(3).alias("relaxed")))
+    return _take(pairs.join(best, index), F.col("partner__"), F.lit(0), LABELS["hardest_energy" if by_energy else "hard_mined_v2"], index).drop("partner__")
 
 
 def mining_facts(mined: DataFrame, mode: str, k: int = CANDIDATES) -> DataFrame:

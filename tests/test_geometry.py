@@ -87,3 +87,39 @@ def test_guards_of_mining(spark):
     kept = {r["idx"]: (r["partner"], r["relaxed"]) for r in N.mined_pairs(pairs).collect()}
     assert free[0] == 1 and kept[0] == (2, 0)  # row 1 is on the same page
     assert kept[2] == (1, 0)
+
+
+def test_mining_in_blocks(spark):
+    """The same result in one block and in several, without adaptive execution to fold partitions together, and as by numpy."""
+    rng = np.random.default_rng(5)
+    claims, others = rng.standard_normal((90, 6)), rng.standard_normal((90, 2, 6))
+    rows = spark.createDataFrame([(i, c.tolist(), e.tolist()) for i, (c, e) in enumerate(zip(claims, others))], "idx long, claim_vec array<double>, evidence_vecs array<array<double>>")
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    sims = unit(claims) @ unit(unit(others).mean(axis=1)).T
+    want = {i: np.argsort(-sims[i])[:5].tolist() for i in range(90)}
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for block in (4096, 16):
+            got = {}
+            for r in N.candidates(rows, 5, block=block).orderBy("idx", "rank").collect():
+                got.setdefault(r["idx"], []).append(r["other"])
+            assert got == want
+        np.fill_diagonal(sims, -2)
+        assert {r["idx"]: r["partner"] for r in N.hard_mined_pairs(rows).collect()} == {i: int(sims[i].argmax()) for i in range(90)}
+        assert N.mined_pairs(rows, by_energy=True).filter("mined_energy is null or relaxed <> 0").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_mining_without_enough_evidence(spark):
+    """Fewer than two rows with evidence: deranged, in the columns of a mined result; claims without candidates get a row that has evidence."""
+    schema = "idx long, claim_vec array<double>, evidence_vecs array<array<double>>"
+    bare = spark.createDataFrame([(0, [1.0, 0.0], [[1.0, 0.0]]), (1, [0.0, 1.0], []), (2, [1.0, 1.0], None)], schema)
+    assert {(r["idx"] != r["partner"], r["mined_energy"], r["relaxed"]) for r in N.mined_pairs(bare).collect()} == {(True, None, None)}
+    assert {r["sim"] for r in N.hard_mined_pairs(bare).collect()} == {None}
+    some = spark.createDataFrame([(0, [1.0, 0.0], [[1.0, 0.0]]), (1, [0.0, 1.0], [[0.0, 1.0]]), (2, [1.0, 1.0], None)], schema)
+    got = {r["idx"]: r for r in N.mined_pairs(some, k=1).collect()}
+    assert all(r["partner"] in (0, 1) for r in got.values())
+    assert got[0]["relaxed"] == 3 and abs(got[0]["mined_energy"] - (0.0 if got[0]["partner"] == 0 else 1.0)) < 1e-9
+    assert got[2]["relaxed"] == 0 and abs(got[2]["mined_energy"] - 0.5) < 1e-9
