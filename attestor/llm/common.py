@@ -4,32 +4,21 @@ from __future__ import annotations
 
 import contextlib
 import functools
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestor.operators.frames import shared_folder
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is configured, one for this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = "file://" + tempfile.mkdtemp(prefix="attestor-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @contextlib.contextmanager
@@ -72,8 +61,8 @@ def stored_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFra
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; Spark removes the files once the frame is no longer referenced."""
-    work_dir(df.sparkSession)
+    """A reliable checkpoint. With spark.cleaner.referenceTracking.cleanCheckpoints Spark removes the files once the frame is no longer referenced; else they stay until the folder is emptied."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
