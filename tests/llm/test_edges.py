@@ -377,6 +377,45 @@ def test_ann_sees_all_copies():
     rng = np.random.default_rng(2)
     copy = rng.integers(-3, 4, 16).astype(float)
     ids = np.arange(3000)[::-1].copy()
-    tree = ann.Tree(np.tile(copy, (3000, 1)), ids, rng.standard_normal((16, 8)))
-    got, d = tree.nearest(-1, copy, tree.least[0], 10, ann.chi_square_quantile(0.99, 8))
-    assert got.tolist() == list(range(10)) and not d.any()
+    low = np.tile(copy @ rng.standard_normal((16, 8)), (3000, 1))
+    tree = ann.Tree(np.tile(copy, (3000, 1)), ids, low)
+    got, d = tree.nearest(copy, low[0], 10, ann.chi_square_quantile(0.99, 8))
+    assert sorted(tree.ids[got].tolist()) == list(range(10)) and not d.any()
+
+
+def test_ann_stops():
+    """On clustered vectors the test holds after a small part of the points, and the nearest are found."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((80, 64)) * 4
+    x = np.repeat(centres, 100, axis=0) + rng.standard_normal((8000, 64))
+    low = x @ rng.standard_normal((64, 16))
+    tree, hit = ann.Tree(x, np.arange(8000), low), 0
+    for q in range(0, 8000, 400):
+        rows, _ = tree.nearest(x[q], low[q], 10, ann.chi_square_quantile(0.98, 16), own=q)
+        hit += len(set(tree.ids[rows]) & set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11]))
+    assert hit >= 0.95 * 200 and tree.verified < 0.1 * 20 * 8000
+
+
+def test_ann_cells(spark):
+    """Cells hold each point in their box; a small block and a small sample change nothing but recall."""
+    rng = np.random.default_rng(4)
+    low = rng.standard_normal((3000, 4))
+    cells = ann.Cells(low[:500], 8)
+    at = cells.of(low)
+    assert len(set(at)) >= 8 and ((low >= cells.least[at]) & (low <= cells.most[at])).all()
+    assert ann.Cells(np.ones((100, 4)), 8).of(low).max() == 0
+    x = rng.standard_normal((1500, 12))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(d, F.col("vec_id") % 50 == 0, point_block=100, query_block=7, sample=400, confidence=0.9999).toPandas()
+    hit = sum(len(set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11]) & set(got[got.query_id == q].vec_id)) for q in range(0, 1500, 50))
+    assert hit >= 299 and len(got) == 300 and sorted(set(got["rank"])) == list(range(1, 11))
+
+
+def test_ann_repeated_ids(spark):
+    """Several vectors of an id: each is a candidate; as a query they ask together and leave out their own."""
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (100, [0.0, 2.0]), (100, [2.0, 0.0]), (100, [2.0, 0.0]), (2, [0.0, 2.5])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(d, F.col("vec_id") % 100 == 0, k=3).orderBy("query_id", "rank").collect()
+    want = [(0, 1, 1, 0.1), (0, 2, 100, 1.0), (0, 3, 1, 2**0.5), (100, 1, 2, 0.5), (100, 2, 0, 1.0), (100, 3, 1, 1.0)]
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [w[:3] for w in want]
+    assert [r["score"] for r in got] == pytest.approx([w[3] for w in want])
