@@ -60,6 +60,14 @@ def stored_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFra
     return out
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a frame from stored() or stored_bucketed() that nothing refers to any more."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint. With spark.cleaner.referenceTracking.cleanCheckpoints Spark removes the files once the frame is no longer referenced; else they stay until the folder is emptied."""
     shared_folder(df.sparkSession)

@@ -2,17 +2,22 @@
 
 A window is 13 consecutive words. Its fingerprint is the least of the hashes of the 5-word sequences in it, so equal
 windows have equal fingerprints and about a fifth as many fingerprints as windows come up. The index is a list of
-immutable runs. A run holds, sorted by fingerprint and bucketed, the least and greatest document of every fingerprint of
-a batch, and beside it the batch's postings (fingerprint, document) and texts. A new batch becomes a run itself, is
-merge-joined with the earlier runs bucket by bucket without an exchange, and the fingerprints that two documents share
-are verified: of all documents on them, the windows with such a fingerprint are hashed whole (64 further bits beside the
-fingerprint's) and the least document of each is found. `fanout` runs of a level are merged into one of the next.
+immutable runs on levels. A run holds, sorted by fingerprint and bucketed, the least and greatest document of every
+fingerprint of its batches; and beside it, bucketed alike, the verified windows of fingerprints that several documents
+share: a hash of the window whole, the fingerprint and the least document.
+
+A new batch becomes a run itself and is merge-joined with the earlier runs, bucket by bucket without an exchange. For a
+fingerprint that an earlier run holds for one document, that document's windows are computed now and verified; if it was
+held for several, they have been, and are read from the runs. So a batch computes windows of its own documents and of
+those earlier ones it hits for the first time. Windows are the same if both 64-bit hashes are: that of the whole and the
+fingerprint. `fanout` runs of a level are compacted into one of the next, and their files removed.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +25,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import has_columns, partitions_kept, stored, stored_bucketed, text_bytes
+from attestor.llm.common import dropped, has_columns, partitions_kept, stored, stored_bucketed, text_bytes
 
 WIDTH, GRAM = 13, 5
-NO_ID = 2**63 - 1
+#: Null doc_ids are given numbers from here on, by a hash of their text; none of them comes before another.
+NULLS = 2**63 - 2**32
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -126,95 +132,138 @@ def _kept(width, gram):
     return run
 
 
+def _before(a: Column, b: Column) -> Column:
+    """Whether document a comes before b."""
+    return F.least(a, F.lit(NULLS)) < F.least(b, F.lit(NULLS))
+
+
+@dataclass
+class Run:
+    """prints: fp, least, most. windows: fp, whole, least, of shared fingerprints. Both in buckets of fp."""
+
+    prints: DataFrame
+    windows: DataFrame
+
+
+KEPT = "doc long, th string, n_words long, n_removed long, kept binary"
+
+
 class FingerprintIndex:
     """The runs of one corpus. Batches come in order of document: no document of a batch is below one of an earlier batch."""
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, buckets: int | None = None, fanout: int = 4):
+    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, buckets: int | None = None, fanout: int = 2):
         self.spark, self.width, self.gram, self.fanout = spark, width, gram, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = []  # sorted runs by level: fp, least, most
-        self.postings: list[DataFrame] = []
+        self.levels: list[list[Run]] = []
         self.texts: list[DataFrame] = []
         self.last: int | None = None
+        self.compacted = 0
+
+    @property
+    def runs(self) -> list[Run]:
+        return [r for level in self.levels for r in level]
 
-    def _run(self, rows: DataFrame) -> DataFrame:
-        """rows (fp, least, most), any number a fingerprint, as a sorted run. They are combined before the exchange, which deals them out as the buckets need it."""
-        one = rows.groupBy("fp").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
-            one = one.repartition(self.buckets, "fp")
+    def _bucketed(self, rows: DataFrame, name: str, parted: bool = False) -> DataFrame:
+        """rows in buckets of fp; parted: an aggregate on fp alone, which its own exchange deals out as the buckets need it."""
+        if not parted or int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            rows = rows.repartition(self.buckets, "fp")
         with partitions_kept(self.spark):
-            return stored_bucketed(one, "run", "fp", self.buckets)
+            return stored_bucketed(rows, name, "fp", self.buckets)
+
+    def _prints(self, rows: DataFrame) -> DataFrame:
+        """rows (fp, least, most), any number a fingerprint, combined before they are dealt out."""
+        return self._bucketed(rows.groupBy("fp").agg(F.min("least").alias("least"), F.max("most").alias("most")), "run", True)
 
-    def _add(self, run: DataFrame, level: int = 0) -> None:
+    def _add(self, run: Run, level: int = 0) -> None:
         """Puts the run on its level and compacts a full level into the next."""
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             merged, self.levels[level] = self.levels[level], []
-            rows = merged[0]
-            for r in merged[1:]:
-                rows = rows.unionByName(r)
-            self._add(self._run(rows), level + 1)
-
-    def ingest(self, units: DataFrame) -> DataFrame:
-        """Adds units (doc long, th string, bytes binary; one row per different text of a doc) and returns, for each, what is left of it: doc, th, n_words, n_removed, kept (binary). A window goes if it starts in a smaller doc."""
+            prints, windows = (functools.reduce(DataFrame.unionByName, (getattr(r, c) for r in merged)) for c in ("prints", "windows"))
+            one = Run(self._prints(prints), self._bucketed(windows.groupBy("fp", "whole").agg(F.min("least").alias("least")), "windows"))
+            self.compacted += 1
+            for r in merged:
+                dropped(r.prints)
+                dropped(r.windows)
+            self._add(one, level + 1)
+
+    def _windows(self, units: DataFrame, lists: DataFrame) -> DataFrame:
+        """whole, fp, doc of the windows of units whose fingerprint is in lists (doc, shared)."""
+        return units.join(lists, "doc").select("doc", "bytes", "shared").mapInArrow(_verified(self.width, self.gram), "whole long, fp long, doc long")
+
+    def ingest(self, units: DataFrame, columns: list[Column] | None = None) -> DataFrame:
+        """Adds units (doc long, th string, bytes binary; one row per different text of a doc) and returns, for each, what is left of it: columns, or doc, th, n_words, n_removed, kept (binary). A window goes if it starts in a document before."""
+        columns = columns or [F.col(c.split(" ")[0]) for c in KEPT.split(", ")]
         bounds = units.agg(F.min("doc").alias("a"), F.max("doc").alias("b")).first()
         if bounds["a"] is None:
-            return units.withColumn("repeated", F.lit(None).cast("array<bigint>")).mapInArrow(_kept(self.width, self.gram), "doc long, th string, n_words long, n_removed long, kept binary")
+            return units.withColumn("repeated", F.lit(None).cast("array<bigint>")).mapInArrow(_kept(self.width, self.gram), KEPT).select(*columns)
         if self.last is not None and bounds["a"] < self.last:
             raise ValueError("a batch has to follow the earlier ones in order of document")
         self.last = bounds["b"]
-        old = [r for level in self.levels for r in level]
         posting = stored(units.select("doc", "bytes").mapInArrow(_postings(self.width, self.gram), "fp long, doc long"), "postings")
-        run = self._run(posting.select("fp", F.col("doc").alias("least"), F.col("doc").alias("most")))
-        shared = run.filter("least < most").select("fp")
-        for r in old:  # merge-joins of sorted buckets
-            shared = shared.unionByName(run.join(r.hint("merge"), "fp", "left_semi").select("fp"))
-        shared = stored(shared.distinct(), "shared")
-        self.postings.append(posting)
+        own = self._prints(posting.select("fp", F.col("doc").alias("least"), F.col("doc").alias("most")))
+        runs = self.runs
+        if runs:  # merge-joins of sorted buckets
+            hits = functools.reduce(DataFrame.unionByName, (r.prints.join(own.hint("merge"), "fp", "left_semi") for r in runs))
+            old = hits.groupBy("fp").agg(F.min("least").alias("first"), F.max("most").alias("last"))
+            state = own.join(old, "fp", "left")
+        else:
+            state = own.withColumns({"first": F.lit(None).cast("long"), "last": F.lit(None).cast("long")})
+        state = state.filter("least < most or first is not null")
+        # fetch: the one earlier document whose windows haven't been computed
+        shared = stored(state.select("fp", F.when(F.col("first") == F.col("last"), F.col("first")).alias("fetch")), "shared")
+        lists = posting.join(shared.select("fp"), "fp").groupBy("doc").agg(F.collect_set("fp").alias("shared"))
+        new = stored(self._windows(units, lists), "new")
+        every = [new.select("fp", "whole", F.col("doc").alias("least"))]
+        fetched = shared.filter("fetch is not null").groupBy(F.col("fetch").alias("doc")).agg(F.collect_set("fp").alias("shared"))
+        every += [self._windows(t, fetched).select("fp", "whole", F.col("doc").alias("least")) for t in self.texts]
+        every += [r.windows.join(shared.select("fp"), "fp", "left_semi") for r in runs]
+        windows = functools.reduce(DataFrame.unionByName, every).groupBy("fp", "whole").agg(F.min("least").alias("least"))
+        windows = self._bucketed(windows, "windows")
+        gone = new.join(windows, ["whole", "fp"]).filter(_before(F.col("least"), F.col("doc"))).groupBy("doc").agg(F.collect_set("whole").alias("repeated"))
+        left = units.join(gone, "doc", "left").select("doc", "th", "bytes", "repeated").mapInArrow(_kept(self.width, self.gram), KEPT)
+        out = stored(left.select(*columns), "left")
+        for done in (posting, shared, new):
+            dropped(done)
         self.texts.append(units)
-        found = None
-        for p, t in zip(self.postings, self.texts, strict=True):
-            lists = p.join(shared, "fp").groupBy("doc").agg(F.collect_set("fp").alias("shared"))
-            rows = t.join(lists, "doc").select("doc", "bytes", "shared").mapInArrow(_verified(self.width, self.gram), "whole long, fp long, doc long")
-            found = rows if found is None else found.unionByName(rows)
-        found = stored(found, "windows")
-        least = found.groupBy("whole", "fp").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-        least = stored(least, "least")
-        new = found.filter(F.col("doc") >= F.lit(bounds["a"]))
-        gone = new.join(least, ["whole", "fp"]).filter("doc > least").groupBy("doc").agg(F.collect_set("whole").alias("repeated"))
-        self._add(run)
-        return units.join(gone, "doc", "left").select("doc", "th", "bytes", "repeated").mapInArrow(_kept(self.width, self.gram), "doc long, th string, n_words long, n_removed long, kept binary")
-
-
-def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 2, derive: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+        self._add(Run(own, windows))
+        return out
+
+
+def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 3, fanout: int = 2, derive: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (string, the words left joined by one space); or, for kept, the columns that derive computes from it as binary.
 
     A word goes if a window over it also starts in a document with a smaller doc_id; windows are those of the input.
     Equal texts are worked on once, in their smallest document; later copies of `width` words or more lose all. Null
-    and empty texts have no words. Null doc_ids rank after all others. Repeated doc_ids are no earlier documents to each
-    other and keep their rows. Other columns are ignored. The documents go in as `batches` batches in order of doc_id.
+    and empty texts have no words; texts of any length are taken whole. Null doc_ids rank after all others, and none of
+    them before another; others are below 2**63 - 2**32. Repeated doc_ids are no earlier documents to each other and keep
+    their rows. Other columns are ignored; an empty table gives no rows. The documents go in as `batches` batches in order
+    of doc_id, and every `fanout` runs of a level are compacted.
     """
     has_columns(docs, ["doc_id", "text"])
     derive = derive or {"kept": lambda kept: kept.cast("string")}
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.sha2(text_bytes(), 256), F.lit("")).alias("th"), text_bytes().alias("bytes"))
+    th = F.coalesce(F.sha2(text_bytes(), 256), F.lit(""))
+    nulls = F.lit(NULLS) + F.pmod(F.xxhash64(th), F.lit(2**32))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), nulls).alias("doc"), th.alias("th"), text_bytes().alias("bytes"))
     narrow = stored(rows.select("doc_id", "doc", "th"), "texts")
     first = narrow.groupBy("th").agg(F.min("doc").alias("doc"))
-    own = first.groupBy("doc").agg(F.collect_set("th").alias("own"))
-    units = rows.drop("doc_id").repartition(buckets, "doc").join(own, "doc").filter(F.array_contains("own", F.col("th"))).select("doc", "th", "bytes")
+    # a row for each text in its smallest document; copies of it there are told apart nowhere
+    units = rows.drop("doc_id").repartition(buckets, "doc").join(first, ["doc", "th"], "left_semi").select("doc", "th", "bytes")
     with partitions_kept(spark):
-        units = stored_bucketed(units, "units", "doc", buckets)
+        units = stored_bucketed(units.repartition(buckets, "doc"), "units", "doc", buckets)
     cuts = first.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
-    index, parts = FingerprintIndex(spark, width, gram, buckets), []
+    index, parts = FingerprintIndex(spark, width, gram, buckets, fanout), []
+    columns = [F.col("th"), F.col("doc").alias("unit"), F.col("n_words"), F.col("n_removed"), *(f(F.col("kept")).alias(n) for n, f in derive.items())]
     for low, high in zip(edges, edges[1:], strict=False):
         part = units if low is None else units.filter(F.col("doc") > low)
         part = part if high is None else part.filter(F.col("doc") <= high)
-        parts.append(index.ingest(part).select("th", F.col("doc").alias("unit"), "n_words", "n_removed", *(f(F.col("kept")).alias(n) for n, f in derive.items())))
-    left = stored(functools.reduce(DataFrame.unionByName, parts), "kept").dropDuplicates(["th", "unit"])
-    later = (F.col("doc") > F.col("unit")) & (F.col("n_words") >= width)
+        parts.append(index.ingest(part, columns))
+    left = functools.reduce(DataFrame.unionByName, parts).dropDuplicates(["th", "unit"])
+    later = _before(F.col("unit"), F.col("doc")) & (F.col("n_words") >= width)
     nothing = {n: f(F.lit(b"")) for n, f in derive.items()}
     return narrow.join(left, "th").select("doc_id", "n_words", F.when(later, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), *(F.when(later, v).otherwise(F.col(n)).alias(n) for n, v in nothing.items()))

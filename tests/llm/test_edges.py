@@ -419,3 +419,35 @@ def test_ann_repeated_ids(spark):
     want = [(0, 1, 1, 0.1), (0, 2, 100, 1.0), (0, 3, 1, 2**0.5), (100, 1, 2, 0.5), (100, 2, 0, 1.0), (100, 3, 1, 1.0)]
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [w[:3] for w in want]
     assert [r["score"] for r in got] == pytest.approx([w[3] for w in want])
+
+
+def test_index_over_eight_batches(spark):
+    """Passages first seen once, then in any later batch, are removed as by brute force; runs compact on three levels and the files of what they replace go."""
+    rng = np.random.default_rng(6)
+    passages = [[f"p{i}_{j}" for j in range(20)] for i in range(6)]
+    texts = []
+    for i in range(24):
+        words = [f"d{i}_{j}" for j in range(10)]
+        for p in rng.choice(6, 2, replace=False):
+            words += passages[p] + [f"e{i}_{p}_{j}" for j in range(5)]
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts)) + [(None, texts[3]), (None, " ".join(f"n{j}" for j in range(15))), (None, "x " + " ".join(f"n{j}" for j in range(15)))]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches=8).collect()
+    seen, want = {}, []
+    for i, text in rows:
+        words, gone = text.split(), set()
+        for at in range(len(words) - 12):
+            if seen.setdefault(tuple(words[at : at + 13]), i) != i:
+                gone |= set(range(at, at + 13))
+        want.append((i, len(words), len(gone), " ".join(w for at, w in enumerate(words) if at not in gone)))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    index = substring.FingerprintIndex(spark, fanout=2)
+    schema = "doc long, th string, bytes binary"
+    runs = []
+    for i in range(8):
+        index.ingest(spark.createDataFrame([(i, f"h{i}", texts[i].encode())], schema))
+        runs.append(index.runs[-1])
+    assert [len(x) for x in index.levels] == [0, 0, 0, 1] and index.compacted == 7
+    assert index.runs[0].prints.count() > 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        runs[0].prints.agg(F.sum("least")).collect()
