@@ -4,28 +4,33 @@ Grades 0, 1, ... are ordered; for every threshold k the model gives the probabil
 logistic function of one score minus the threshold's own cut, so all thresholds share the score's weights. The score
 adds a weight for each different word of a text, and the word's weight is the sum of those of the word itself and of its
 beginnings of four, five and six bytes, which carry stems over to endings not seen in training. Features are hashed.
-The fit is by proximal gradient steps with an absolute penalty, which sets most weights to zero. The output is the
-expected severity: the sum over thresholds of those probabilities.
+Features are counted by grade on the executors, and those that tell grades apart beyond chance enter the fit, which is by
+proximal gradient steps with an absolute penalty and sets most weights to zero. The output is the expected severity: the
+sum over thresholds of those probabilities.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import first_by_hash, has_columns, text_bytes
+from attestor.llm.common import dropped, first_by_hash, has_columns, stored, text_bytes
 
 #: Labelled documents of one grade that the model learns from, at most; those first by a hash of doc_id.
 TRAIN_DOCS = 4000
-#: Hash values of features, and features that enter the fit (those that tell grades apart best).
-BITS, FEATURES = 22, 4000
-#: Occurrences a feature needs; the penalty, as a share of the mean loss's slope.
-LEAST, PENALTY = 3, 5e-5
+#: Bits of a feature's hash.
+BITS = 22
+#: Documents of the sample that a feature needs, and the standard deviations by which its share of toxic documents has to be off what chance gives.
+LEAST, BEYOND = 3, 2.0
+#: The penalty, as a share of the mean loss's slope.
+PENALTY = 5e-5
 REMEMBERED = 200_000
 _EDGES = b".,!?;:\"'()[]{}*&%$#|<>-_=+~`/\\"
 
@@ -59,24 +64,12 @@ class Ordinal:
         self.weights, self.cuts, self.known = weights, cuts, {}
 
     @classmethod
-    def fit(cls, grades: np.ndarray, share: np.ndarray, sizes: np.ndarray, features: np.ndarray, counts: np.ndarray, top: int, rounds: int = 800, penalty: float = PENALTY) -> Ordinal:
-        """grades 0 to top; share: the documents each stands for; sizes: the features of each; features and counts: those of all, one after the other."""
+    def fit(cls, grades: np.ndarray, share: np.ndarray, sizes: np.ndarray, column: np.ndarray, value: np.ndarray, chosen: np.ndarray, top: int, rounds: int = 800, penalty: float = PENALTY) -> Ordinal:
+        """grades 0 to top; share: the documents each stands for; sizes: the features of each; column and value: of all, one after the other, which of chosen and how often."""
         n = len(grades)
         share = share / share.sum()
         rows = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        seen = np.bincount(features, minlength=1 << BITS)
-        hit = np.bincount(features, weights=(share * (grades > 0))[rows], minlength=1 << BITS)
-        base = np.bincount(features, weights=share[rows], minlength=1 << BITS)
-        rate = float((share * (grades > 0)).sum())
-        gain = np.where(seen >= LEAST, np.abs(hit - rate * base) / np.sqrt(base + 1e-12), -1)
-        chosen = np.argsort(-gain, kind="stable")[:FEATURES]
-        chosen = np.sort(chosen[gain[chosen] >= 0])
-        del seen, hit, base, gain
-        place = np.full(1 << BITS, -1, np.int32)
-        place[chosen] = np.arange(len(chosen), dtype=np.int32)
-        column = place[features]
-        use = column >= 0
-        rows, column, value = rows[use], column[use], counts[use].astype(np.float64)
+        value = value.astype(np.float64)
         weights = np.zeros(len(chosen))
         # cuts start at the grades' shares, smoothed so that a grade without documents has a finite cut
         above = np.array([(share * (grades >= k)).sum() for k in range(1, top + 1)])
@@ -140,15 +133,46 @@ def train(docs: DataFrame, graded: DataFrame, train_docs: int = TRAIN_DOCS) -> O
         return None
     chosen = first_by_hash(ids, "grade", train_docs).select("doc_id", "grade").distinct()
     sample = docs.select("doc_id", text_bytes().alias("bytes")).join(F.broadcast(chosen), "doc_id")  # at most train_docs ids a grade
-    got = sample.select("grade", "bytes").mapInArrow(_features, "grade int, features array<int>, counts array<tinyint>").toArrow().combine_chunks()
+    rows = stored(sample.select("grade", "bytes").mapInArrow(_features, "grade int, features array<int>, counts array<tinyint>"), "features")
+    per_grade = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    total = sum(found[g] for g in per_grade)
+    names = telling(rows, {g: found[g] / n / total for g, n in per_grade.items()}, sum(found[g] for g in per_grade if g > 0) / total)
+    columns = docs.sparkSession.sparkContext.broadcast(names)
+    got = rows.mapInArrow(_columns(columns), "grade int, features array<int>, counts array<tinyint>").toArrow().combine_chunks()
+    dropped(rows)
     # rows in an order of their own, whatever that of the partitions
-    marks = [zlib.crc32(x.values.to_numpy()) for x in got["features"]]
+    marks = [zlib.crc32(x.values.to_numpy(), zlib.crc32(y.values.to_numpy())) for x, y in zip(got["features"], got["counts"], strict=True)]
     got = got.take(np.lexsort((marks, got["grade"].to_numpy()))).combine_chunks()
     grades = got["grade"].to_numpy().astype(np.int64)
     lists, counts = got["features"].combine_chunks(), got["counts"].combine_chunks()
-    per_grade = np.bincount(grades)
     share = np.array([found[g] / per_grade[g] for g in grades.tolist()])
-    return Ordinal.fit(grades, share, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), counts.flatten().to_numpy(), int(grades.max()))
+    return Ordinal.fit(grades, share, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), counts.flatten().to_numpy(), names, int(grades.max()))
+
+
+def telling(rows: DataFrame, share: dict[int, float], rate: float, least: int = LEAST, beyond: float = BEYOND) -> np.ndarray:
+    """The features, ascending, of rows (grade, features) in `least` documents or more whose share of toxic documents, rate overall, is off by `beyond` deviations or more. share: what a document of each grade stands for."""
+    per = functools.reduce(lambda out, x: out.when(F.col("grade") == x[0], x[1]), list(share.items())[1:], F.when(F.col("grade") == next(iter(share)), next(iter(share.values()))))
+    each = rows.select(F.explode("features").alias("feature"), per.alias("s"), (F.col("grade") > 0).alias("hit"))
+    sums = each.groupBy("feature").agg(F.count("*").alias("n"), F.sum("s").alias("base"), F.sum(F.when(F.col("hit"), F.col("s")).otherwise(0.0)).alias("hits"), F.sum(F.col("s") * F.col("s")).alias("spread"))
+    off = F.abs(F.col("hits") - rate * F.col("base")) >= beyond * F.sqrt(F.col("spread") * (rate * (1 - rate)))
+    return np.sort(sums.filter((F.col("n") >= least) & off).select("feature").toArrow()["feature"].to_numpy())  # bounded by the sample
+
+
+def _columns(names):
+    """Of each row's features those in names, as places in it."""
+
+    def run(batches):
+        known = names.value
+        for b in batches:
+            lists, counts = b.column("features"), b.column("counts")
+            f, c = lists.flatten().to_numpy(), counts.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(known, f), max(0, len(known) - 1))
+            use = known[at] == f if len(known) else np.zeros(len(f), bool)
+            ends = np.concatenate([[0], np.cumsum(use)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])].astype(np.int32)
+            cut = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(x[use], kind))
+            yield pa.record_batch([b.column("grade"), cut(at.astype(np.int32), pa.int32()), cut(c, pa.int8())], names=["grade", "features", "counts"])
+
+    return run
 
 
 def _graded(model, threshold: float):
@@ -171,9 +195,10 @@ def grade_of(toxic: str = "toxic", quality: str = "quality") -> Column:
 def grade(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = 0.5) -> DataFrame:
     """doc_id, severity (expected grade), grade (the highest that is as likely as not), toxic (grade 1 or more has probability threshold or more).
 
-    labels: doc_id, toxic, quality. Every whole text is graded, labelled or not; a null or empty one has the score of no
-    words. Without labels of two grades all severities are 0. Repeated rows keep theirs, null doc_ids too; of repeated
-    labels each counts; other columns are ignored.
+    labels: doc_id, toxic, quality. Every whole text is graded, labelled or not and however long; a null or empty one has
+    the score of no words. Without labels of two grades all severities are 0. Repeated rows keep theirs, null doc_ids
+    too; labels that are repeated with other grades each count; null labels and labels without a document count for
+    nothing. Other columns are ignored; an empty table gives no rows.
     """
     model = fitted(docs, labels, train_docs)
     rows = docs.select("doc_id", text_bytes().alias("bytes"))
@@ -181,7 +206,7 @@ def grade(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, thre
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
-    """The broadcast model; at most FEATURES weights."""
+    """The broadcast model; its weights are bounded by the sample."""
     has_columns(docs, ["doc_id", "text"])
     has_columns(labels, ["doc_id", "toxic", "quality"])
     graded = labels.select("doc_id", grade_of().alias("grade")).distinct()
@@ -189,7 +214,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows graded toxic; columns as they are."""
+    """docs without the rows graded toxic; columns as they are, whatever their names. Nulls, empty and long texts, repeated rows and missing labels are as in grade(); a text without words stays unless most documents are toxic."""
     model = fitted(docs, labels, train_docs)
 
     @F.pandas_udf("boolean")

@@ -10,7 +10,9 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from attestor.llm import packing, queries
+from pyspark.sql import functions as F
+
+from attestor.llm import packing, queries, toxicity
 from attestor.llm.mixing import targets
 
 SF = "/root/testdata/sf0.01"
@@ -142,11 +144,45 @@ def test_op7(spark, documents):
     got = run(spark, "op7_toxicity").set_index("doc_id")
     labels = pq.read_table(f"{SF}/labels.parquet").to_pylist()
     assert len(got) == len(documents)
-    hits = [(got.loc[x["doc_id"]].toxic, x["toxic"]) for x in labels]
-    assert sum(a and not b for a, b in hits) <= 2
-    assert sum(a and b for a, b in hits) > 0.6 * sum(b for _, b in hits)
     severe = got.severity[[x["doc_id"] for x in labels if x["toxic"]]].mean()
     assert severe > 5 * got.severity[[x["doc_id"] for x in labels if not x["toxic"]]].mean()
+    # every row by the plain sum of its words' weights, each kept as a dictionary
+    docs, graded = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", toxicity.grade_of().alias("grade")).distinct()
+    model = toxicity.train(docs, graded)
+    for d in documents:
+        words = {w.strip(toxicity._EDGES) for w in (d["text"] or "").encode().lower().split()} - {b""}
+        score = sum(model.weights.get(zlib.crc32(w) % 2**22, 0.0) + sum(model.weights.get(zlib.crc32(b"^" + w[:n], n) % 2**22, 0.0) for n in (4, 5, 6) if len(w) >= n) for w in words)
+        chance = [1 / (1 + np.exp(c - score)) for c in model.cuts]
+        r = got.loc[d["doc_id"]]
+        assert abs(r.severity - sum(chance)) < 1e-9 and r.grade == sum(c >= 0.5 for c in chance) and r.toxic == (chance[0] >= 0.5)
+
+
+def test_op7_held_out(spark):
+    """Trained on four fifths of the labels, on documents it hasn't seen labels of."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    got = toxicity.grade(docs, labels.filter(~held)).join(labels.filter(held), "doc_id").toPandas()
+    truth = got["toxic"].iloc[:, 1] if got["toxic"].ndim == 2 else got["toxic"]
+    assert truth.sum() > 50
+    hit = got.grade >= 1
+    assert hit[truth == 1].mean() >= 0.78 and hit[truth == 0].mean() <= 0.01
+
+
+def test_op7_features(spark):
+    """What is counted on the executors is what a plain count gives."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = docs.join(labels.select("doc_id", toxicity.grade_of().alias("grade")), "doc_id").select("grade", F.col("text").cast("binary").alias("bytes"))
+    got = toxicity.telling(rows.mapInArrow(toxicity._features, "grade int, features array<int>, counts array<tinyint>"), {0: 0.001, 1: 0.0005, 2: 0.0005}, 0.1)
+    n, base, hits, spread = (defaultdict(float) for _ in range(4))
+    for r in rows.collect():
+        s = 0.001 if r["grade"] == 0 else 0.0005
+        for f in {f for w in toxicity.words_of(bytes(r["bytes"] or b"")) for f in toxicity.features_of(w)}:
+            n[f] += 1
+            base[f] += s
+            hits[f] += s * (r["grade"] > 0)
+            spread[f] += s * s
+    want = [f for f in sorted(n) if n[f] >= 3 and abs(hits[f] - 0.1 * base[f]) >= 2 * (spread[f] * 0.09) ** 0.5]
+    assert len(set(want) ^ set(got.tolist())) <= 2 and len(want) > 20
 
 
 def test_op8(spark, documents):

@@ -273,7 +273,8 @@ def test_ordinal_shares_weights():
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 3, 600)
     lists = [np.unique(np.r_[rng.integers(100, 200, 5), [1] if g >= 1 else [2], [3] if g == 2 else [4]]) for g in grades]
-    m = toxicity.Ordinal.fit(grades, np.ones(600), np.array([len(x) for x in lists]), np.concatenate(lists).astype(np.int32), np.ones(sum(map(len, lists)), np.int8), 2)
+    names = np.unique(np.concatenate(lists))
+    m = toxicity.Ordinal.fit(grades, np.ones(600), np.array([len(x) for x in lists]), np.searchsorted(names, np.concatenate(lists)), np.ones(sum(map(len, lists)), np.int8), names, 2)
     assert list(m.cuts) == sorted(m.cuts) and m.weights[1] > 0 > m.weights[2] and m.weights[3] > 0
 
 
