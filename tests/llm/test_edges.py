@@ -235,25 +235,23 @@ def test_model_costs_are_those_of_escapes():
     for lang in sorted(texts):
         c = Counter()
         for t in texts[lang]:
-            s = [256, 256, 256, *t]
-            for i in range(3, len(s)):
-                c[((s[i - 3] * 257 + s[i - 2]) * 257 + s[i - 1]) * 257 + s[i]] += 1
+            c.update(language.grams_of(t).tolist())
         keys = np.array(sorted(c))
         counts.append((keys, np.array([c[k] for k in keys])))
     m = language.Model(sorted(texts), counts)
 
     def plain(docs, text):
         total = 0.0
-        history = [[256, 256, 256, *t] for t in docs]
-        s = [256, 256, 256, *text]
-        for i in range(3, len(s)):
-            bits, order = 0.0, 3
+        history = [[256] * 4 + [*t] for t in docs]
+        s = [256] * 4 + [*text]
+        for i in range(4, len(s)):
+            bits, order = 0.0, 4
             while True:
                 if order < 0:
                     bits += 8
                     break
                 context = s[i - order : i]
-                after = Counter(h[j] for h in history for j in range(3, len(h)) if h[j - order : j] == context)
+                after = Counter(h[j] for h in history for j in range(4, len(h)) if h[j - order : j] == context)
                 n, kinds = sum(after.values()), len(after)
                 if after[s[i]]:
                     bits -= np.log2(after[s[i]] / (n + kinds))
@@ -264,7 +262,7 @@ def test_model_costs_are_those_of_escapes():
             total += bits
         return total
 
-    for text in (b"abba", b"zz", b"q", b"azb", b""):
+    for text in (b"abba", b"abrab", b"zz", b"q", b"azb", b""):
         got = m.bits([text])[0]
         assert got == pytest.approx([plain(texts[x], text) for x in sorted(texts)], abs=1e-4)
 
