@@ -10,7 +10,6 @@ by sorting a pattern.
 
 from __future__ import annotations
 
-import heapq
 import json
 from fractions import Fraction
 
@@ -51,58 +50,82 @@ def targets(sizes: dict, weights: tuple[int, ...] = (3, 1, 2), share: Fraction =
 def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], repeats: int) -> list[dict[int, int]]:
     """Words from each pattern to each source: the quotas are met as far as they can be, at the least total cost.
 
-    The r-th repetition of a pattern's words costs r a word (r = 0, 1, ... repeats - 1). Successive shortest paths with
-    potentials; augmenting along a path saturates an edge, so rounds are bounded by the network's size.
+    The r-th repetition of a pattern's words costs r a word (r = 0, 1, ... repeats - 1), and nothing else costs. Shortest
+    paths therefore cost r = 0 first, then 1, and so on: one maximal flow after another, each with a repetition more, and
+    every one by blocking flows along shortest levels.
     """
-    n, m = len(capacity), len(quota)
-    start, end = n + m, n + m + 1
-    graph: list[list[int]] = [[] for _ in range(n + m + 2)]
-    to, room, cost = [], [], []
-
-    def edge(a: int, b: int, c: int, w: int) -> None:
-        for x, y, cc, ww in ((a, b, c, w), (b, a, 0, -w)):
-            graph[x].append(len(to))
-            to.append(y)
-            room.append(cc)
-            cost.append(ww)
-
-    everything = sum(quota) + 1
-    for p in range(n):
-        for r in range(repeats):
-            edge(start, p, capacity[p], r)
-    inner = {}
-    for p in range(n):
-        for s in members[p]:
-            inner[p, s] = len(to)
-            edge(p, n + s, everything, 0)
-    for s in range(m):
-        edge(n + s, end, quota[s], 0)
-    potential = [0] * (n + m + 2)
-    while True:
-        far: list = [None] * (n + m + 2)
-        come: list = [None] * (n + m + 2)
-        far[start], heap = 0, [(0, start)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > far[x]:
-                continue
-            for e in graph[x]:
-                if room[e] > 0 and (far[to[e]] is None or d + cost[e] + potential[x] - potential[to[e]] < far[to[e]]):
-                    far[to[e]] = d + cost[e] + potential[x] - potential[to[e]]
-                    come[to[e]] = e
-                    heapq.heappush(heap, (far[to[e]], to[e]))
-        if far[end] is None:
-            break
-        potential = [p + (d if d is not None else far[end]) for p, d in zip(potential, far, strict=True)]
-        path, x = [], end
-        while x != start:
-            path.append(come[x])
-            x = to[come[x] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
-    return [{s: room[inner[p, s] ^ 1] for s in members[p]} for p in range(n)]
+    flow = [dict.fromkeys(sorted(x), 0) for x in members]
+    sources = [list(x) for x in flow]
+    patterns: list[list[int]] = [[] for _ in quota]
+    for p, x in enumerate(sources):
+        for s in x:
+            patterns[s].append(p)
+    left, need = [0] * len(capacity), list(quota)
+    for _ in range(repeats):
+        left = [a + b for a, b in zip(left, capacity, strict=True)]
+        while (levels := _levels(flow, sources, patterns, left, need)) is not None:
+            _block(flow, sources, patterns, left, need, *levels)
+    return flow
+
+
+def _levels(flow, sources, patterns, left, need):
+    """Levels of patterns and sources from patterns with words left, up to the first sources that need some; None if there are none."""
+    at_p, at_s = [0 if x > 0 else -1 for x in left], [-1] * len(need)
+    edge, depth = [p for p, x in enumerate(left) if x > 0], 0
+    while edge:
+        reached = []
+        for p in edge:
+            for s in sources[p]:
+                if at_s[s] < 0:
+                    at_s[s] = depth
+                    reached.append(s)
+        if any(need[s] > 0 for s in reached):
+            return at_p, at_s, depth
+        edge, depth = [], depth + 1
+        for s in reached:
+            for p in patterns[s]:
+                if at_p[p] < 0 and flow[p][s] > 0:  # words given to s may go elsewhere
+                    at_p[p] = depth
+                    edge.append(p)
+    return None
+
+
+def _block(flow, sources, patterns, left, need, at_p, at_s, depth) -> None:
+    """Pushes words along the levels until no path is left in them."""
+    next_s, next_p = [0] * len(left), [0] * len(need)
+    for first in range(len(left)):
+        path = [first]  # pattern, source, pattern, ...
+        while path and left[first] > 0 and at_p[first] == 0:
+            x = path[-1]
+            if len(path) % 2:
+                while next_s[x] < len(sources[x]) and at_s[sources[x][next_s[x]]] != at_p[x]:
+                    next_s[x] += 1
+                if next_s[x] < len(sources[x]):
+                    path.append(sources[x][next_s[x]])
+                    continue
+            elif at_s[x] == depth:
+                if need[x] > 0:
+                    back = [flow[path[i + 1]][path[i]] for i in range(1, len(path) - 1, 2)]
+                    push = min(left[first], need[x], *back) if back else min(left[first], need[x])
+                    left[first] -= push
+                    need[x] -= push
+                    for i in range(0, len(path), 2):
+                        flow[path[i]][path[i + 1]] += push
+                    for i in range(1, len(path) - 1, 2):
+                        flow[path[i + 1]][path[i]] -= push
+                    path = [first]
+                    continue
+            else:
+                while next_p[x] < len(patterns[x]) and not (at_p[p := patterns[x][next_p[x]]] == at_s[x] + 1 and flow[p][x] > 0):
+                    next_p[x] += 1
+                if next_p[x] < len(patterns[x]):
+                    path.append(patterns[x][next_p[x]])
+                    continue
+            path.pop()  # a dead end
+            if path and len(path) % 2:
+                next_s[path[-1]] += 1
+            elif path:
+                next_p[path[-1]] += 1
 
 
 def seeded(seed: int, *columns: str) -> Column:
@@ -111,7 +134,7 @@ def seeded(seed: int, *columns: str) -> Column:
 
 
 def _mixed(docs: DataFrame, sources: Column, keep: list[str], identity: list[str], weights: tuple[int, ...], share: Fraction, most: int, seed: int, exact: bool) -> DataFrame:
-    """row (struct of keep), size, pattern, source_size, target, taken."""
+    """row (struct of keep), size, pattern, source_size, target, credit, taken."""
     spark = docs.sparkSession
     # names of sources, in order; null for none
     pattern = F.when(F.size(F.coalesce(sources, F.array().cast("array<string>"))) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(sources)))
@@ -132,8 +155,9 @@ def _mixed(docs: DataFrame, sources: Column, keep: list[str], identity: list[str
     for (key, p, size), flow in zip(patterns, flows, strict=True):
         taken = sum(flow.values())
         copies = taken // size if size else 0
-        plan.append((key, sizes[p[0]], float(want[p[0]]), copies, taken - copies * size))
-    schema = T.StructType.fromDDL("pattern string, source_size long, target double, copies long, rest long")
+        credit = [(s, flow[at[s]] / taken) for s in p if flow[at[s]]]
+        plan.append((key, sizes[p[0]], float(want[p[0]]), copies, taken - copies * size, credit))
+    schema = T.StructType.fromDDL("pattern string, source_size long, target double, copies long, rest long, credit array<struct<source: string, share: double>>")
     # at most MAX_PATTERNS rows
     planned = F.broadcast(spark.createDataFrame(plan, schema))
     rows = rows.join(planned, "pattern").withColumn("range", F.shiftright("turn", 63 - RANGES.bit_length() + 1))
@@ -150,26 +174,27 @@ def _mixed(docs: DataFrame, sources: Column, keep: list[str], identity: list[str
     edge = edge.withColumn("left", F.col("rest") - F.col("before") - (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")))
     part = F.greatest(F.lit(0), F.least("size", "left"))
     more = part if exact else F.when(part * 2 >= F.col("size"), F.col("size")).otherwise(0)
-    out = ["row", "size", "pattern", "source_size", "target"]
+    out = ["row", "size", "pattern", "source_size", "target", "credit"]
     taken = lambda x: (F.col("copies") * F.col("size") + x).cast("long").alias("taken")
     return edge.select(*out, taken(more)).unionByName(rows.filter(~F.coalesce(inside, F.lit(False))).select(*out, taken(F.when(whole, F.col("size")).otherwise(0))))
 
 
 def mix(docs: DataFrame, sources: str = "sources", weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 42) -> DataFrame:
-    """doc_id, size, pattern (JSON), source_size, target and taken (words, repetitions counted).
+    """doc_id, size, pattern (JSON), source_size, target, credit and taken (words, repetitions counted).
 
     docs has doc_id, text and `sources`, the array of sources of a document (a null element is a source of its own; a null
     or empty array is the source null alone). Of a document with several sources, source_size and target are those of
-    the first in the pattern. A null text has size 0 and nothing is taken of it. Repeated rows are documents of their own;
+    the first in the pattern; credit has the share of its taken words that counts for each of its sources. A null or empty
+    text has size 0 and nothing is taken of it. Repeated rows are documents of their own;
     null doc_ids too. The last document taken of a pattern counts only for the words still missing, so that the words
     taken are the flow. Other columns are ignored; an empty table gives no rows.
     """
     has_columns(docs, ["doc_id", "text", sources])
-    return _mixed(docs, F.col(sources), ["doc_id"], ["doc_id", "text"], weights, share, most, seed, True).select("row.*", "size", "pattern", "source_size", "target", "taken")
+    return _mixed(docs, F.col(sources), ["doc_id"], ["doc_id", "text"], weights, share, most, seed, True).select("row.*", "size", "pattern", "source_size", "target", "credit", "taken")
 
 
 def mixed_documents(docs: DataFrame, sources: Column, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 42) -> DataFrame:
-    """The mix itself: docs' rows, each as often as it is taken; columns as they are. The last document of a pattern is taken whole or not, whichever is nearer; documents without words aren't taken."""
+    """The mix itself: docs' rows, each as often as it is taken; columns as they are, whatever their names. The last document of a pattern is taken whole or not, whichever is nearer; documents without words (null and empty texts) aren't taken. Null ids and sources, repeated rows, long texts and empty tables are as in mix()."""
     has_columns(docs, ["doc_id", "text"])
     out = _mixed(docs, sources, docs.columns, ["doc_id", "text"], weights, share, most, seed, False).filter("taken > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.expr("taken div size").cast("int")))).select("row.*")
