@@ -100,18 +100,24 @@ def _postings(width, gram):
     return run
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), _longs(np.concatenate([np.empty(0, np.uint64), *arrays])))
+
+
 def _verified(width, gram):
+    """The different windows of a text with one of the shared fingerprints."""
+
     def run(batches):
         for b in batches:
-            docs, hashes, prints = b.column("doc").to_numpy(), [], []
+            hashes, prints = [], []
             for x, shared in zip(b.column("bytes"), b.column("shared"), strict=True):
                 whole, p = windows(_words(x), width, gram)
                 mask = _among(p, shared.values.to_numpy().view(np.uint64))
                 whole, first = np.unique(whole[mask], return_index=True)
                 hashes.append(whole)
                 prints.append(p[mask][first])
-            empty = [np.empty(0, np.uint64)]
-            yield pa.record_batch([_longs(np.concatenate(hashes or empty)), _longs(np.concatenate(prints or empty)), pa.array(np.repeat(docs, [len(h) for h in hashes]))], names=["whole", "fp", "doc"])
+            yield pa.record_batch([b.column("doc"), _lists(hashes), _lists(prints)], names=["doc", "wholes", "fps"])
 
     return run
 
@@ -190,8 +196,8 @@ class FingerprintIndex:
             self._add(one, level + 1)
 
     def _windows(self, units: DataFrame, lists: DataFrame) -> DataFrame:
-        """whole, fp, doc of the windows of units whose fingerprint is in lists (doc, shared)."""
-        return units.join(lists, "doc").select("doc", "bytes", "shared").mapInArrow(_verified(self.width, self.gram), "whole long, fp long, doc long")
+        """doc, wholes, fps: the windows of units whose fingerprint is in lists (doc, shared)."""
+        return units.join(lists, "doc").select("doc", "bytes", "shared").mapInArrow(_verified(self.width, self.gram), "doc long, wholes array<long>, fps array<long>")
 
     def ingest(self, units: DataFrame, columns: list[Column] | None = None) -> DataFrame:
         """Adds units (doc long, th string, bytes binary; one row per different text of a doc) and returns, for each, what is left of it: columns, or doc, th, n_words, n_removed, kept (binary). A window goes if it starts in a document before."""
@@ -216,13 +222,20 @@ class FingerprintIndex:
         shared = stored(state.select("fp", F.when(F.col("first") == F.col("last"), F.col("first")).alias("fetch")), "shared")
         lists = posting.join(shared.select("fp"), "fp").groupBy("doc").agg(F.collect_set("fp").alias("shared"))
         new = stored(self._windows(units, lists), "new")
-        every = [new.select("fp", "whole", F.col("doc").alias("least"))]
+        each = lambda df: df.select("doc", F.explode(F.arrays_zip("fps", "wholes")).alias("w")).select(F.col("w.fps").alias("fp"), F.col("w.wholes").alias("whole"), F.col("doc").alias("least"))
+        every = [each(new)]
         fetched = shared.filter("fetch is not null").groupBy(F.col("fetch").alias("doc")).agg(F.collect_set("fp").alias("shared"))
-        every += [self._windows(t, fetched).select("fp", "whole", F.col("doc").alias("least")) for t in self.texts]
+        every += [each(self._windows(t, fetched)) for t in self.texts]
         every += [r.windows.join(shared.select("fp"), "fp", "left_semi") for r in runs]
         windows = functools.reduce(DataFrame.unionByName, every).groupBy("fp", "whole").agg(F.min("least").alias("least"))
         windows = self._bucketed(windows, "windows")
-        gone = new.join(windows, ["whole", "fp"]).filter(_before(F.col("least"), F.col("doc"))).groupBy("doc").agg(F.collect_set("whole").alias("repeated"))
+        # a document keeps the windows of which it is the least; so windows move once each, and not with every document
+        own_windows = windows.filter(F.col("least") >= F.lit(bounds["a"])).groupBy(F.col("least").alias("doc")).agg(F.collect_list("whole").alias("first"))
+        held = new.groupBy("doc").agg(F.flatten(F.collect_list("wholes")).alias("wholes")).join(own_windows, "doc", "left")
+        gone = held.select("doc", F.array_except("wholes", F.coalesce("first", F.array().cast("array<long>"))).alias("repeated"))
+        if bounds["b"] >= NULLS:  # among null doc_ids none comes before another
+            later = each(new.filter(F.col("doc") >= NULLS)).withColumnRenamed("least", "doc").join(windows.filter(F.col("least") < NULLS), ["fp", "whole"])
+            gone = gone.filter(F.col("doc") < NULLS).unionByName(later.groupBy("doc").agg(F.collect_set("whole").alias("repeated")))
         left = units.join(gone, "doc", "left").select("doc", "th", "bytes", "repeated").mapInArrow(_kept(self.width, self.gram), KEPT)
         out = stored(left.select(*columns), "left")
         for done in (posting, shared, new):
@@ -252,9 +265,10 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch
     narrow = stored(rows.select("doc_id", "doc", "th"), "texts")
     first = narrow.groupBy("th").agg(F.min("doc").alias("doc"))
     # a row for each text in its smallest document; copies of it there are told apart nowhere
-    units = rows.drop("doc_id").repartition(buckets, "doc").join(first, ["doc", "th"], "left_semi").select("doc", "th", "bytes")
+    own = first.groupBy("doc").agg(F.collect_set("th").alias("own"))  # a doc_id's different texts: one, but for repeated doc_ids
+    units = rows.drop("doc_id").repartition(buckets, "doc").join(own, "doc").filter(F.array_contains("own", F.col("th"))).select("doc", "th", "bytes")
     with partitions_kept(spark):
-        units = stored_bucketed(units.repartition(buckets, "doc"), "units", "doc", buckets)
+        units = stored_bucketed(units, "units", "doc", buckets)
     cuts = first.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
     index, parts = FingerprintIndex(spark, width, gram, buckets, fanout), []
