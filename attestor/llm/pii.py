@@ -6,7 +6,8 @@ ranges, the calendar) and otherwise stay. What is left is turned into a list of
 10, a letter 26, an address byte 256, a day its century's days in two parts, anything that belongs to the format 1 - and
 permuted by a keyed alternating Feistel network over the two halves of that list: in each round, each value of one half
 is moved, modulo its radix, by a keyed hash of the other half. The result has the same format and is valid again; check
-digits are computed anew. Equal values have equal pseudonyms in every document, different ones of a kind have different.
+digits are computed anew. Equal values have equal pseudonyms in every document, different ones of a kind have different:
+a date that can only be read with the day first stays one, by permuting on until its day is over 12.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from attestor.llm.common import has_columns
 ROUNDS = 10  # an even number, so that the halves end up in their places
 
 # fixed values: what candidates look like, by kind
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+){1,8}+"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+){1,8}+"
 DATE = r"(?<![0-9A-Za-z/.\-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![0-9A-Za-z/\-]|\.\d)"
 CARD = r"(?<![0-9A-Za-z.\-])(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{4,5})(?![0-9A-Za-z]|[.\-]\d)"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
@@ -133,8 +134,12 @@ def _date(m: str, key: str) -> str:
     width = "CASE WHEN t[0] < 100 THEN 157L WHEN t[0] div 100 % 4 = 0 THEN 487L ELSE 397L END"  # years 1 to 99: 36159 days, 157 lots of 230 are 49 short of it
     height = "CASE WHEN t[0] < 100 THEN 230L WHEN t[0] div 100 % 4 = 0 THEN 75L ELSE 92L END"
     index = f"cast(datediff(make_date(t[0], t[1], t[2]), {start}) as bigint)"
-    moved = _feistel("array(d.i div d.w, d.i % d.w)", "array(d.h, d.w)", key, "date")
-    day = _let("o", moved, "date_add(d.s, cast(o[0] * d.w + o[1] as int))")
+    # x is days from the century's start
+    moved = lambda x: _let("y", x, _let("o", _feistel("array(y div d.w, y % d.w)", "array(d.h, d.w)", key, "date"), "o[0] * d.w + o[1]"))
+    at = lambda x: f"date_add(d.s, cast({x} as int))"
+    # with the day first for sure: on to the next such day of the cycle; 64 steps miss it with a probability under 1e-25
+    walked = f"aggregate(sequence(1, 64), {moved('d.i')}, (a, j) -> if(day({at('a')}) > 12, a, {moved('a')}))"
+    day = f"if({m} LIKE '%/%' AND cast(split({m}, '/')[0] as int) > 12, {at(walked)}, {at(moved('d.i'))})"
     shape = (
         f"CASE WHEN {m} LIKE '%-%' THEN date_format(e, 'yyyy-MM-dd') WHEN {m} LIKE '%.%' THEN date_format(e, if({m} rlike r'^\\d\\d\\.\\d\\d\\.', 'dd.MM.yyyy', 'd.M.yyyy')) "
         f"WHEN cast(split({m}, '/')[0] as int) <= 12 THEN date_format(e, if({m} rlike r'^\\d\\d/\\d\\d/', 'MM/dd/yyyy', 'M/d/yyyy')) ELSE date_format(e, if({m} rlike r'^\\d\\d/\\d\\d/', 'dd/MM/yyyy', 'd/M/yyyy')) END"
@@ -143,10 +148,14 @@ def _date(m: str, key: str) -> str:
     return _let("t", numbers, f"if({valid}, {found}, {m})")
 
 
+def _pieces(text: str, key: str, tweak: str) -> str:
+    """text permuted in pieces of 64 characters: a list of values costs the square of its length."""
+    return f"array_join(transform(regexp_extract_all({text}, '.{{1,64}}', 0), g -> {_chars('g', 'false', key, tweak)}), '')"
+
+
 def _secret(m: str, key: str) -> str:
     value = f"regexp_extract({m}, '[A-Za-z0-9_-]+$', 0)"
-    pieces = f"array_join(transform(regexp_extract_all(n, '.{{1,64}}', 0), g -> {_chars('g', 'false', key, 'secret')}), '')"  # a list of values costs the square of its length
-    return f"if({m} LIKE 'AKIA%', concat('AKIA', {_chars(f'substr({m}, 5)', 'false', key, 'key')}), {_let('n', value, f'concat(substr({m}, 1, length({m}) - length(n)), {pieces})')})"
+    return f"if({m} LIKE 'AKIA%', concat('AKIA', {_chars(f'substr({m}, 5)', 'false', key, 'key')}), {_let('n', value, f"concat(substr({m}, 1, length({m}) - length(n)), {_pieces('n', key, 'secret')})")})"
 
 
 def _kind(m: str) -> str:
@@ -158,7 +167,7 @@ def _kind(m: str) -> str:
 def pseudonym(kind: str, value: str, key: str) -> str:
     """SQL for the pseudonym of value, a candidate of that kind; value itself if it isn't valid."""
     m = "m0"
-    email = f"concat({_chars(f"substring_index({m}, '@', 1)", 'false', key, 'email')}, '@', substring_index({m}, '@', -1))"
+    email = f"concat({_pieces(f"substring_index({m}, '@', 1)", key, 'email')}, '@', substring_index({m}, '@', -1))"
     cases = {"email": email, "date": _date(m, key), "card": _card(m, key), "iban": _iban(m, key), "ssn": _ssn(m, key), "ipv4": _ipv4(m, key), "phone": _phone(m, key), "secret": _secret(m, key)}
     return _let(m, value, f"CASE {kind} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cases.items()) + f" ELSE {m} END")
 
@@ -178,8 +187,10 @@ def pseudonymised(text: str, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, found: str | None = "pii") -> DataFrame:
     """docs with text replaced and a last column `found`, array<struct<kind, value, pseudonym>> of what was replaced; with found None, docs' own columns only.
 
-    All other columns and rows stay as they are; a column of docs named as `found` is overwritten. A null text stays null
-    with an empty list; so does an empty one. Numbers that fail validation are left alone.
+    All other columns and rows stay as they are, whatever their names; a column of docs named as `found` is overwritten. A
+    null text stays null with an empty list; so does an empty one. Long texts are worked on whole. Repeated rows and null
+    ids keep theirs; an empty table gives no rows. Numbers that fail validation are left alone, and a value that the
+    permutation maps to itself (one in as many as its format has) isn't in the list.
     """
     has_columns(docs, ["text"])
     done = docs.select(F.struct("*").alias("row"), pseudonymised("text", key).alias("done"))
