@@ -3,7 +3,8 @@
 The container holds two logical streams, interleaved page by page: raw unsigned 8-bit mono samples, and a data stream
 that tells how many of their bytes are the document's own. The decoder verifies each page's checksum (and looks for the
 next page where one fails), separates the streams by serial number, puts packets together from lacing values over
-page ends, and takes times from granule positions, which count samples.
+page ends, and gives every packet the times that the granule positions, which count samples, have for it. A stream starts
+with a page marked as its first; a serial number that comes up again starts another stream.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +27,7 @@ _HEAD = struct.Struct("<4sBBqIIIB")
 _AUDIO = struct.Struct(">8sHHIIBBHI")
 _DATA = struct.Struct("<8sQQ")
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
-FEATURES = "doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, bad_pages long, payload binary"
+FEATURES = "doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, packet_seconds array<double>, bad_pages long, payload binary"
 
 
 def checksum(page: bytes) -> int:
@@ -48,7 +50,7 @@ def _page(flags: int, granule: int, serial: int, number: int, lacing: bytes, bod
 def pages_of(serial: int, packets: list[tuple[bytes, int]]) -> list[tuple[int, bytes]]:
     """(granule, page) for packets with their granule positions. The first packet has a page of its own; the others fill pages to 255 segments, so packets run over page ends."""
     out, number = [], 0
-    for group in (packets[:1], packets[1:]):
+    for at_end, group in ((not packets[1:], packets[:1]), (True, packets[1:])):
         lacing, body, done, flags = bytearray(), bytearray(), -1, FIRST if not number else 0
         for i, (packet, granule) in enumerate(group):
             sizes = [255] * (len(packet) // 255) + [len(packet) % 255]
@@ -63,7 +65,7 @@ def pages_of(serial: int, packets: list[tuple[bytes, int]]) -> list[tuple[int, b
                 at += size
             done = granule
             if i == len(group) - 1:
-                last = LAST if group is not packets[:1] and packets[1:] and packet is packets[-1][0] else 0
+                last = LAST if at_end else 0
                 out.append((done, _page(flags | last, done, serial, number, bytes(lacing), bytes(body))))
                 number += 1
     return out
@@ -81,7 +83,9 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
 
 @dataclass
 class Stream:
+    serial: int = 0
     packets: list[bytes] = field(default_factory=list)
+    ends: list[int | None] = field(default_factory=list)
     granule: int = 0
     expected: int = 0
     open: bytearray | None = None
@@ -89,14 +93,23 @@ class Stream:
     pages: int = 0
     lost: int = 0
 
+    def times(self, length: Callable[[bytes], int], rate: float) -> list[float | None]:
+        """The second at which each packet starts. A page's granule position is where its last whole packet ends; the packets before it end where the next starts, length telling how long one is. Without a position they have none."""
+        out, after = [], None
+        for packet, end in zip(reversed(self.packets), reversed(self.ends), strict=True):
+            after = end if end is not None else after
+            after = None if after is None else after - length(packet)
+            out.append(None if after is None else after / rate)
+        return out[::-1]
+
 
 @dataclass
 class Media:
-    streams: dict[int, Stream]
+    streams: list[Stream]
     bad_pages: int
 
     def _by(self, magic: bytes) -> Stream | None:
-        return next((s for s in self.streams.values() if s.packets and s.packets[0].startswith(magic)), None)
+        return next((s for s in self.streams if s.packets and s.packets[0].startswith(magic)), None)
 
     @property
     def samples(self) -> bytes:
@@ -113,6 +126,12 @@ class Media:
         s = self._by(b"PCM     ")
         return s.granule / self.rate if s else 0.0
 
+    @property
+    def packet_seconds(self) -> list[float | None]:
+        """When each packet of samples starts."""
+        s = self._by(b"PCM     ")
+        return s.times(len, self.rate)[1:] if s else []
+
     @property
     def n_bytes(self) -> int | None:
         s = self._by(b"ATTRDATA")
@@ -120,8 +139,9 @@ class Media:
 
 
 def decode(media: bytes) -> Media:
-    """All logical streams. A page with a wrong checksum or cut short is left out and counted; packets it had a part of are dropped."""
-    streams: dict[int, Stream] = {}
+    """All logical streams in order of their first pages, chained ones too. A page with a wrong checksum or cut short is left out and counted; packets it had a part of are dropped."""
+    streams: list[Stream] = []
+    now: dict[int, Stream] = {}
     at, bad = 0, 0
     while True:
         at = media.find(b"OggS", at)
@@ -135,12 +155,16 @@ def decode(media: bytes) -> Media:
         if version or len(lacing) < count or end > len(media) or checksum(media[at : at + 22] + b"\0\0\0\0" + media[at + 26 : end]) != crc:
             bad, at = bad + 1, at + 4
             continue
-        s = streams.setdefault(serial, Stream())
+        if flags & FIRST or serial not in now:
+            now[serial] = Stream(serial)
+            streams.append(now[serial])
+        s = now[serial]
         s.pages += 1
         if number != s.expected:
             s.open, s.lost = None, s.lost + 1
         s.expected = number + 1
         part = s.open if flags & CONTINUED else bytearray()  # None: its beginning is lost
+        done = len(s.packets)
         for size in lacing:
             if part is not None:
                 part += media[body : body + size]
@@ -150,8 +174,11 @@ def decode(media: bytes) -> Media:
                     s.packets.append(bytes(part))
                 part = bytearray()
         s.open = part if lacing and lacing[-1] == 255 else None
+        s.ends += [None] * (len(s.packets) - done)
         if granule >= 0:
             s.granule = granule
+            if len(s.packets) > done:
+                s.ends[-1] = granule
         s.ended |= bool(flags & LAST)
         at = end
 
@@ -163,7 +190,7 @@ def features(m: Media) -> str:
     rms = float(np.sqrt(((x - mean) ** 2).mean())) if len(x) else 0.0
     crossings = int(np.count_nonzero(np.diff(np.signbit(x - mean)))) if len(x) else 0
     peak = int(x.max()) if len(x) else 0
-    return f"streams={len(m.streams)};pages={sum(s.pages for s in m.streams.values())};packets={sum(len(s.packets) for s in m.streams.values())};seconds={m.seconds:.6f};mean={mean:.6f};rms={rms:.6f};peak={peak};crossings={crossings}"
+    return f"streams={len(m.streams)};pages={sum(s.pages for s in m.streams)};packets={sum(len(s.packets) for s in m.streams)};seconds={m.seconds:.6f};mean={mean:.6f};rms={rms:.6f};peak={peak};crossings={crossings}"
 
 
 def _encoded(batches):
@@ -179,27 +206,27 @@ def _decoded(with_payload: bool):
             for media in b.column("media"):
                 data = media.as_py()
                 if data is None:
-                    rows.append((None,) * 10)
+                    rows.append((None,) * 11)
                     continue
                 m = decode(data)
                 p = m.samples
-                rows.append((m.n_bytes, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(m), m.seconds, m.bad_pages, p))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 10
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.binary()]
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "bad_pages", "payload"][: 9 + with_payload]
+                rows.append((m.n_bytes, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(m), m.seconds, m.packet_seconds, m.bad_pages, p))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 11
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.binary()]
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "packet_seconds", "bad_pages", "payload"][: 10 + with_payload]
             yield pa.record_batch([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols[: len(names)], kinds, strict=False))], names=["doc_id", *names])
 
     return run
 
 
 def media_column(docs: DataFrame) -> DataFrame:
-    """doc_id and media, the Ogg file of each whole text. Null is as empty; other columns are ignored; repeated rows keep theirs."""
+    """doc_id and media, the Ogg file of each whole text, however long. Null is as empty; other columns are ignored; repeated rows and null ids keep theirs; an empty table gives no rows."""
     has_columns(docs, ["doc_id", "text"])
     return docs.select("doc_id", text_bytes().alias("bytes")).mapInArrow(_encoded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
 def media_facts(media: DataFrame, with_payload: bool = False) -> DataFrame:
-    """What a media column (doc_id, media) holds, from its bytes alone. A null file gives nulls; damaged pages are counted in bad_pages."""
+    """What a media column (doc_id, media) holds, from its bytes alone. A null file gives nulls, an empty one no samples; damaged pages are counted in bad_pages; packet_seconds has the start of each packet of samples, null where no position tells it."""
     has_columns(media, ["doc_id", "media"])
     schema = FEATURES.format(kind=media.schema["doc_id"].dataType.simpleString())
     return media.select("doc_id", "media").mapInArrow(_decoded(with_payload), schema if with_payload else schema.removesuffix(", payload binary"))
@@ -208,5 +235,3 @@ def media_facts(media: DataFrame, with_payload: bool = False) -> DataFrame:
 def round_trip(docs: DataFrame) -> DataFrame:
     """The texts stored as a media table in the shared folder, read back and described."""
     return media_facts(stored(media_column(docs), "media"))
-
-

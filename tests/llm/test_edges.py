@@ -281,13 +281,13 @@ def test_ogg_damage():
     media = ogg.encode(payload, 70_000)
     m = ogg.decode(media)
     assert m.samples == payload and m.n_bytes == 70_000 and m.bad_pages == 0 and m.seconds == len(payload) / ogg.RATE
-    assert len(m.streams) == 2 and all(s.ended for s in m.streams.values())
+    assert len(m.streams) == 2 and all(s.ended for s in m.streams)
     hurt = bytearray(media)
     hurt[len(media) // 2] ^= 1
     bad = ogg.decode(bytes(hurt))
     assert bad.bad_pages == 1 and len(bad.samples) < len(payload)
     assert ogg.decode(media[:-10]).bad_pages == 1
-    assert ogg.decode(b"").streams == {}
+    assert ogg.decode(b"").streams == []
 
 
 def test_ogg_checksum_is_the_containers():
@@ -444,3 +444,27 @@ def test_index_over_many_batches(spark):
                 gone |= set(range(at, at + 13))
         want.append((i, len(words), len(gone), " ".join(w for at, w in enumerate(words) if at not in gone)))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_ogg_packet_times():
+    payload = bytes(range(256)) * 300  # 76,800 samples, 20 packets over two pages
+    m = ogg.decode(ogg.encode(payload, 70_000))
+    assert m.packet_seconds == pytest.approx([i * ogg.PACKET / ogg.RATE for i in range(20)]) and m.seconds == 76_800 / ogg.RATE
+    # a lost page: the packets after it still have their own times
+    media = ogg.encode(payload * 3, 70_000)
+    cuts = [i for i in range(len(media)) if media.startswith(b"OggS", i)]
+    gap = ogg.decode(media[: cuts[4]] + media[cuts[5] :])
+    s = next(s for s in gap.streams if s.packets[0].startswith(b"PCM"))
+    whole = ogg.decode(media).packet_seconds
+    times = dict(zip(whole, (payload * 3)[:: ogg.PACKET], strict=True))
+    got = gap.packet_seconds
+    assert s.lost == 1 and len(got) < len(whole) and set(got) < set(whole) and got == sorted(got)
+    assert [p[0] for p in s.packets[1:]] == [times[t] for t in got]
+
+
+def test_ogg_chained_streams():
+    """Files one after another, with the same serial numbers, are streams of their own."""
+    one = ogg.encode(b"a" * 192, 5)
+    m = ogg.decode(one + one)
+    assert len(m.streams) == 4 and not m.bad_pages and m.samples == b"a" * 192
+    assert [s.lost for s in m.streams] == [0] * 4 and all(s.ended for s in m.streams)
