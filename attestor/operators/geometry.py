@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions.vectors import centroid, clip01, dot, let, unit, unit_row
+from attestor.operators.ranks import quantiles_of
 
 RANK, TOP_K = 8, 12
 RANK_EPS, EPS = 1e-6, 1e-12
@@ -235,5 +236,6 @@ def difficulty(margin_p90: float, rank_ratio_p90: float, pr_p90: float, weights:
 def difficulty_calibration(positives: DataFrame) -> DataFrame:
     """One row: margin_p90, rank_ratio_p90, pr_p90 of the positives, with floors 0.05, 0.1 and 1."""
     ratio = F.col("effective_rank") / F.greatest(F.lit(1), F.col("evidence_count"))
-    p90 = lambda c, floor, name: F.greatest(F.lit(floor), F.percentile(c, F.lit(0.9))).alias(name)
-    return positives.agg(p90(F.col("sim_margin"), 0.05, "margin_p90"), p90(ratio, 0.1, "rank_ratio_p90"), p90(F.col("participation_ratio"), 1.0, "pr_p90"))
+    wanted = {"margin_p90": (F.col("sim_margin"), 0.05), "rank_ratio_p90": (ratio, 0.1), "pr_p90": (F.col("participation_ratio"), 1.0)}
+    marks = quantiles_of(positives, {n: (c, 0.9) for n, (c, _) in wanted.items()})
+    return marks.select(*(F.greatest(F.lit(floor), n).alias(n) for n, (_, floor) in wanted.items()))

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+import math
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.policies import ACCEPT, REJECT, REVIEW
 from attestor.operators.frames import settled
-from attestor.operators.negatives import dense_index, portable_hash
+from attestor.operators.negatives import portable_hash
+from attestor.operators.ranks import met, quantiles, quantiles_of, running
 
 #: Edges of equal bins as they are in binary fractions of ten.
 TENTHS = [i * 0.1 for i in range(10)] + [1.0]
@@ -31,26 +36,10 @@ def _by_score(df: DataFrame, score: Column, positive: Column, by: list[str]) ->
     return rows.groupBy(*by, "s__").agg(F.sum(F.when(F.col("y__"), 1).otherwise(0)).alias("p__"), F.sum(F.when(F.col("y__"), 0).otherwise(1)).alias("n__"))
 
 
-def _running(rows: DataFrame, by: list[str], order: str, columns: dict[str, str]) -> DataFrame:
-    """rows with sums of the rows before, in order and within by. Without by, rows are range-partitioned and every partition adds what lies before it, so that no task sees all."""
-    if by:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return functools.reduce(lambda d, c: d.withColumn(c[1], F.coalesce(F.sum(c[0]).over(w), F.lit(0))), columns.items(), rows)
-    parts = settled(rows.repartitionByRange(order).withColumn("part__", F.spark_partition_id()))
-    own = Window.partitionBy("part__").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("part__").agg(*(F.sum(c).alias(f"t_{c}") for c in columns))
-    earlier = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    totals = totals.select("part__", *(F.coalesce(F.sum(f"t_{c}").over(earlier), F.lit(0)).alias(f"t_{c}") for c in columns))
-    out = parts.join(F.broadcast(totals), "part__")
-    for c, name in columns.items():
-        out = out.withColumn(name, F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"t_{c}"))
-    return out.drop("part__", *(f"t_{c}" for c in columns))
-
-
 def auc(df: DataFrame, score: Column, positive: Column, by: list[str] | None = None) -> DataFrame:
     """by, auc, positives, negatives. Ties count half; null where a class is missing."""
     by = by or []
-    rows = _running(_by_score(df, score, positive, by), by, "s__", {"n__": "before__"})
+    rows = running(_by_score(df, score, positive, by), by, "s__", {"n__": "before__"})
     p, n = F.sum("p__"), F.sum("n__")
     wins = F.sum(F.col("p__") * (F.col("before__") + F.col("n__") / 2.0))
     return rows.groupBy(*by).agg(F.when((p > 0) & (n > 0), wins / (p.cast("double") * n.cast("double"))).alias("auc"), p.alias("positives"), n.alias("negatives"))
@@ -73,9 +62,11 @@ def accept_rates(df: DataFrame, tau: float | Column, energy: str = "energy", spl
 
 def distribution(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """by, n, mean, std, min, max, p10, p50, p90; without by and without rows, no row."""
-    p = lambda q: F.percentile(column, F.lit(q))
-    out = df.groupBy(*(by or [])).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"))
-    return out.filter("n > 0")
+    by = by or []
+    rows = settled(df.select(*by, column))
+    out = rows.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")).filter("n > 0")
+    marks = quantiles(rows, F.col(column), [0.1, 0.5, 0.9], by)
+    return met(out, marks, by).withColumnsRenamed({"q0": "p10", "q1": "p50", "q2": "p90"})
 
 
 def verdict_counts(df: DataFrame, by: list[str] | None = None, verdict: str = "verdict") -> DataFrame:
@@ -93,13 +84,19 @@ def summary(df: DataFrame) -> DataFrame:
     """One row on scored rows: n, verdict counts, energy's mean, std, median and p90, stable and unstable."""
     count = lambda c: F.count(F.when(c, 1))
     v = F.col("verdict")
-    return df.agg(F.count("*").alias("n"), *(count(v == x).alias(x) for x in (ACCEPT, REVIEW, REJECT)), F.avg("energy").alias("energy_mean"), F.stddev_pop("energy").alias("energy_std"), F.percentile("energy", F.lit(0.5)).alias("energy_p50"), F.percentile("energy", F.lit(0.9)).alias("energy_p90"), count(F.col("is_stable")).alias("stable"), count(~F.col("is_stable")).alias("unstable"))
+    rows = settled(df.select("verdict", "energy", "is_stable"))
+    out = rows.agg(F.count("*").alias("n"), *(count(v == x).alias(x) for x in (ACCEPT, REVIEW, REJECT)), F.avg("energy").alias("energy_mean"), F.stddev_pop("energy").alias("energy_std"), count(F.col("is_stable")).alias("stable"), count(~F.col("is_stable")).alias("unstable"))
+    marks = quantiles(rows, F.col("energy"), [0.5, 0.9]).toDF("energy_p50", "energy_p90")
+    return out.crossJoin(marks).select("n", ACCEPT, REVIEW, REJECT, "energy_mean", "energy_std", "energy_p50", "energy_p90", "stable", "unstable")
 
 
 def energy_metrics(df: DataFrame) -> DataFrame:
     """One row: means, medians and stds by split, and their gap."""
+    rows = settled(df.select("split", "energy"))
     pos, neg = (F.when(F.col("split") == s, F.col("energy")) for s in ("pos", "neg"))
-    return df.agg(F.avg(pos).alias("mean_pos"), F.avg(neg).alias("mean_neg"), F.percentile(pos, F.lit(0.5)).alias("median_pos"), F.percentile(neg, F.lit(0.5)).alias("median_neg"), (F.avg(neg) - F.avg(pos)).alias("gap"), F.stddev_pop(pos).alias("std_pos"), F.stddev_pop(neg).alias("std_neg"))
+    out = rows.agg(F.avg(pos).alias("mean_pos"), F.avg(neg).alias("mean_neg"), (F.avg(neg) - F.avg(pos)).alias("gap"), F.stddev_pop(pos).alias("std_pos"), F.stddev_pop(neg).alias("std_neg"))
+    medians = quantiles_of(rows, {"median_pos": (pos, 0.5), "median_neg": (neg, 0.5)})
+    return out.crossJoin(medians).select("mean_pos", "mean_neg", "median_pos", "median_neg", "gap", "std_pos", "std_neg")
 
 
 def pathologies(df: DataFrame, high_energy: float = 0.7, low_energy: float = 0.3, low_difficulty: float = 0.3, high_difficulty: float = 0.7) -> DataFrame:
@@ -165,7 +162,7 @@ def baseline_policy(sweep: DataFrame, preferred: tuple[str, ...] = ("EnergyOnly"
 
 def tau_lookup(sweep: DataFrame, runs: DataFrame | None = None, calibration: DataFrame | None = None) -> DataFrame:
     """One row: tau from the runs, else the calibration, else the median of the sweep's."""
-    median = sweep.agg(F.percentile("tau_accept", F.lit(0.5)).alias("t0"))
+    median = quantiles(sweep, F.col("tau_accept"), [0.5]).toDF("t0")
     out, found = median, []
     for i, (df, c) in enumerate(((runs, "tau_energy"), (calibration, "tau_energy")), 1):
         if df is not None and c in df.columns:
@@ -242,10 +239,17 @@ def dominates(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def equal_far(df: DataFrame, far: float, score: str = "energy") -> DataFrame:
     """One row: the tau at which a share `far` of negatives is accepted (just below all of them for 0), and tpr and far there."""
-    neg = F.when(F.col("split") == "neg", F.col(score))
-    tau = df.agg((F.percentile(neg, F.lit(far)) if far > 0 else F.min(neg) - 1e-6).alias("tau_eq"))
+    rows = settled(df.select("split", score))
+    tau = _tau_at(rows, [far], score).withColumnRenamed("q0", "tau_eq")
     ok = F.col(score) <= F.col("tau_eq")
-    return df.crossJoin(F.broadcast(tau)).groupBy("tau_eq").agg(share_where(ok, F.col("split") == "pos").alias("tpr"), share_where(ok, F.col("split") == "neg").alias("far"))  # one row
+    return rows.crossJoin(F.broadcast(tau)).groupBy("tau_eq").agg(share_where(ok, F.col("split") == "pos").alias("tpr"), share_where(ok, F.col("split") == "neg").alias("far"))  # one row
+
+
+def _tau_at(df: DataFrame, far: list[float], score: str = "energy") -> DataFrame:
+    """One row, q0, q1, ...: where each share `far` of negatives is accepted; just below all of them for 0."""
+    neg = F.when(F.col("split") == "neg", F.col(score))
+    marks = quantiles(df, neg, [0.0, *far])
+    return marks.select(*((F.col(f"q{i}") if f > 0 else F.col("q0") - 1e-6).alias(f"q{i - 1}") for i, f in enumerate(far, 1)))
 
 
 def policy_against_energy(df: DataFrame, tau: float) -> DataFrame:
@@ -258,16 +262,15 @@ def policy_against_energy(df: DataFrame, tau: float) -> DataFrame:
 def gap_sweep(df: DataFrame, verdict_at, widths: list[float]) -> DataFrame:
     """width, tpr, far, energy_tpr, gain: for each width, the rates of verdict_at(width) and what energy alone reaches at the same far.
 
-    All widths are columns of one pass; the energies' percentiles at those rates are taken from one sorted array of
-    distinct negatives' scores, counted.
+    All widths are columns of one pass over settled rows; the energies' quantiles at those rates are found in one dealing out.
     """
+    df = settled(df)
     pos, neg = F.col("split") == "pos", F.col("split") == "neg"
     rates = df.agg(*(share_where(verdict_at(w) == ACCEPT, pos).alias(f"t{i}") for i, w in enumerate(widths)), *(share_where(verdict_at(w) == ACCEPT, neg).alias(f"f{i}") for i, w in enumerate(widths))).first()
     far = [rates[f"f{i}"] or 0.0 for i in range(len(widths))]
-    e = F.when(neg, F.col("energy"))
-    taus = df.agg(*((F.percentile(e, F.lit(float(f))) if f > 0 else F.min(e) - 1e-6).alias(f"q{i}") for i, f in enumerate(far))).first()
+    taus = _tau_at(df, far).first()
     got = df.agg(*(share_where(F.col("energy") <= taus[f"q{i}"], pos).alias(f"e{i}") for i in range(len(widths)))).first()
-    rows = [(float(w), rates[f"t{i}"], rates[f"f{i}"], got[f"e{i}"], None if rates[f"t{i}"] is None else rates[f"t{i}"] - got[f"e{i}"]) for i, w in enumerate(widths)]
+    rows = [(float(w), rates[f"t{i}"], rates[f"f{i}"], got[f"e{i}"], None if rates[f"t{i}"] is None or got[f"e{i}"] is None else rates[f"t{i}"] - got[f"e{i}"]) for i, w in enumerate(widths)]
     return df.sparkSession.createDataFrame(rows, "width double, tpr double, far double, energy_tpr double, gain double")
 
 
@@ -325,8 +328,6 @@ def collapsed_axes(matrix: DataFrame, least: float = 0.85) -> DataFrame:
 
 def correlation_eigenvalues(matrix: DataFrame) -> list[float]:
     """Descending; empty for an empty matrix or one with gaps. The matrix has a row for each pair of a fixed list of axes."""
-    import numpy as np
-
     rows = matrix.collect()
     names = sorted({r["a"] for r in rows})
     m = np.full((len(names), len(names)), np.nan)
@@ -369,7 +370,7 @@ def reliability(df: DataFrame, score: Column, positive: Column, bins: int = 10)
 
 def roc(df: DataFrame, score: Column, positive: Column) -> DataFrame:
     """score, tpr, far of the step curve: from the highest score down, rows at least that high are accepted."""
-    rows = _running(_by_score(df, -score, positive, []), [], "s__", {"p__": "pb__", "n__": "nb__"})
+    rows = running(_by_score(df, -score, positive, []), [], "s__", {"p__": "pb__", "n__": "nb__"})
     totals = rows.agg(F.sum("p__").alias("P"), F.sum("n__").alias("N"))
     return rows.crossJoin(F.broadcast(totals)).select((-F.col("s__")).alias("score"), F.try_divide(F.col("pb__") + F.col("p__"), F.col("P")).alias("tpr"), F.try_divide(F.col("nb__") + F.col("n__"), F.col("N")).alias("far"))  # one row
 
@@ -387,7 +388,7 @@ def tpr_at(df: DataFrame, score: Column, positive: Column, far: float = 0.01) ->
 
 def precision_recall(df: DataFrame, score: Column, positive: Column) -> DataFrame:
     """score, precision, recall by falling score."""
-    rows = _running(_by_score(df, -score, positive, []), [], "s__", {"p__": "pb__", "n__": "nb__"})
+    rows = running(_by_score(df, -score, positive, []), [], "s__", {"p__": "pb__", "n__": "nb__"})
     total = rows.agg(F.sum("p__").alias("P"))
     tp, fp = F.col("pb__") + F.col("p__"), F.col("nb__") + F.col("n__")
     return rows.crossJoin(F.broadcast(total)).select((-F.col("s__")).alias("score"), F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, F.col("P")).alias("recall"), F.try_divide(F.col("p__"), F.col("P")).alias("step"))  # one row
@@ -419,21 +420,68 @@ def boundary(df: DataFrame, tau: float, width: float, axes: list[str], far: floa
     return got.join(tprs, "axis").join(corr, "axis").crossJoin(F.broadcast(sizes)).filter(F.least("p", "n") >= least).drop("p", "n")  # one row
 
 
+#: A prime, and the numbers under it that are draws of 0, 1, 2, ... from a Poisson distribution of mean 1.
+PRIME = 2**31 - 1
+DRAWS = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(i + 1))) for i in range(12)]
+
+
+def draw_keys(seed: int, replicates: int) -> list[tuple[int, int]]:
+    """A factor and a summand for each replicate."""
+    word = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    return [(1 + word(seed, b, "a") % (PRIME - 1), word(seed, b, "c") % PRIME) for b in range(replicates)]
+
+
+def _resampled(factor: np.ndarray, summand: np.ndarray):
+    """Of one partition, sorted by score: by replicate the positives, the negatives, and the pairs that are in order within it."""
+
+    def run(batches):
+        positives, negatives, wins = (np.zeros(len(factor), np.int64) for _ in range(3))
+        pending = [np.zeros(len(factor), np.int64), np.zeros(len(factor), np.int64)]  # of the score in hand
+        last = None
+
+        def close():
+            nonlocal positives, negatives, wins
+            p, n = pending
+            wins += p * (2 * negatives + n)  # in halves
+            positives, negatives = positives + p, negatives + n
+            pending[:] = [np.zeros_like(p), np.zeros_like(n)]
+
+        for batch in batches:
+            scores, keys, positive = (batch[c].to_numpy() for c in ("s__", "k__", "y__"))
+            for at in range(0, len(scores), 512):
+                k = keys[at : at + 512].astype(np.int64)
+                weights = np.searchsorted(DRAWS, (k[:, None] * factor + summand) % PRIME, side="right")
+                part, up = scores[at : at + 512], positive[at : at + 512].astype(bool)
+                cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    if last is not None and part[low] != last:
+                        close()
+                    last = part[low]
+                    w, y = weights[low:high], up[low:high]
+                    pending[0] = pending[0] + w[y].sum(axis=0)
+                    pending[1] = pending[1] + w[~y].sum(axis=0)
+        if last is not None:
+            close()
+            yield pd.DataFrame({"first": [0], "p": [positives], "n": [negatives], "wins": [wins], "last": [float(last)]})
+
+    return run
+
+
 def bootstrap_auc(df: DataFrame, score: str, positive: Column, replicates: int = 1000, seed: int = 42, order: str = "id") -> DataFrame:
-    """One row: mean, low, high (2.5 and 97.5 percentiles) and replicates with both classes. Draws come from a hash that other engines compute alike.
+    """One row: mean, low, high (2.5 and 97.5 percentiles) and replicates with both classes.
 
-    Each replicate is n draws of row indices; a row's draws are counted first, so scores meet counts and not draws.
+    How often a row is in a replicate is a Poisson draw of mean 1, from a hash of `order` that other engines compute alike:
+    resampling with replacement without a row having to know the others. Rows are range-partitioned by score; a partition
+    sums up all replicates in one pass, and what it puts out is a number for each replicate.
     """
-    rows = dense_index(df.select(order, F.col(score).cast("double").alias("s__"), positive.alias("y__")).filter("s__ is not null and y__ is not null"), [F.col(order)], "k__").select("k__", "s__", "y__")
-    n = rows.count()
-    spark = df.sparkSession
-    draws = spark.range(replicates).withColumnRenamed("id", "b").select("b", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("d")) if n else spark.createDataFrame([], "b long, d int")
-    drawn = draws.select("b", (portable_hash(seed, F.col("b"), F.col("d")) % max(1, n)).alias("k__")).groupBy("b", "k__").agg(F.count("*").alias("w__"))
-    scored = drawn.join(rows, "k__").groupBy("b", "s__").agg(F.sum(F.when(F.col("y__"), F.col("w__")).otherwise(0)).alias("p__"), F.sum(F.when(F.col("y__"), 0).otherwise(F.col("w__"))).alias("n__"))
-    ranked = _running(scored, ["b"], "s__", {"n__": "before__"})
-    p, m = F.sum("p__"), F.sum("n__")
-    each = ranked.groupBy("b").agg(F.when((p > 0) & (m > 0), F.sum(F.col("p__") * (F.col("before__") + F.col("n__") / 2.0)) / (p.cast("double") * m.cast("double"))).alias("auc")).filter("auc is not null")
-    return each.agg(F.avg("auc").alias("mean"), F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
+    rows = df.select((portable_hash(seed, F.col(order)) % PRIME).alias("k__"), F.col(score).cast("double").alias("s__"), positive.cast("boolean").alias("y__")).filter("s__ is not null and y__ is not null")
+    keys = np.array(draw_keys(seed, replicates), np.int64).reshape(-1, 2)
+    parts = rows.repartitionByRange("s__").sortWithinPartitions("s__").mapInPandas(_resampled(keys[:, 0], keys[:, 1]), "first int, p array<long>, n array<long>, wins array<long>, last double")
+    each = settled(parts.drop("first")).select("last", F.posexplode(F.arrays_zip("p", "n", "wins")).alias("b", "x")).select("last", "b", "x.*")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    p, n = F.sum("p"), F.sum("n")
+    aucs = each.withColumn("before", before).groupBy("b").agg(F.when((p > 0) & (n > 0), F.sum(F.col("wins") / 2.0 + F.col("p") * F.col("before")) / (p.cast("double") * n.cast("double"))).alias("auc")).filter("auc is not null")
+    return aucs.agg(F.avg("auc").alias("mean"), F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))  # a row a replicate
 
 
 def artifact_issues(scored: DataFrame, calibration: DataFrame, required: tuple[str, ...] = ("tau_energy", "tau_pr", "tau_sensitivity", "hard_negative_gap", "hard_negative_gap_norm", "separation", "positives")) -> list[str]:

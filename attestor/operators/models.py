@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.operators import metrics as M
-from attestor.operators.negatives import portable_hash
+from attestor.operators.negatives import dense_index, portable_hash
+from attestor.operators.ranks import met
 
 # fixed values: feature sets
 GEOMETRY = ["mean_sim_top1", "min_sim_top1", "mean_sim_margin", "min_sim_margin", "mean_coverage", "min_coverage", "max_energy", "mean_energy", "min_energy", "p90_energy", "frac_above_threshold", "high_energy_count", "energy_gap"]
@@ -25,15 +26,19 @@ def features(support: DataFrame) -> DataFrame:
     return gaps.select(*other, *(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in FEATURE_SETS["full"]))
 
 
+def _ranked(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """df with at__, the place of a row within its class in a seeded order, and n__, the class's rows. The order goes over range partitions of all rows; a class's places start where it does."""
+    rows = dense_index(df.withColumn("turn__", portable_hash(seed, F.col(key))), [F.col(label), F.col("turn__"), F.col(key)], "at__")
+    return met(rows, rows.groupBy(label).agg(F.min("at__").alias("first__"), F.count("*").alias("n__")), [label]).withColumn("at__", F.col("at__") - F.col("first__")).drop("turn__", "first__")
+
+
 def stratified_split(df: DataFrame, label: str = "label", key: str = "id", share: float = 0.7, seed: int = 42) -> DataFrame:
     """df with `part`: train for the first share of each class in a seeded order, else test."""
-    w = Window.partitionBy(label).orderBy(portable_hash(seed, F.col(key)), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("part", F.when(F.row_number().over(w) <= F.floor(n * share), "train").otherwise("test"))
+    return _ranked(df, label, key, seed).withColumn("part", F.when(F.col("at__") < F.floor(F.col("n__") * share), "train").otherwise("test")).drop("at__", "n__")
 
 
 def folds(df: DataFrame, k: int = 5, label: str = "label", key: str = "id", seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(portable_hash(seed, F.col(key)), key)) - 1) % k).cast("int"))
+    return _ranked(df, label, key, seed).withColumn("fold", (F.col("at__") % k).cast("int")).drop("at__", "n__")
 
 
 def scaled(df: DataFrame, fit_on: DataFrame, names: list[str]) -> DataFrame:

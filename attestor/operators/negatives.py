@@ -16,6 +16,7 @@ from attestor.functions.text import pages_of
 from attestor.functions.vectors import centroid, unit
 from attestor.operators.frames import settled
 from attestor.operators.geometry import spectral
+from attestor.operators.ranks import quantiles
 
 OFFSET, CANDIDATES, BLOCK = 37, 16, 4096
 EVIDENCE = ("evidence", "evidence_ids", "evidence_vecs")
@@ -188,4 +189,6 @@ def hard_gap_per_claim(hard: DataFrame, easy: DataFrame, claim: str = "claim", e
     """One row: n, mean, std, p90 and positive fraction of easy minus hard energy by claim text; of a claim's several hard rows the last counts."""
     last = hard.groupBy(claim).agg(F.max_by(energy, order).alias("hard__"))
     gap = easy.select(claim, F.col(energy).alias("easy__")).join(last, claim).select((F.col("hard__") - F.col("easy__")).alias("gap"))
-    return gap.agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("std"), F.percentile("gap", F.lit(0.9)).alias("p90"), F.avg(F.when(F.col("gap") > 0, 1.0).otherwise(0.0)).alias("positive_fraction"))
+    gap = settled(gap)
+    out = gap.agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("std"), F.avg(F.when(F.col("gap") > 0, 1.0).otherwise(0.0)).alias("positive_fraction"))
+    return out.crossJoin(quantiles(gap, F.col("gap"), [0.9]).toDF("p90")).select("n", "mean", "std", "p90", "positive_fraction")

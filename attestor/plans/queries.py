@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from attestor.functions import policies as P
 from attestor.functions import text as X
 from attestor.functions import vectors as V
-from attestor.operators import calibration, geometry, metrics, models, negatives, prepare, support
+from attestor.operators import calibration, geometry, metrics, models, negatives, prepare, ranks, support
 from attestor.plans import gate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,10 +581,19 @@ def score_fusion(spark, sf):
 @query()
 def bootstrap_auc(spark, sf):
     rows = scored(spark, sf).withColumn("key", F.concat_ws("|", "split", "idx"))
-    return metrics.bootstrap_auc(rows, "energy", F.col("split") == "neg", 200, order="key")
+    return metrics.bootstrap_auc(rows, "energy", F.col("split") == "neg", order="key")
 
 
-ORACLE["bootstrap_auc"] = BASE + f", y AS (SELECT energy AS sc, split = 'neg' AS y, row_number() OVER (ORDER BY split || '|' || idx) - 1 AS k, count(*) OVER () AS n FROM s), dr AS (SELECT b, {HASHED.format(seed=42, key='b, d')} % (SELECT any_value(n) FROM y) AS k FROM range(200) b(b), (SELECT unnest(range(any_value(n))) AS d FROM y)), rw AS (SELECT b, sc, y FROM dr JOIN y USING (k))" + _auc("rw", "sc", "y", "b") + " SELECT round(avg(auc), 9) AS mean, round(quantile_cont(auc, 0.025), 9) AS low, round(quantile_cont(auc, 0.975), 9) AS high, count(*) AS replicates FROM g3 WHERE auc IS NOT NULL"
+DRAWN = "CASE " + " ".join(f"WHEN u < {t} THEN {i}" for i, t in enumerate(metrics.DRAWS)) + f" ELSE {len(metrics.DRAWS)} END"
+WORD = "('0x' || substr(md5(42 || '|' || b || '|{}'), 1, 8))::BIGINT"
+ORACLE["bootstrap_auc"] = (
+    BASE
+    + f", y AS (SELECT energy AS sc, split = 'neg' AS y, {HASHED.format(seed=42, key=chr(39).join(['split || ', '|', ' || idx']))} % {metrics.PRIME} AS k FROM s), "
+    + f"bs AS (SELECT b, 1 + {WORD.format('a')} % {metrics.PRIME - 1} AS a, {WORD.format('c')} % {metrics.PRIME} AS c FROM range(1000) b(b)), "
+    + f"rw AS (SELECT b, sc, y, {DRAWN} AS w FROM (SELECT b, sc, y, (k * a + c) % {metrics.PRIME} AS u FROM y, bs)), "
+    + "g1 AS (SELECT b, sc, sum(w) FILTER (y) AS p, sum(w) FILTER (NOT y) AS m FROM rw GROUP BY ALL), g2 AS (SELECT b, coalesce(p, 0)::DOUBLE AS p, coalesce(m, 0)::DOUBLE AS m, coalesce(sum(m) OVER (PARTITION BY b ORDER BY sc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM g1), "
+    + "g3 AS (SELECT b, sum(p * (before + m / 2)) / nullif(sum(p) * sum(m), 0) AS auc FROM g2 GROUP BY b) SELECT round(avg(auc), 9) AS mean, round(quantile_cont(auc, 0.025), 9) AS low, round(quantile_cont(auc, 0.975), 9) AS high, count(*) AS replicates FROM g3 WHERE auc IS NOT NULL"
+)
 
 
 # --- text ---
@@ -731,7 +740,7 @@ def logreg_cv(spark, sf):
 
 @query()
 def gbt_auc(spark, sf):
-    auc, gain = models.boosted_split(model_table(spark, sf), ["energy", "participation_ratio", "sensitivity"], trees=10)
+    auc, gain = models.boosted_split(model_table(spark, sf), ["energy", "participation_ratio", "sensitivity"])
     return spark.createDataFrame([(k, float(v), auc) for k, v in gain.items()], "feature string, importance double, auc double")
 
 
@@ -739,7 +748,7 @@ def gbt_auc(spark, sf):
 def rf_importance(spark, sf):
     rows = model_table(spark, sf)
     names = ["energy", "participation_ratio", "sensitivity", "alignment"]
-    model = models.forest(rows, names, trees=20)
+    model = models.forest(rows, names)
     return spark.createDataFrame([(k, float(v)) for k, v in zip(names, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
@@ -765,7 +774,7 @@ def gate_run(spark, sf):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share accepted in both splits at the tenth percentile of the negatives' energies."""
     rows = scored(spark, sf_dir)
-    tau = rows.filter("split = 'neg'").agg(F.percentile("energy", F.lit(0.1)).alias("tau"))
+    tau = ranks.quantiles(rows.filter("split = 'neg'"), F.col("energy"), [0.1]).toDF("tau")
     out = rows.crossJoin(F.broadcast(tau)).groupBy("split", "tau").agg(F.count("*").alias("n"), F.avg("energy").alias("mean_energy"), metrics.share(F.col("energy") <= F.col("tau")).alias("accept_rate"))  # one row
     return rounded(out)
 
