@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.policies import ACCEPT, REJECT, REVIEW
@@ -484,6 +484,31 @@ def bootstrap_auc(df: DataFrame, score: str, positive: Column, replicates: int =
     return aucs.agg(F.avg("auc").alias("mean"), F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))  # a row a replicate
 
 
+def stability_facts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, effectiveness (its mean) and stable (the share of rows that are)."""
+    return df.groupBy(*(by or [])).agg(F.avg("effectiveness").alias("effectiveness"), share(F.col("is_stable")).alias("stable"))
+
+
+def columns_of(df: DataFrame) -> DataFrame:
+    """name, at (from 0) and type of df's columns."""
+    return df.sparkSession.createDataFrame([(n, i, t) for i, (n, t) in enumerate(df.dtypes)], "name string, at long, type string")
+
+
+def mode_column(df: DataFrame, candidates: tuple[str, ...] = ("neg_mode", "mode", "negative_mode")) -> str | None:
+    """The first of the candidates that df has."""
+    return next((c for c in candidates if c in df.columns), None)
+
+
+def missing_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that aren't there or are empty, by Hadoop's file systems; a folder's files count together."""
+    def size(path: str) -> int:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+    return [p for p in paths if size(p) == 0]
+
+
 def artifact_issues(scored: DataFrame, calibration: DataFrame, required: tuple[str, ...] = ("tau_energy", "tau_pr", "tau_sensitivity", "hard_negative_gap", "hard_negative_gap_norm", "separation", "positives")) -> list[str]:
     """What is missing from a run's results; empty if they are complete."""
     issues = [f"calibration lacks {k}" for k in required if k not in calibration.columns]

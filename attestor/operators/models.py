@@ -131,3 +131,14 @@ def composite_difficulty(df: DataFrame) -> DataFrame:
 def seed_stability(df: DataFrame, names: list[str], seeds: tuple[int, ...] = (0, 1, 2, 3, 4), key: str = "id") -> list[tuple[int, float]]:
     """(seed, mean auc over folds)."""
     return [(s, sum(a) / len(a)) for s in seeds if (a := cross_validated(df, names, key=key, seed=s))]
+
+
+def boundary_composite(df: DataFrame, tau: float, width: float) -> tuple[float | None, DataFrame]:
+    """(auc, rows with composite) of the composite difficulty among rows whose energy is within width of tau."""
+    rows = composite_difficulty(M.band(df, tau, width))
+    return M.auc(rows, F.col("composite"), F.col("label") == 1).first()["auc"], rows
+
+
+def boosted_cv(df: DataFrame, names: list[str], k: int = 5, trees: int = 300, key: str = "id", seed: int = 42) -> list[float]:
+    """Test auc by fold of boosted trees."""
+    return cross_validated(df, names, k, key, seed, lambda train, n: boosted(train, n, trees, seed=seed))

@@ -23,6 +23,34 @@ def latest(rows: DataFrame, keys: list[str], at: str = "updated_at") -> DataFram
     return best.select(*keys, "x.*").select(*rows.columns)
 
 
+def build_facts(wanted: DataFrame, cached: DataFrame, resolved: DataFrame, key: str = "element_id") -> DataFrame:
+    """One row about a cache build: wanted, hits (cached before), ok and failed (of the others, by resolved's ok)."""
+    known = cached.select(key).distinct().withColumn("hit__", F.lit(True))
+    new = resolved.select(key, "ok").groupBy(key).agg(F.bool_or("ok").alias("ok__"))
+    rows = wanted.select(key).distinct().join(known, key, "left").join(new, key, "left")
+    missed = F.col("hit__").isNull()
+    return rows.agg(F.count("*").alias("wanted"), F.count("hit__").alias("hits"), F.count(F.when(missed & F.coalesce("ok__", F.lit(False)), 1)).alias("ok"), F.count(F.when(missed & ~F.coalesce("ok__", F.lit(False)), 1)).alias("failed"))
+
+
+def sampled(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """The first n rows by a hash of key that other engines compute alike."""
+    return df.orderBy(portable_hash(seed, F.col(key)), key).limit(n)
+
+
+def page_by_title(titles: DataFrame, pages: DataFrame, column: str = "title") -> DataFrame:
+    """titles with the page that has the first of their spellings as its title; null columns where none has."""
+    found = match_titles(titles.select(column).distinct(), pages, column)
+    one = pages.withColumnRenamed("title", "found")
+    return titles.join(found.join(one, "found", "left"), column, "left")
+
+
+def load_counters(claims: DataFrame, complete: DataFrame, key: str = "id") -> DataFrame:
+    """One row about a load: claims, sets, kept_claims, dropped_claims, complete_sets; complete is what complete_claims gives."""
+    whole = claims.agg(F.count("*").alias("claims"), F.coalesce(F.sum(F.size("sets")), F.lit(0)).alias("sets"))
+    kept = complete.agg(F.count("*").alias("kept_claims"), F.coalesce(F.sum(F.size("complete_sets")), F.lit(0)).alias("complete_sets"))
+    return whole.crossJoin(kept).select("claims", "sets", "kept_claims", (F.col("claims") - F.col("kept_claims")).alias("dropped_claims"), "complete_sets")  # one row each
+
+
 def upsert(cached: DataFrame, new: DataFrame, keys: list[str], at: str = "updated_at") -> DataFrame:
     return latest(cached.unionByName(new), keys, at)
 

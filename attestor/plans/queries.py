@@ -506,7 +506,18 @@ def policy_against_energy(spark, sf):
     return metrics.policy_against_energy(traced(spark, sf), TAU)
 
 
-@query()
+SWEPT_GAP = (
+    BASE
+    + ", so AS (SELECT list_sort(list(energy)) AS l, count(*) AS n, min(energy) AS lo FROM s WHERE split = 'neg'), ws AS (SELECT i * 0.002::DOUBLE AS w FROM range(16) t(i)), "
+    + f"vv AS (SELECT w, split, energy, {CASES['adaptive'].replace('0.01*0.97', 'w*0.97')} AS verdict FROM ws, s), "
+    + "rt AS (SELECT w, avg(CASE WHEN verdict = 'accept' THEN 1.0::DOUBLE ELSE 0 END) FILTER (split = 'pos') AS tpr, avg(CASE WHEN verdict = 'accept' THEN 1.0::DOUBLE ELSE 0 END) FILTER (split = 'neg') AS far FROM vv GROUP BY w), "
+    + "tq AS (SELECT w, tpr, far, CASE WHEN far > 0 THEN l[floor(far * (n - 1))::BIGINT + 1] + (l[ceil(far * (n - 1))::BIGINT + 1] - l[floor(far * (n - 1))::BIGINT + 1]) * (far * (n - 1) - floor(far * (n - 1))) ELSE lo - 1e-6 END AS tau FROM rt, so), "
+    + "eq AS (SELECT w, tpr, far, avg(CASE WHEN energy <= tau THEN 1.0::DOUBLE ELSE 0 END) FILTER (split = 'pos') AS et FROM tq, s GROUP BY ALL) "
+    + "SELECT round(w, 9) AS width, round(tpr, 9) AS tpr, round(far, 9) AS far, round(et, 9) AS energy_tpr, round(tpr - et, 9) AS gain FROM eq"
+)
+
+
+@query(SWEPT_GAP)
 def gap_sweep(spark, sf):
     at = lambda w: P.Policy("adaptive", tau=TAU, tau_review=TAU_REVIEW, tau_pr=TAU_PR, tau_sensitivity=TAU_SENS, gap=w).verdict()
     return metrics.gap_sweep(scored(spark, sf), at, [i * 0.002 for i in range(16)])
@@ -718,6 +729,122 @@ def run_aggregation(spark, sf):
     return prepare.run_rates(rows).select("dataset", "tpr", "far", F.round("delta", 7).alias("delta"))
 
 
+@query(BASE + " SELECT round(avg(participation_ratio), 9) AS participation_ratio, round(avg(sensitivity), 9) AS sensitivity, round(avg(alignment), 9) AS alignment, round(avg(sim_margin), 9) AS sim_margin FROM s")
+def geometry_means(spark, sf):
+    return metrics.geometry_means(scored(spark, sf), ("participation_ratio", "sensitivity", "alignment", "sim_margin"))
+
+
+@query(CALIBRATED + " SELECT round(h.m - w.m, 9) AS separation FROM h, w")
+def calibration_separation(spark, sf):
+    rows = scored(spark, sf)
+    return calibration.separation(rows.filter("split = 'pos'"), rows.filter("split = 'neg'"))
+
+
+@query(TRACED + " SELECT least(9, floor(difficulty * 10))::INT AS bin, count(*) AS n FROM t WHERE difficulty < 1 GROUP BY 1")
+def effectiveness_by_bin(spark, sf):
+    """The curve without empty bins."""
+    return metrics.effectiveness_curve(traced(spark, sf), keep_empty=False).select("bin", "n")
+
+
+@query(TRACED + " SELECT split, round(avg(effectiveness), 9) AS effectiveness, round(avg(CASE WHEN sensitivity <= 0.6 THEN 1.0::DOUBLE ELSE 0 END), 9) AS stable FROM t GROUP BY 1")
+def stability_facts(spark, sf):
+    return metrics.stability_facts(traced(spark, sf).withColumn("is_stable", F.col("sensitivity") <= 0.6), ["split"])
+
+
+@query("SELECT column_name AS name, ordinal_position - 1 AS at FROM information_schema.columns WHERE table_name = 'lineitem'")
+def table_columns(spark, sf):
+    return metrics.columns_of(table(spark, sf, "lineitem")).select("name", "at")
+
+
+@query("SELECT 0::BIGINT AS issues")
+def artifact_check(spark, sf):
+    rows = scored(spark, sf)
+    neg = rows.filter("split = 'neg'")
+    issues = metrics.artifact_issues(rows, calibration.calibrate(rows.filter("split = 'pos'"), neg, neg))
+    return spark.createDataFrame([(len(issues),)], "issues long")
+
+
+@query(f"SELECT p_partkey, p_name FROM part WHERE p_size > 10 ORDER BY {HASHED.format(seed=42, key='p_partkey')}, p_partkey LIMIT 50")
+def sampled_rows(spark, sf):
+    """A sampling operator: the first fifty by hash."""
+    return prepare.sampled(table(spark, sf, "part").filter("p_size > 10"), 50, "p_partkey").select("p_partkey", "p_name")
+
+
+SPANS = "list_filter(list_transform(string_split(replace(text, E'\\n', ' '), '. '), lambda x: trim(x, E' \\n\\t\\r')), lambda x: length(x) > 30)"
+
+
+@query(f"SELECT doc_id, len({SPANS})::INT AS n, md5(array_to_string({SPANS}, '|')) AS digest FROM documents")
+def contract_spans(spark, sf):
+    parts = X.contract_spans(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(parts).alias("n"), F.md5(F.array_join(parts, "|").cast("binary")).alias("digest"))
+
+
+@query("SELECT p_partkey, 'The ' || lower(trim(p_brand)) || ' in this contract is ' || trim(p_type) || '.' AS claim, coalesce(nullif(trim(p_name), ''), p_brand) AS first FROM part")
+def contract_claims(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.contract_claim(F.col("p_brand"), F.col("p_type")).alias("claim"), X.first_text(F.lit("  "), F.col("p_name"), F.col("p_brand")).alias("first"))
+
+
+@query("SELECT doc_id, source || '|' || lang || '|x_' || lang AS required, source || '|' || lang || '|k|x_' || lang || '|z' AS every, sha256(source || '|||' || lang) AS pair_key FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def evidence_ids(spark, sf):
+    rows = table(spark, sf, "documents").filter("source is not null and lang is not null")
+    content = F.array("source", "lang", "source")
+    context = F.create_map(F.col("source"), F.array(F.col("lang"), F.concat(F.lit("x_"), F.col("lang"))), F.lit("k"), F.array(F.lit("z")))
+    every = F.array_join(X.all_ids(F.array("source", "lang"), context), "|")
+    return rows.select("doc_id", F.array_join(X.required_ids(content, context), "|").alias("required"), every.alias("every"), X.entailment_key(F.col("source"), F.col("lang")).alias("pair_key"))
+
+
+@query("SELECT page_id, url AS page, url AS local_page, l AS local, url AS named_page, l AS named FROM (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 'sentence_' || page_id WHEN 1 THEN 'cell_' || page_id || '_0' WHEN 2 THEN 'section_' || page_id ELSE 'title' END AS l FROM pages)")
+def element_pages(spark, sf):
+    p, u = F.col("page_id").cast("string"), F.col("url")
+    local = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("sentence_"), p)).when(F.col("page_id") % 4 == 1, F.concat(F.lit("cell_"), p, F.lit("_0"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("section_"), p)).otherwise("title")
+    c = F.concat(u, F.lit("_"), local)
+    return table(spark, sf, "pages").select("page_id", F.get(X.pages_of(F.array(c, c)), F.lit(0)).alias("page"), X.element_local(c).alias("a"), X.element_named(c).alias("b")).select("page_id", "page", F.col("a.page").alias("local_page"), F.col("a.local").alias("local"), F.col("b.page").alias("named_page"), F.col("b.local").alias("named"))
+
+
+@query("SELECT doc_id, md5(trim(nfc_normalize(text), E' \\n\\t\\r')) AS digest FROM documents")
+def composed_form(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.nfc(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("SELECT vec_id, len(embedding) * 4 AS bytes, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings", 6)
+def vectors_as_bytes(spark, sf):
+    b = X.bytes_of_vector(F.col("embedding"))
+    rows = table(spark, sf, "embeddings").select("vec_id", b.alias("b")).select("vec_id", F.octet_length("b").alias("bytes"), X.vector_of_bytes(F.col("b")).alias("v"))
+    return rows.select("vec_id", F.col("bytes").cast("long").alias("bytes"), F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+READY = "WITH r AS (SELECT doc_id FROM labels WHERE toxic <> 1), c AS (SELECT d.doc_id, r.doc_id IS NOT NULL AS a, r.doc_id IS NOT NULL AND n.doc_id IS NOT NULL AS b FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN r n ON n.doc_id = d.doc_id + 1)"
+
+
+def _claims(spark, sf):
+    """Documents as claims with two evidence sets, themselves and themselves with the next; ready are labelled ones that aren't toxic."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    own, after = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    none = F.create_map().cast("map<string,array<string>>")
+    claims = docs.select(F.col("doc_id").alias("id"), F.array(F.struct(F.array(own).alias("content"), none.alias("context")), F.struct(F.array(own, after).alias("content"), none.alias("context"))).alias("sets"))
+    return claims, labels.select(F.col("doc_id").cast("string").alias("element_id"), F.lit(True).alias("ok")), labels.filter("toxic <> 1").select(F.col("doc_id").cast("string").alias("element_id"))
+
+
+@query(READY + " SELECT doc_id AS id, a::INT + b::INT AS n FROM c WHERE a")
+def complete_claims(spark, sf):
+    return prepare.complete_claims(*_claims(spark, sf)).select("id", F.size("complete_sets").alias("n"))
+
+
+@query(READY + " SELECT count(*) AS claims, 2 * count(*) AS sets, count(*) FILTER (a) AS kept_claims, count(*) FILTER (NOT a) AS dropped_claims, count(*) FILTER (a) + count(*) FILTER (b) AS complete_sets FROM c")
+def load_counters(spark, sf):
+    claims, resolved, vectors = _claims(spark, sf)
+    return prepare.load_counters(claims, prepare.complete_claims(claims, resolved, vectors))
+
+
+@query("SELECT count(*) AS wanted, count(l.doc_id) AS hits, count(*) FILTER (l.doc_id IS NULL AND d.text IS NOT NULL) AS ok, count(*) FILTER (l.doc_id IS NULL AND d.text IS NULL) AS failed FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def cache_build(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    wanted = docs.select(F.col("doc_id").alias("element_id"))
+    cached = labels.select(F.col("doc_id").alias("element_id"))
+    resolved = docs.select(F.col("doc_id").alias("element_id"), F.col("text").isNotNull().alias("ok"))
+    return prepare.build_facts(wanted, cached, resolved)
+
+
 # --- models: the driver sees that they run; tests see what they give ---
 
 

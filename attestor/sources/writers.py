@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,25 @@ def json_lines(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).json(path)
 
 
+def json_lines_as_they_come(stream: DataFrame, path: str, checkpoint: str):
+    """A streaming query that appends what has come in to path, batch by batch, and stops; a later call goes on where it stopped. Batches are written once, also if one has to be repeated."""
+    return stream.writeStream.format("json").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
+def run_header(spark: SparkSession, path: str, meta: dict, mode: str = "overwrite") -> None:
+    """The facts of a run as one JSON line beside its dump."""
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode(mode).text(path)
+
+
+def policy_markdown(board: DataFrame, title: str = "Policies", limit: int = 25) -> str:
+    """A leaderboard's first rows and the list of the policies that no other beats."""
+    from attestor.operators import metrics as M
+
+    front = M.pareto_front(board).orderBy("neg_accept", "policy_name").select("policy_name", "neg_accept", "pos_accept")
+    lines = [f"- {r['policy_name']}: {_shown(r['neg_accept'])} of negatives, {_shown(r['pos_accept'])} of positives" for r in front.collect()]
+    return "\n".join([markdown(board, title, limit), "## Pareto front", "", *lines]) + "\n"
+
+
 def csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One file with a header; for reports of few rows."""
     rows.coalesce(1).write.mode(mode).option("header", True).csv(path)
