@@ -11,6 +11,7 @@ are packed by first fit. A full bin of class length s wastes capacity mod s, few
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -39,12 +40,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-# fixed values: the tokenizer's own pattern of what is tokenised by itself, for plain and for Latin letters
+# fixed values: how a tokenizer's file has to prepare texts for the way by chunks, and its pattern of what is tokenised by itself, for plain and for Latin letters
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITS = [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 _PLAIN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_LATIN = regex.compile(_PATTERN)
 _IS_PLAIN, _IS_LATIN = re.compile(rb"[!-~]*").fullmatch, re.compile("[!-~\u00c0-\u024f]*").fullmatch
 
 
+def by_chunks(path: str) -> bool:
+    """Whether the file's tokenizer prepares texts as Encoder's way by chunks does; all its added tokens begin with "<|"."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    steps = lambda x, many: x.get(many) if (x or {}).get("type") == "Sequence" else None
+    added = all(t["content"].startswith("<|") for t in d.get("added_tokens") or [])
+    return added and d["model"].get("type", "BPE") == "BPE" and steps(d.get("normalizer"), "normalizers") == _NORMALIZERS and steps(d.get("pre_tokenizer"), "pretokenizers") == _SPLITS
+
+
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte: printable ones for themselves, the others in order from 256."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -83,14 +96,15 @@ class Encoder:
     The tokenizer lower-cases and never joins tokens over white space, nor over the parts its pattern cuts a word into.
     So texts are cut at ASCII white space, A-Z is lowered, and every chunk is looked up; a new one of plain or Latin
     letters is cut into those parts and every different part goes through the BPE model once. Other new chunks, and
-    texts with "<|", which may hold a special token's string, go through the whole tokenizer.
+    texts with "<|", which may hold a special token's string, go through the whole tokenizer; so does everything if the
+    file prepares texts in another way.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.known = _Chunks(Tokenizer.from_file(path))
+        self.known, self.chunked = _Chunks(Tokenizer.from_file(path)), by_chunks(path)
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         known, out = self.known, []
@@ -100,7 +114,7 @@ class Encoder:
             if len(known.parts) > REMEMBERED:
                 known.parts.clear()
             t = t or b""
-            out.append(known.whole(t) if b"<|" in t else b"".join(map(known.__getitem__, t.lower().split())))
+            out.append(known.whole(t) if not self.chunked or b"<|" in t else b"".join(map(known.__getitem__, t.lower().split())))
         return out
 
 
