@@ -40,7 +40,9 @@ def _clean(value: str) -> bytes:
 
 def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None) -> bytes:
     """One gzip member."""
-    name = lambda i: f"<urn:page:{'' if i is None else i}>".encode()
+    digest = digest_of(payload)
+    # of an id's different payloads each has a name; rows that are wholly alike share one, as they are one record
+    name = lambda i: f"<urn:page:{'' if i is None else i}:{digest}>".encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if kind == "revisit" else http + payload
     fields = [
@@ -48,7 +50,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
         (b"WARC-Record-ID", name(page_id)),
         (b"WARC-Date", b"1970-01-01T00:00:00Z"),
         *([(b"WARC-Target-URI", _clean(url))] if url is not None else []),
-        (b"WARC-Payload-Digest", b"sha1:" + digest_of(payload).encode()),
+        (b"WARC-Payload-Digest", b"sha1:" + digest.encode()),
         (b"WARC-Payload-Length", b"%d" % len(payload)),
         *([(b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), (b"WARC-Refers-To", name(refers_to))] if kind == "revisit" else []),
         (b"Content-Type", b"application/http; msgtype=response"),
@@ -168,7 +170,7 @@ def parse(content: bytes) -> dict:
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
     block = block[: int(fields[b"content-length"])]
     kind = fields[b"warc-type"].decode()
-    number = lambda v: int(v[len(b"<urn:page:") : -1]) if v is not None and len(v) > len(b"<urn:page:>") else None
+    number = lambda v: int(x) if v is not None and (x := v.split(b":")[2]) else None
     payload = block.partition(b"\r\n\r\n")[2]
     stated = fields[b"warc-payload-digest"].decode().partition(":")[2]
     if kind == "response" and digest_of(payload) != stated:
@@ -178,6 +180,16 @@ def parse(content: bytes) -> dict:
     return {"page_id": number(fields[b"warc-record-id"]), "url": None if url is None else url.decode(), "payload_bytes": n, "payload_digest": stated, "record_type": kind, "refers_to": number(fields.get(b"warc-refers-to")), "payload": payload if kind == "response" else None}
 
 
+#: Names that Hadoop has for file systems which pyarrow knows by others.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def opened(path: str):
+    """The file system and the path in it of a path as Spark lists it."""
+    scheme, colon, rest = path.partition(":")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest) if colon else (pafs.LocalFileSystem(), path)
+
+
 def _read(with_payload: bool):
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload, "archive", "offset"]
     kinds = {"url": pa.string(), "payload_digest": pa.string(), "record_type": pa.string(), "payload": pa.binary(), "archive": pa.string()}
@@ -188,7 +200,7 @@ def _read(with_payload: bool):
     def run(batches):
         for b in batches:
             for path, size, start, end in zip(*(b.column(c).to_pylist() for c in ("path", "length", "start", "stop")), strict=True):
-                system, inner = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+                system, inner = opened(path)
                 rows, held = [], 0
                 with system.open_input_file(inner) as file:
                     for offset, content in members_in(file, size, start, end):
@@ -203,7 +215,7 @@ def _read(with_payload: bool):
 
 
 def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
-    """The records of an archive directory or file: see RECORD. Payloads are checked against their digests; a revisit's payload is null, its length and digest are those of the full payload."""
+    """The records of an archive directory or file: see RECORD. Payloads are checked against their digests; a revisit's payload is null, its length and digest are those of the full payload. The path has to be on a file system that pyarrow opens as well: local, HDFS, S3 (also as s3a), GCS or Azure."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # the content isn't read
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.withColumn("stop", F.least(F.col("start") + split_bytes, "length"))
@@ -217,7 +229,8 @@ def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: b
 
     A null html is an empty payload; equal payloads, empty ones too, are stored once. A null page_id comes back null and
     is only referred to if all copies have none - then all are responses. Repeated page_ids keep their rows; rows with
-    the smallest page_id of a payload are responses all. Other columns are ignored; an empty table gives no rows.
+    the smallest page_id of a payload are responses all. Payloads of any length are whole. Other columns are ignored; an
+    empty table gives no rows.
     """
     has_columns(pages, ["page_id", "url", "html"])
     spark = pages.sparkSession
