@@ -127,7 +127,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id (of several such rows, one); columns as they are."""
+    """docs with one row of each component, that of the smallest doc_id (of several such rows, the one whose columns hash least); columns as they are, whatever their names. Nulls, empty and long texts, repeated rows and empty tables are as in simhash_groups()."""
     return first_of_each(docs, *_classified(docs))
 
 
@@ -137,5 +137,7 @@ def first_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataF
     # the texts move once, by document
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
     joined = whole.join(first, whole["id"].eqNullSafe(first["kept_id"]) & (whole["th"] == first["kept_th"]))
-    rank = F.row_number().over(Window.partitionBy("kept_id", "kept_th").orderBy(F.lit(1)))
+    # rows with one id and text: one by a hash of all their columns that have one, so that reruns agree
+    rest = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    rank = F.row_number().over(Window.partitionBy("kept_id", "kept_th").orderBy(F.xxhash64(*(F.col(f"row.`{c}`") for c in rest))))
     return joined.withColumn("rank", rank).filter("rank = 1").select("row.*")

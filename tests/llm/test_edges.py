@@ -468,3 +468,26 @@ def test_ogg_chained_streams():
     m = ogg.decode(one + one)
     assert len(m.streams) == 4 and not m.bad_pages and m.samples == b"a" * 192
     assert [s.lost for s in m.streams] == [0] * 4 and all(s.ended for s in m.streams)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_of_other_files(name):
+    """A file that prepares texts in another way is encoded whole: the ids are the tokenizer's own."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path(name)
+    texts = ["Ein Haus, it's 42!", "  ÄÖÜ ß\tx\n", "", "<|endoftext|> a", "日本 語", "A" * 300]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    got = [list(np.frombuffer(x, "<u4")) for x in packing.Encoder(path)([t.encode() for t in texts])]
+    assert got == want and packing.by_chunks(path) == (name == "word_bpe_49k.json")
+
+
+def test_warc_names_and_schemes():
+    """Different payloads of one id, or of none, have different record ids."""
+    names = {warc.record(i, "u", p, "response", None) for i, p in ((1, b"a"), (1, b"b"), (None, b"a"), (None, b"b"))}
+    import zlib as z
+
+    ids = [next(x for x in z.decompress(m, 31).split(b"\r\n") if x.startswith(b"WARC-Record-ID")) for m in names]
+    assert len(set(ids)) == 4
+    assert [warc.parse(z.decompress(m, 31))["page_id"] for m in sorted(names)].count(None) == 2
+    assert warc.opened("/tmp/x")[1] == "/tmp/x" and warc.opened("file:///tmp/x")[1] == "/tmp/x"
