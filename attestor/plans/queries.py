@@ -485,7 +485,16 @@ def tpr_at_far(spark, sf):
     return metrics.tpr_at_far(metrics.tau_sweep(scored(spark, sf), metrics.tau_grid()), 0.1)
 
 
-@query()
+DOMINANCE = (
+    CURVE
+    + ", sg AS (SELECT i * (3.0::DOUBLE / 149) AS tau FROM range(150) t(i)), sb AS (SELECT tau, avg(CASE WHEN soft <= tau THEN 1.0::DOUBLE ELSE 0 END) FILTER (split = 'pos') AS tpr, avg(CASE WHEN soft <= tau THEN 1.0::DOUBLE ELSE 0 END) FILTER (split = 'neg') AS far FROM sg, (SELECT split, energy + 0.5::DOUBLE * participation_ratio + 0.5::DOUBLE * sensitivity AS soft FROM s) GROUP BY tau), "
+    + "lb AS (SELECT far, max(tpr) AS tpr FROM sb GROUP BY far), "
+    + "me AS (SELECT cv.tau, cv.far AS x, cv.tpr AS y, max(lb.far) FILTER (lb.far <= cv.far) AS lx, arg_max(lb.tpr, lb.far) FILTER (lb.far <= cv.far) AS ly, min(lb.far) FILTER (lb.far >= cv.far) AS rx, arg_min(lb.tpr, lb.far) FILTER (lb.far >= cv.far) AS ry FROM cv, lb GROUP BY ALL) "
+    + "SELECT coalesce(bool_and(y >= CASE WHEN lx IS NULL THEN ry WHEN rx IS NULL THEN ly WHEN rx > lx THEN ly + (ry - ly) * (x - lx) / (rx - lx) ELSE ly END), false) AS dominates FROM me"
+)
+
+
+@query(DOMINANCE)
 def curve_dominance(spark, sf):
     rows = scored(spark, sf)
     soft = rows.withColumn("soft", P.soft_score())
@@ -584,7 +593,22 @@ def boundary_axes(spark, sf):
     return metrics.boundary(scored(spark, sf), TAU, 0.05, BAND_AXES).select("axis", "auc")
 
 
-@query()
+FUSED = {"energy": "-energy"} | {f"energy{sign}{a}": f"-energy {sign} {a}" for a in BAND_AXES for sign in "+-"}
+FUSION = (
+    BASE
+    + ", fx AS (" + " UNION ALL ".join(f"SELECT split, '{n}' AS axis, {e} AS x FROM s" for n, e in FUSED.items()) + ")"
+    + _auc("fx", "x", "split = 'pos'", "axis")
+    + ", st AS (SELECT axis, sum(p) OVER (PARTITION BY axis ORDER BY sc DESC) / sum(p) OVER (PARTITION BY axis)::DOUBLE AS tpr, sum(m) OVER (PARTITION BY axis ORDER BY sc DESC) / sum(m) OVER (PARTITION BY axis)::DOUBLE AS far FROM g1), "
+    + "pt AS (SELECT axis, tpr, far FROM st UNION ALL SELECT DISTINCT axis, 0.0::DOUBLE, 0.0::DOUBLE FROM st), "
+    + "ed AS (SELECT axis, max(far) FILTER (far <= 0.01) AS lx, arg_max(tpr, {far: far, tpr: tpr}) FILTER (far <= 0.01) AS ly, min(far) FILTER (far >= 0.01) AS rx, arg_min(tpr, {far: far, tpr: -tpr}) FILTER (far >= 0.01) AS ry FROM pt GROUP BY axis), "
+    + "tp AS (SELECT axis, CASE WHEN rx IS NULL OR rx = lx THEN ly ELSE ly + (ry - ly) * (0.01 - lx) / (rx - lx) END AS tpr FROM ed), "
+    + "co AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, corr(energy, {a}) AS corr FROM s" for a in BAND_AXES) + "), "
+    + "b0 AS (SELECT auc AS auc0, tpr AS tpr0 FROM g3 JOIN tp USING (axis) WHERE axis = 'energy') "
+    + "SELECT axis AS name, round(auc, 7) AS auc, round(auc - auc0, 7) AS delta_auc, round(tpr, 7) AS tpr, round(tpr - tpr0, 7) AS delta_tpr, round(corr, 7) AS corr FROM g3 JOIN tp USING (axis) JOIN co ON co.a = substr(axis, 8), b0 WHERE axis <> 'energy'"
+)
+
+
+@query(FUSION, 7)
 def score_fusion(spark, sf):
     return metrics.fusion(scored(spark, sf), ["participation_ratio", "sensitivity", "alignment"], F.col("split") == "pos")
 
