@@ -19,7 +19,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.warehouse.dir", f"{base}/warehouse")
         .config("spark.checkpoint.dir", f"file://{base}/shared")
         .config("spark.driver.memory", "6g")
