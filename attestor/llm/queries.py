@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import ann, language, mixing, ogg, packing, pii, simhash, substring, toxicity, warc
+from attestor.llm import ann, fertility, language, mixing, ogg, packing, pii, simhash, substring, toxicity, warc
 
 #: The key of the pseudonyms in these queries; a production run passes its own.
 PII_KEY = "attestor-demo-key"
@@ -62,13 +62,17 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"), derive=derive)
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_warc, op3_simhash, op4_packing, op5_language, op6_mixing, op7_toxicity, op8_ogg, op9_ann, op10_substring, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_warc, op3_simhash, op4_packing, op5_language, op6_mixing, op7_toxicity, op8_ogg, op9_ann, op10_substring, op13_quality, pipeline)}
 
 BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i) // 4 + 1, 2))::INT >> (3 - i % 4)::INT) & 31) + 1, 1)), '')"
 
