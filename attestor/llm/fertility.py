@@ -2,9 +2,10 @@
 
 Each word is tokenised by a SentencePiece vocabulary with byte fallback. A document's characters per token (shouting,
 mojibake and identifiers fall into small pieces), its share of tokens that are single bytes (characters the vocabulary
-doesn't know) and the entropy of its tokens in bits (repetition has little, noise has much) are held against bands of its
-language, or of its script where it has no language. The bands are fences around the quartiles over all documents that
-pass the plain rules, like measurements counted once, so that copies don't shift them; the quartiles are exact.
+doesn't know) and the entropy of its tokens in bits (repetition and tables have little, noise has much) are held against bands
+of its language, or of its script where it has no language, among documents of about its length in tokens, as short texts
+have less entropy and spread more. The bands are fences around the quartiles over all documents that pass the plain
+rules, like measurements counted once, so that copies don't shift them; the quartiles are exact.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from attestor.operators.ranks import met, quantiles_of
 #: The plain rules: fewer words fail, and so does a larger share (in per cent) of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: How many interquartile ranges a fence lies beyond its quartile; least distances: of characters a token as a share of the quartile, of byte shares and bits as they are; fewer different measurements make no bands.
-FENCE, LEAST_SPREAD, LEAST_BYTES, LEAST_BITS, LEAST_GROUP = 3.0, 0.15, 0.02, 1.25, 20
+FENCE, LEAST_SPREAD, LEAST_BYTES, LEAST_BITS, LEAST_GROUP = 3.0, 0.05, 0.02, 0.4, 50
+ANY_LENGTH = -1
 #: Words whose tokens a Python worker remembers; beyond it forgets all and starts again.
 REMEMBERED = 400_000
 SYMBOLS = b"#*$%&|<>"
@@ -112,11 +114,16 @@ def script(text: Column) -> Column:
 
 
 def bands(measured: DataFrame, fence: float = FENCE) -> DataFrame:
-    """band and the limits of each measure, from the exact quartiles over measured rows that pass the plain rules; measurements that are alike count once, and groups with fewer than LEAST_GROUP have no row."""
-    distinct = measured.filter(~F.col("base_failed")).select("band", "chars_per_token", "byte_share", "token_entropy").distinct()
-    sized = distinct.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_GROUP)
+    """band, length (of documents of 2**length tokens up to twice as many; ANY_LENGTH: of all) and the limits of each measure.
+
+    From the exact quartiles over the rows that pass the plain rules; measurements that are alike count once, and a group
+    with fewer than LEAST_GROUP has no row.
+    """
+    distinct = measured.filter(~F.col("base_failed")).select("band", "length", "chars_per_token", "byte_share", "token_entropy").distinct()
+    distinct = distinct.withColumn("length", F.explode(F.array("length", F.lit(ANY_LENGTH))))
+    sized = distinct.groupBy("band", "length").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_GROUP)
     wanted = {f"{name}_{q}": (F.col(name), q / 4) for name in ("chars_per_token", "byte_share", "token_entropy") for q in (1, 3)}
-    limits = quantiles_of(distinct, wanted, ["band"]).join(sized.select("band"), "band")
+    limits = quantiles_of(distinct, wanted, ["band", "length"]).join(sized.select("band", "length"), ["band", "length"])
 
     def around(name: str, least: Column) -> tuple[Column, Column]:
         low, high = F.col(f"{name}_1"), F.col(f"{name}_3")
@@ -125,7 +132,7 @@ def bands(measured: DataFrame, fence: float = FENCE) -> DataFrame:
 
     chars = around("chars_per_token", LEAST_SPREAD * F.col("chars_per_token_1"))
     bits = around("token_entropy", F.lit(LEAST_BITS))
-    return limits.select("band", chars[0].alias("chars_low"), chars[1].alias("chars_high"), around("byte_share", F.lit(LEAST_BYTES))[1].alias("bytes_high"), bits[0].alias("bits_low"), bits[1].alias("bits_high"))
+    return limits.select("band", "length", F.struct(chars[0].alias("chars_low"), chars[1].alias("chars_high"), around("byte_share", F.lit(LEAST_BYTES))[1].alias("bytes_high"), bits[0].alias("bits_low"), bits[1].alias("bits_high")).alias("limits"))
 
 
 def _rated(docs: DataFrame, carried: Column, path: str | None, fence: float) -> DataFrame:
@@ -134,17 +141,23 @@ def _rated(docs: DataFrame, carried: Column, path: str | None, fence: float) ->
     kind = rows.schema["carried"].dataType.simpleString()
     rows = rows.mapInArrow(_measured(path or model_path()), f"carried {kind}, band string, {MEASURES}")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = stored(rows.withColumn("base_failed", failed), "fertility")
-    within = F.col("chars_per_token").between(F.col("chars_low"), F.col("chars_high")) & (F.col("byte_share") <= F.col("bytes_high")) & F.col("token_entropy").between(F.col("bits_low"), F.col("bits_high"))
-    return met(rows, bands(rows, fence), ["band"]).withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True))).drop("chars_low", "chars_high", "bytes_high", "bits_low", "bits_high")
+    length = F.when(F.col("n_tokens") > 0, F.length(F.bin("n_tokens")) - 1).otherwise(0)
+    rows = stored(rows.withColumn("base_failed", failed).withColumn("length", length), "fertility")
+    known = stored(bands(rows, fence), "fertility-bands")
+    rated = met(rows, known, ["band", "length"])
+    rated = met(rated, known.filter(F.col("length") == ANY_LENGTH).select("band", F.col("limits").alias("wide")), ["band"])
+    x = F.coalesce("limits", "wide")
+    within = F.col("chars_per_token").between(x["chars_low"], x["chars_high"]) & (F.col("byte_share") <= x["bytes_high"]) & F.col("token_entropy").between(x["bits_low"], x["bits_high"])
+    return rated.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True))).drop("length", "limits", "wide")
 
 
 def quality(docs: DataFrame, path: str | None = None, fence: float = FENCE) -> DataFrame:
     """doc_id, the MEASURES, band (the language or script whose bands held), base_failed and kept: a row for each of docs (doc_id, text, lang).
 
     A null text is one without words; it fails the plain rules, as all of fewer than 50 words do, and measures of tokens
-    are null there. A language with fewer than 20 different measurements has no bands and nothing of it is rejected by
-    them; without a language the script of most letters is taken. Texts are measured whole, however long; repeated rows
+    are null there. A language with fewer than 50 different measurements at a length takes its bands of all lengths, and with
+    fewer than 50 in all it has none and nothing of it is rejected by them; without a language the script of most letters
+    is taken. Texts are measured whole, however long; repeated rows
     have a row each; an empty table gives none; other columns are ignored. path: a SentencePiece model.
     """
     has_columns(docs, ["doc_id", "text", "lang"])
