@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestor.llm.common import has_columns, stored, text_bytes
 from attestor.operators.ranks import met, quantiles_of
@@ -138,8 +139,8 @@ def bands(measured: DataFrame, fence: float = FENCE) -> DataFrame:
 def _rated(docs: DataFrame, carried: Column, path: str | None, fence: float) -> DataFrame:
     group = F.when(F.col("lang").isNotNull(), F.concat(F.lit("lang:"), F.col("lang").cast("string"))).otherwise(F.concat(F.lit("script:"), script(F.coalesce(F.col("text"), F.lit("")))))
     rows = docs.select(carried.alias("carried"), group.alias("band"), text_bytes().alias("text__"))
-    kind = rows.schema["carried"].dataType.simpleString()
-    rows = rows.mapInArrow(_measured(path or model_path()), f"carried {kind}, band string, {MEASURES}")
+    out = T.StructType([rows.schema["carried"], rows.schema["band"], *T.StructType.fromDDL(MEASURES)])
+    rows = rows.mapInArrow(_measured(path or model_path()), out)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     length = F.when(F.col("n_tokens") > 0, F.length(F.bin("n_tokens")) - 1).otherwise(0)
     rows = stored(rows.withColumn("base_failed", failed).withColumn("length", length), "fertility")
