@@ -114,6 +114,6 @@ def test_odd_rows(spark):
 
 
 def test_keep_good(spark):
-    text = " ".join(f"word{i} and more of it" for i in range(30))
+    text = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(i, text, "en", i) for i in range(3)], "doc_id long, text string, lang string, `a.b` long")
     assert sorted(map(tuple, fertility.keep_good(docs).collect())) == [(i, text, "en", i) for i in range(3)]
