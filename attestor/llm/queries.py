@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import ann, fertility, language, mixing, ogg, packing, pii, simhash, substring, toxicity, warc
+from attestor.llm import ann, fertility, language, mixing, ogg, packing, pii, simhash, substring, toxicity, trie, warc
 
 #: The key of the pseudonyms in these queries; a production run passes its own.
 PII_KEY = "attestor-demo-key"
@@ -62,6 +62,10 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"), derive=derive)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(_table(spark, sf_dir, "documents"))
 
@@ -72,10 +76,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_warc, op3_simhash, op4_packing, op5_language, op6_mixing, op7_toxicity, op8_ogg, op9_ann, op10_substring, op13_quality, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_warc, op3_simhash, op4_packing, op5_language, op6_mixing, op7_toxicity, op8_ogg, op9_ann, op10_substring, op12_prefix_trie, op13_quality, pipeline)}
 
 BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i) // 4 + 1, 2))::INT >> (3 - i % 4)::INT) & 31) + 1, 1)), '')"
 
+CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(x) + 1), lambda i: [ord(substr(x, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+
 #: SQL for the queries that it can express. The others hash, train, tokenise, follow links or lay out files.
 ORACLE: dict[str, str] = {
     "op2_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
@@ -87,4 +93,14 @@ g AS (SELECT DISTINCT k.doc_id, i + o AS p FROM k JOIN f USING (key), range(13)
 t AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
 s AS (SELECT t.doc_id, string_agg(x, ' ' ORDER BY t.p) AS kept, count(*) AS n FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.p = t.p WHERE g.p IS NULL GROUP BY t.doc_id)
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s ON s.doc_id = w.doc_id""",
+    "op12_prefix_trie": f"""WITH c AS (SELECT conv_id, conv_id::VARCHAR AS x, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, s, {CRC32} % 6 AS h FROM c),
+b AS (SELECT h.conv_id, list_concat(coalesce(f.s, h.s[1:0])[1:h], h.s[h + 1 :]) AS s FROM h LEFT JOIN c f ON f.conv_id = h.conv_id - h.conv_id % 100),
+n AS (SELECT s[1:d] AS k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM b) GROUP BY ALL),
+kids AS (SELECT k[1 : depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+u AS (SELECT n.k, depth, CASE WHEN depth > 0 THEN (n_convs - 1) * length(n.k[depth].text) ELSE 0 END AS saves, (n_children IS NULL)::BIGINT AS leaf FROM n LEFT JOIN kids USING (k)),
+t AS (SELECT k[1:j] AS k, sum(saves)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM (SELECT k, saves, leaf, unnest(range(depth + 1)) AS j FROM u) GROUP BY ALL),
+e AS (SELECT s AS k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM b GROUP BY s)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n JOIN t USING (k) LEFT JOIN kids USING (k) LEFT JOIN e USING (k) LEFT JOIN n p ON n.depth > 0 AND p.k = n.k[1 : n.depth - 1]""",
 }
