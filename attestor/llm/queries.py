@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import ann, fertility, language, mixing, ogg, packing, pii, simhash, substring, toxicity, trie, warc
+from attestor.llm import ann, fertility, language, mixing, ogg, packing, pii, rtree, simhash, substring, toxicity, trie, warc
 
 #: The key of the pseudonyms in these queries; a production run passes its own.
 PII_KEY = "attestor-demo-key"
@@ -62,6 +62,11 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"), derive=derive)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -76,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_warc, op3_simhash, op4_packing, op5_language, op6_mixing, op7_toxicity, op8_ogg, op9_ann, op10_substring, op12_prefix_trie, op13_quality, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_warc, op3_simhash, op4_packing, op5_language, op6_mixing, op7_toxicity, op8_ogg, op9_ann, op10_substring, op11_hard_negatives, op12_prefix_trie, op13_quality, pipeline)}
 
 BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i) // 4 + 1, 2))::INT >> (3 - i % 4)::INT) & 31) + 1, 1)), '')"
 
@@ -93,6 +98,11 @@ g AS (SELECT DISTINCT k.doc_id, i + o AS p FROM k JOIN f USING (key), range(13)
 t AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
 s AS (SELECT t.doc_id, string_agg(x, ' ' ORDER BY t.p) AS kept, count(*) AS n FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.p = t.p WHERE g.p IS NULL GROUP BY t.doc_id)
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s ON s.doc_id = w.doc_id""",
+    "op11_hard_negatives": """WITH r AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.row <> b.row AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor, p.row ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10""",
     "op12_prefix_trie": f"""WITH c AS (SELECT conv_id, conv_id::VARCHAR AS x, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 h AS (SELECT conv_id, s, {CRC32} % 6 AS h FROM c),
 b AS (SELECT h.conv_id, list_concat(coalesce(f.s, h.s[1:0])[1:h], h.s[h + 1 :]) AS s FROM h LEFT JOIN c f ON f.conv_id = h.conv_id - h.conv_id % 100),
