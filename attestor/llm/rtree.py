@@ -77,7 +77,8 @@ class RTree:
         """For each window of scores (both ends inside) the ids and scores of the `count` best rows in it, with the label or of others."""
         plus, minus = np.maximum(query, 0), np.minimum(query, 0)
         interval = lambda low, high: (low @ plus + high @ minus, high @ plus + low @ minus)
-        floors, tops = [w[0] for w in windows], [w[1] for w in windows]
+        # the ends of 64 bits stand for all that lies beyond
+        floors, tops = [-np.inf if w[0] == _LEAST else w[0] for w in windows], [np.inf if w[1] == _MOST else w[1] for w in windows]
         best = [(np.empty(0, np.int64), np.empty(0, self.x.dtype)) for _ in windows]
 
         def wanted(least, most):
@@ -179,14 +180,15 @@ def _routed(boxes, same: bool, seed: bool):
                     continue
                 x, k = _matrix(b.column("vector").take(pa.array(at))), boxes.value[int(size)]
                 plus, minus = np.maximum(x, 0), np.minimum(x, 0)
-                most, least = plus @ k["high"].T + minus @ k["low"].T, plus @ k["low"].T + minus @ k["high"].T
-                slack = 1e-9 * (np.abs(x) @ np.maximum(np.abs(k["low"]), np.abs(k["high"])).T)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    most, least = plus @ k["high"].T + minus @ k["low"].T, plus @ k["low"].T + minus @ k["high"].T
+                    slack = 1e-9 * (np.abs(x) @ np.maximum(np.abs(k["low"]), np.abs(k["high"])).T)
                 label = b.column("label").to_numpy()[at][:, None]
                 fits = (k["least_label"] <= label) & (label <= k["most_label"]) if same else (k["least_label"] != label) | (k["most_label"] != label)
                 inside = np.zeros(fits.shape, bool)
                 for i, j in enumerate(at):
                     for w in wants[j]:
-                        inside[i] |= (most[i] + slack[i] >= w["low"]) & (least[i] - slack[i] <= w["high"])
+                        inside[i] |= ~((most[i] + slack[i] < w["low"]) | (least[i] - slack[i] > w["high"]))  # an interval beyond doubles, no number, is inside
                 fits &= inside
                 if seed:
                     i = np.flatnonzero(fits.any(axis=1))
