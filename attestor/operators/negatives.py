@@ -1,24 +1,22 @@
 """Adversarial negatives: claims keep their side and get other claims' evidence.
 
-Positional modes are equi-joins on a dense index. Mining ranks all centroids for each claim; that is a query set against
-all rows, done in blocks: claims and centroids are dealt into blocks, each pair of blocks is one task that keeps its K
-best, and the blocks' bests are merged.
+Positional modes are equi-joins on a dense index. Mining ranks centroids for each claim: exactly, through clusters whose
+radius bounds what they can hold, and block by block where the centroids don't cluster.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.text import pages_of
 from attestor.functions.vectors import centroid, unit
+from attestor.operators.clusters import BLOCK, greatest, ranked
 from attestor.operators.frames import settled
 from attestor.operators.geometry import spectral
 from attestor.operators.ranks import quantiles
 
-OFFSET, CANDIDATES, BLOCK = 37, 16, 4096
+OFFSET, CANDIDATES = 37, 16
 EVIDENCE = ("evidence", "evidence_ids", "evidence_vecs")
 LABELS = {"hard_mined_v2": "NEG_HARD_V2", "hardest_energy": "NEG_HARDEST"}
 MODES = ("cyclic", "offset", "deranged", "permute", "hard_mined", "hard_mined_v2", "hardest_energy")
@@ -39,7 +37,7 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFr
     return parts.join(F.broadcast(before.drop("n__")), "part__").withColumn(name, F.col("mono__") - F.col("first__") + F.col("before__")).drop("part__", "mono__", "first__", "before__")
 
 
-def _take(pairs: DataFrame, partner: Column, n: Column, label: str, index: str = "idx") -> DataFrame:
+def _take(pairs: DataFrame, partner: Column, label: str, index: str = "idx") -> DataFrame:
     """Claims with the evidence of the row whose index is partner; pairs has `index`."""
     there = [c for c in EVIDENCE if c in pairs.columns]
     claims = pairs.drop(*there, "label").withColumn("partner", partner.cast("long"))
@@ -52,7 +50,7 @@ def offset_pairs(pairs: DataFrame, offset: int = OFFSET, index: str = "idx", lab
     n = pairs.count()
     if n > 1 and offset % n == 0:
         offset += 1
-    return _take(pairs, (F.col(index) + offset) % max(1, n), F.lit(n), label, index)
+    return _take(pairs, (F.col(index) + offset) % max(1, n), label, index)
 
 
 def cyclic_pairs(pairs: DataFrame, index: str = "idx") -> DataFrame:
@@ -65,32 +63,13 @@ def deranged_pairs(pairs: DataFrame, seed: int = 1337, index: str = "idx") -> Da
     n = pairs.count()
     following = order.select(F.col(index).alias("partner__"), F.pmod(F.col("at__") - 1, F.lit(max(1, n))).alias("at__"))
     matched = order.join(following, "at__").select(index, "partner__")
-    return _take(pairs.join(matched, index), F.col("partner__"), F.lit(n), "NEG", index).drop("partner__")
+    return _take(pairs.join(matched, index), F.col("partner__"), "NEG", index).drop("partner__")
 
 
 def shuffled_pairs(pairs: DataFrame, seed: int = 1337, index: str = "idx") -> DataFrame:
     """As a plain shuffle: rows that met their own evidence are left out."""
-    n = pairs.count()
     order = dense_index(pairs.select(index).withColumn("turn__", portable_hash(seed, F.col(index))), [F.col("turn__"), F.col(index)], "at__").select(F.col(index).alias("partner__"), F.col("at__").alias(index))
-    return _take(pairs.join(order, index).filter(F.col("partner__") != F.col(index)), F.col("partner__"), F.lit(n), "NEG", index).drop("partner__")
-
-
-def _best(k: int):
-    def run(claims: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if not len(claims) or not len(others):
-            return pd.DataFrame({"idx__": np.empty(0, np.int64), "other__": np.empty(0, np.int64), "sim": np.empty(0)})
-        ids, names = claims["idx__"].to_numpy(), others["other__"].to_numpy()
-        sims = np.stack(claims["claim__"].to_numpy()) @ np.stack(others["centroid__"].to_numpy()).T
-        take = min(k, len(names))
-        # what is as near as the k-th stays in until it is ranked, so that ties go by name
-        at, to = np.nonzero(sims >= np.partition(sims, len(names) - take, axis=1)[:, [len(names) - take]])
-        order = np.lexsort((names[to], -sims[at, to], at))
-        at, to = at[order], to[order]
-        best = np.arange(len(at)) - np.searchsorted(at, at) < take
-        at, to = at[best], to[best]
-        return pd.DataFrame({"idx__": ids[at], "other__": names[to], "sim": sims[at, to]})
-
-    return run
+    return _take(pairs.join(order, index).filter(F.col("partner__") != F.col(index)), F.col("partner__"), "NEG", index).drop("partner__")
 
 
 def _centroids(pairs: DataFrame) -> Column:
@@ -99,19 +78,12 @@ def _centroids(pairs: DataFrame) -> Column:
 
 def candidates(pairs: DataFrame, k: int = CANDIDATES, index: str = "idx", block: int = BLOCK, own: bool = True) -> DataFrame:
     """(index, other, sim, rank): the k evidence centroids most similar to each claim, ties to the smaller index. With own, a claim's own evidence holds its place."""
-    claims = pairs.select(F.col(index).cast("long").alias("idx__"), unit(F.col("claim_vec").cast("array<double>")).alias("claim__")).filter(F.col("claim__").isNotNull())
-    others = pairs.select(F.col(index).cast("long").alias("other__"), _centroids(pairs).alias("centroid__")).filter(F.col("centroid__").isNotNull())
-    blocks = max(1, -(-pairs.count() // block))
-    # both sides' keys are ints: keys of unlike types hash apart and would never meet
-    deal = lambda c, name: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias(name)
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = claims.select("*", deal("idx__", "p"), every.alias("q"))
-    right = others.select("*", deal("other__", "q"), every.alias("p"))
-    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(_best(k + (not own)), "idx__ long, other__ long, sim double")
+    claims = pairs.select(F.col(index).cast("long").alias("query"), unit(F.col("claim_vec").cast("array<double>")).alias("vector")).filter("vector is not null")
+    others = pairs.select(F.col(index).cast("long").alias("point"), _centroids(pairs).alias("vector")).filter("vector is not null")
+    found = greatest(claims, others, k + (not own), block)
     if not own:
-        found = found.filter("idx__ <> other__")
-    order = Window.partitionBy("idx__").orderBy(F.col("sim").desc(), "other__")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("idx__").alias(index), F.col("other__").alias("other"), "sim", "rank")
+        found = ranked(found.drop("rank").filter("query <> point"), k)
+    return found.select(F.col("query").alias(index), F.col("point").alias("other"), "sim", "rank")
 
 
 def _with_evidence(pairs: DataFrame) -> int:
@@ -121,10 +93,11 @@ def _with_evidence(pairs: DataFrame) -> int:
 
 def hard_mined_pairs(pairs: DataFrame, index: str = "idx", seed: int = 1337) -> DataFrame:
     """The evidence whose centroid is most similar to the claim, the claim's own left out; adds sim. Fewer than two rows with evidence: deranged, sim null. Claims without a vector have no row."""
+    pairs = settled(pairs)
     if _with_evidence(pairs) < 2:
         return deranged_pairs(pairs, seed, index).withColumn("sim", F.lit(None).cast("double"))
     best = candidates(pairs, 1, index, own=False)
-    return _take(pairs.join(best.select(index, F.col("other").alias("partner__"), "sim"), index), F.col("partner__"), F.lit(0), "NEG", index).drop("partner__")
+    return _take(pairs.join(best.select(index, F.col("other").alias("partner__"), "sim"), index), F.col("partner__"), "NEG", index).drop("partner__")
 
 
 def mined_pairs(pairs: DataFrame, by_energy: bool = False, k: int = CANDIDATES, page_mismatch: bool = True, disjoint_ids: bool = True, rank: int = 8, index: str = "idx", seed: int = 1337) -> DataFrame:
@@ -134,6 +107,7 @@ def mined_pairs(pairs: DataFrame, by_energy: bool = False, k: int = CANDIDATES,
     The first by similarity is taken or, by_energy, that of least energy. The guards are inert without evidence_ids. Adds
     mined_energy and relaxed (0 to 3). Fewer than two rows with evidence: deranged, both null.
     """
+    pairs = settled(pairs)
     usable = _with_evidence(pairs)
     if usable < 2:
         return deranged_pairs(pairs, seed, index).withColumns({"mined_energy": F.lit(None).cast("double"), "relaxed": F.lit(None).cast("int")})
@@ -155,7 +129,7 @@ def mined_pairs(pairs: DataFrame, by_energy: bool = False, k: int = CANDIDATES,
         given = bare.withColumn("at__", portable_hash(seed, F.col(index)) % usable).join(valid, "at__")
         rest = spectral(given.select(index, "partner__", "claim_vec", "evidence_vecs"), rank=rank)
         best = best.unionByName(rest.select(index, F.col("partner__").cast("long").alias("partner__"), F.col("energy").alias("mined_energy"), F.lit(3).alias("relaxed")))
-    return _take(pairs.join(best, index), F.col("partner__"), F.lit(0), LABELS["hardest_energy" if by_energy else "hard_mined_v2"], index).drop("partner__")
+    return _take(pairs.join(best, index), F.col("partner__"), LABELS["hardest_energy" if by_energy else "hard_mined_v2"], index).drop("partner__")
 
 
 def mining_facts(mined: DataFrame, mode: str, k: int = CANDIDATES) -> DataFrame:

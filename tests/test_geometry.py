@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from attestor.operators import clusters
 from attestor.operators import geometry as G
 from attestor.operators import negatives as N
 
@@ -112,6 +113,30 @@ def test_mining_in_blocks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
+def clustered(seed, n, groups, spread):
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((groups, 16))[r.integers(groups, size=n)] + spread * r.standard_normal((n, 16))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("spread,most", [(0.05, 0.1), (5.0, 1.0)])
+def test_clusters_are_exact(spark, spread, most):
+    """The same as all pairs: on clustered vectors with at most a tenth of them, on others block by block; a third are copies."""
+    n, k = 3000, 8
+    queries, points = clustered(1, n, 50, spread), clustered(1, n, 50, spread)
+    points[: n // 3] = points[0]
+    frame = lambda x, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, vector array<double>")
+    index = clusters.Clusters(frame(points, "point"), n, 100)
+    got = {(r["query"], r["rank"]): (r["point"], r["sim"]) for r in clusters.ranked(index.greatest(frame(queries, "query"), k), k).collect()}
+    assert len(got) == n * k and index.examined <= most * n * n
+    sims = queries @ points.T
+    for q in range(n):
+        want = np.sort(sims[q])[::-1][:k]
+        mine = [got[q, r + 1] for r in range(k)]
+        assert np.allclose([s for _, s in mine], want, atol=1e-12) and np.allclose(sims[q][[p for p, _ in mine]], want, atol=1e-12)
+        assert len({p for p, _ in mine}) == k
+
+
 def test_mining_without_enough_evidence(spark):
     """Fewer than two rows with evidence: deranged, in the columns of a mined result; claims without candidates get a row that has evidence."""
     schema = "idx long, claim_vec array<double>, evidence_vecs array<array<double>>"
