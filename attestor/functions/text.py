@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestor.functions.vectors import let
+
 SENTENCE_END = r"(?<=[.!?])\s+"
 BLANK_LINE = r"\n\s*\n"
 
@@ -42,9 +44,9 @@ def sentences(c: Column, longer_than: int = 20) -> Column:
 
 def paragraphs(c: Column, group: int = 5) -> Column:
     """Parts between blank lines; a text without any is cut into groups of sentences."""
-    parts, rough = F.split(c, BLANK_LINE), F.split(c, SENTENCE_END)
-    starts = F.sequence(F.lit(0), F.floor((F.size(rough) - 1) / group).cast("int"))
-    grouped = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(rough, i * group + 1, F.lit(group))))
+    parts = F.split(c, BLANK_LINE)
+    starts = lambda r: F.sequence(F.lit(0), F.floor((F.size(r) - 1) / group).cast("int"))
+    grouped = let(F.split(c, SENTENCE_END), lambda r: F.transform(starts(r), lambda i: F.concat_ws(" ", F.slice(r, i * group + 1, F.lit(group)))))
     return F.filter(F.transform(F.when(F.size(parts) <= 1, grouped).otherwise(parts), strip), lambda p: p != "")
 
 

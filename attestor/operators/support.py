@@ -5,13 +5,13 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestor.functions.text import entailment_key, paragraphs, sentences, text_hash
-from attestor.functions.vectors import dot
-from attestor.operators.geometry import spectral
+from attestor.operators.evidence import blocked, energies, top_products
+from attestor.operators.frames import settled
 
 RANK = 32
 
@@ -50,35 +50,43 @@ def _part(df: DataFrame, parts: Column, key: str, name: str) -> DataFrame:
     return df.select(key, F.posexplode(parts).alias(f"{name}_at", name))
 
 
+def _entailed(tops: DataFrame, s: DataFrame, p: DataFrame, key: str, top_k: int, entailment: DataFrame) -> DataFrame:
+    """key, sentence_at and the greatest, mean and least probability over the top_k paragraphs; only those pairs meet their texts."""
+    pairs = tops.select(key, "sentence_at", F.explode(F.slice("tops", 1, top_k)).alias("top")).select(key, "sentence_at", F.col("top.at").alias("paragraph_at"))
+    pairs = pairs.join(s.select(key, "sentence_at", "sentence"), [key, "sentence_at"]).join(p.select(key, F.col("paragraph_at").cast("long").alias("paragraph_at"), "paragraph"), [key, "paragraph_at"])
+    rated = pairs.withColumn("key__", entailment_key(F.col("paragraph"), F.col("sentence"))).join(entailment.select(F.col("key").alias("key__"), "entailment_prob"), "key__", "left")
+    prob = F.coalesce("entailment_prob", F.lit(0.0))
+    return rated.groupBy(key, "sentence_at").agg(F.max(prob).alias("entailment_max"), F.avg(prob).alias("entailment_mean"), F.min(prob).alias("entailment_min"))
+
+
 def sentence_support(df: DataFrame, key: str = "id", summary: str = "summary", document: str = "document", top_k: int = 3, entailment: DataFrame | None = None, store: DataFrame | None = None, with_energy: bool = True, covered: float = 0.3, rank: int = RANK) -> DataFrame:
     """A row a sentence: key, sentence_at, sim_top1, sim_margin, coverage, energy, and the mean, greatest and least entailment over the top_k paragraphs.
 
     Similarities are plain dot products of the vectors as they are stored. entailment: key (entailment_key of paragraph
-    and sentence), entailment_prob; pairs it lacks count as 0. Without with_energy, energy is 0.
+    and sentence), entailment_prob; pairs it lacks count as 0. Without with_energy, energy is 0. Products are those of
+    blocks of sentences and paragraphs, and a document's paragraphs are decomposed once for a block of sentences, so no row
+    holds a document's vectors, however long it is. keys differ from document to document.
     """
     s = embed(_part(df, sentences(F.col(summary)), key, "sentence"), store, column="sentence").withColumnRenamed("vec", "sentence_vec")
     p = embed(_part(df, paragraphs(F.col(document)), key, "paragraph"), store, column="paragraph").withColumnRenamed("vec", "paragraph_vec")
-    pairs = s.join(p, key).withColumn("sim", dot("sentence_vec", "paragraph_vec"))
-    order = Window.partitionBy(key, "sentence_at").orderBy(F.col("sim").desc(), "paragraph_at")
-    pairs = pairs.withColumn("rank", F.row_number().over(order))
-    if entailment is not None:
-        pairs = pairs.withColumn("key__", entailment_key(F.col("paragraph"), F.col("sentence"))).join(entailment.select(F.col("key").alias("key__"), "entailment_prob"), "key__", "left")
-    prob = F.coalesce("entailment_prob", F.lit(0.0)) if entailment is not None else F.lit(0.0)
-    top = F.when(F.col("rank") <= top_k, prob)
-    first, second = F.max(F.when(F.col("rank") == 1, F.col("sim"))), F.max(F.when(F.col("rank") == 2, F.col("sim")))
-    out = pairs.groupBy(key, "sentence_at").agg(
-        first.alias("sim_top1"),
-        F.coalesce(first - second, F.lit(0.0)).alias("sim_margin"),
-        F.avg(F.when(F.col("sim") > covered, 1.0).otherwise(0.0)).alias("coverage"),
-        F.max(top).alias("entailment_max"),
-        F.avg(top).alias("entailment_mean"),
-        F.min(top).alias("entailment_min"),
-        F.count("*").alias("paragraph_count"),
-        *([F.first("sentence_vec").alias("claim_vec"), F.transform(F.array_sort(F.collect_list(F.struct("paragraph_at", "paragraph_vec"))), lambda x: x["paragraph_vec"]).alias("evidence_vecs")] if with_energy else []),
+    s, p = settled(s), settled(p)
+    asked, held = blocked(s, key, "sentence_at", "sentence_vec"), settled(blocked(p, key, "paragraph_at", "paragraph_vec"))
+    tops = top_products(asked, held, key, max(top_k, 2), covered).withColumnRenamed("query_at", "sentence_at")
+    sim = lambda i: F.get("tops", F.lit(i))["sim"]
+    out = tops.select(
+        key,
+        "sentence_at",
+        sim(0).alias("sim_top1"),
+        F.coalesce(sim(0) - sim(1), F.lit(0.0)).alias("sim_margin"),
+        (F.col("above") / F.col("n")).alias("coverage"),
+        *(F.lit(0.0).alias(f"entailment_{x}") for x in ("max", "mean", "min")),
+        F.col("n").alias("paragraph_count"),
     )
+    if entailment is not None:
+        out = out.drop("entailment_max", "entailment_mean", "entailment_min").join(_entailed(tops, s, p, key, top_k, entailment), [key, "sentence_at"])
     if not with_energy:
         return out.withColumn("energy", F.lit(0.0))
-    return spectral(out, rank=rank).drop("claim_vec", "evidence_vecs", "explained", "identity_error", "sigma1_ratio", "sigma2_ratio", "spectral_sum", "participation_ratio", "effective_rank", "entropy_rank", "alignment")
+    return out.join(energies(asked, held, key, rank).withColumnRenamed("query_at", "sentence_at"), [key, "sentence_at"])
 
 
 def support_features(rows: DataFrame, key: str = "id", threshold: float = 0.5) -> DataFrame:

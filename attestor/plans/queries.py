@@ -695,25 +695,57 @@ def summaries(spark, sf) -> DataFrame:
     return met.select(F.concat_ws("_", "conv_id", "turn").alias("id"), "summary", "document", (F.col("conv_id") % 2).cast("int").alias("label"))
 
 
-@query()
+#: CRC-32 of w's UTF-8 bytes, bit by bit.
+CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(length(hex(encode(w))) // 2), lambda i: [('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+#: Hashed vectors of sentences and paragraphs, their products, and the span of each document's paragraphs by Gram-Schmidt, each vector cleared twice.
+SUPPORT = f"""WITH RECURSIVE said AS (SELECT a.conv_id || '_' || a.turn AS id, a.text AS summary, string_agg(u.text, chr(10) || chr(10) ORDER BY u.turn, u.text) AS text FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn < a.turn WHERE a.role = 'assistant' AND u.role = 'user' AND a.text IS NOT NULL AND u.text IS NOT NULL GROUP BY a.conv_id, a.turn, a.text),
+parts AS (SELECT id, string_split(regexp_replace(text, '\\n\\s*\\n', chr(2), 'g'), chr(2)) AS b, ROUGH_TEXT AS z, ROUGH_SUMMARY AS y FROM said),
+trimmed AS (SELECT id, list_filter(list_transform(y, lambda x: trim(x, E' \\n\\t\\r')), lambda x: length(x) > 20) AS s, list_filter(list_transform(CASE WHEN len(b) <= 1 THEN list_transform(range(0, (len(z) + 4) // 5), lambda i: array_to_string(z[i * 5 + 1 : i * 5 + 5], ' ')) ELSE b END, lambda x: trim(x, E' \\n\\t\\r')), lambda x: x <> '') AS p FROM parts),
+ss AS (SELECT id, unnest(s) AS t, unnest(range(len(s))) AS nr FROM trimmed), pp AS (SELECT id, unnest(p) AS t, unnest(range(len(p))) AS nr FROM trimmed),
+every AS (SELECT t FROM ss UNION SELECT t FROM pp), ws AS (SELECT t, unnest(list_filter(string_split_regex(lower(t), '\\s+'), lambda x: x <> '')) AS w FROM every),
+crc AS (SELECT w, {CRC32} AS h FROM (SELECT DISTINCT w FROM ws)), cells AS (SELECT t, h % 64 AS k, sum(CASE WHEN h >= 2147483648 THEN 1.0::DOUBLE ELSE -1.0 END) AS x FROM ws JOIN crc USING (w) GROUP BY ALL),
+raw AS (SELECT e.t, list(coalesce(x, 0) ORDER BY r.k) AS v FROM every e CROSS JOIN range(64) r(k) LEFT JOIN cells c ON c.t = e.t AND c.k = r.k GROUP BY e.t),
+vec AS (SELECT t, list_transform(v, lambda x: x / CASE WHEN list_dot_product(v, v) > 0 THEN sqrt(list_dot_product(v, v)) ELSE 1 END) AS v FROM raw),
+sv AS (SELECT id, nr, v FROM ss JOIN vec USING (t)), pv AS (SELECT id, nr, v FROM pp JOIN vec USING (t)),
+sims AS (SELECT id, s.nr, list(list_dot_product(s.v, p.v) ORDER BY list_dot_product(s.v, p.v) DESC) AS x FROM sv s JOIN pv p USING (id) GROUP BY id, s.nr),
+gs AS (SELECT DISTINCT id, 0::BIGINT AS i, []::DOUBLE[][] AS q FROM pv UNION ALL SELECT id, i + 1, CASE WHEN list_dot_product(w, w) > 1e-12 THEN list_append(q, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))) ELSE q END FROM
+(SELECT gs.id, i, q, list_reduce(list_prepend(v, list_concat(q, q)), lambda a, b: list_transform(range(1, 65), lambda k: a[k] - list_dot_product(a, b) * b[k])) AS w FROM gs JOIN pv ON pv.id = gs.id AND pv.nr = gs.i)),
+span AS (SELECT id, arg_max(q, i) AS q FROM gs GROUP BY id),
+support AS (SELECT id, nr AS sentence_at, x[1] AS sim_top1, coalesce(x[1] - x[2], 0) AS sim_margin, len(list_filter(x, lambda y: y > 0.3 + 1e-12)) / len(x) AS coverage, 0.0::DOUBLE AS entailment_max, 0.0::DOUBLE AS entailment_mean, 0.0::DOUBLE AS entailment_min, len(x)::BIGINT AS paragraph_count,
+greatest(0, least(1, 1 - list_sum(list_transform(q, lambda b: pow(list_dot_product(sv.v, b), 2))))) AS energy FROM sims JOIN sv USING (id, nr) JOIN span USING (id))""".replace("ROUGH_TEXT", "string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))").replace("ROUGH_SUMMARY", "string_split(regexp_replace(summary, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))")
+FEATURES = SUPPORT + """, features AS (SELECT id, count(*) AS sentence_count, max(paragraph_count) AS paragraph_count, max(entailment_max) AS max_entailment, avg(entailment_mean) AS mean_entailment, min(entailment_min) AS min_entailment, avg(sim_top1) AS mean_sim_top1, min(sim_top1) AS min_sim_top1, avg(sim_margin) AS mean_sim_margin, min(sim_margin) AS min_sim_margin, avg(coverage) AS mean_coverage, min(coverage) AS min_coverage,
+max(energy) AS max_energy, avg(energy) AS mean_energy, min(energy) AS min_energy, count(*) FILTER (energy > 0.5) AS high_energy_count, quantile_cont(energy, 0.9) AS p90_energy, avg(CASE WHEN energy > 0.5 THEN 1.0 ELSE 0.0 END) AS frac_above_threshold FROM support GROUP BY id)"""
+
+
+def rounded_sql(names: str, places: int) -> str:
+    return ", ".join(f"round({n}, {places}) AS {n}" for n in names.split())
+
+
+ENERGIES, SIMS = "max_energy mean_energy min_energy p90_energy", "mean_sim_top1 min_sim_top1 mean_sim_margin min_sim_margin mean_coverage min_coverage frac_above_threshold"
+
+
+@query(SUPPORT + f" SELECT id, sentence_at, paragraph_count, entailment_max, entailment_mean, entailment_min, {rounded_sql('sim_top1 sim_margin coverage energy', 7)} FROM support", 7)
 def sentence_support(spark, sf):
     return support.sentence_support(summaries(spark, sf))
 
 
-@query()
+@query(FEATURES + f" SELECT id, sentence_count, paragraph_count, max_entailment, mean_entailment, min_entailment, high_energy_count, {rounded_sql(SIMS + ' ' + ENERGIES, 7)} FROM features", 7)
 def support_features(spark, sf):
     return support.support_features(support.sentence_support(summaries(spark, sf)))
 
 
-@query()
+@query(FEATURES + f" SELECT id, sentence_count, paragraph_count, high_energy_count, {rounded_sql(SIMS + ' ' + ENERGIES, 7)}, round(max_energy * (1 - mean_coverage), 7) AS combined, length(summary)::INT AS summary_chars, length(text)::INT AS document_chars FROM features JOIN said USING (id)", 7)
 def summary_diagnostics(spark, sf):
     return support.summary_axes(support.summary_diagnostics(summaries(spark, sf)))
 
 
-@query()
+EFFECT_AXES = ("max_energy", "mean_energy", "p90_energy", "mean_coverage", "combined")
+
+
+@query(FEATURES + ", y AS (SELECT *, max_energy * (1 - mean_coverage) AS combined, string_split(id, '_')[1]::INT % 2 = 1 AS y FROM features)" + " UNION ALL".join(f" SELECT '{a}' AS axis, round(avg({a}) FILTER (y), 6) AS mean_pos, round(avg({a}) FILTER (NOT y), 6) AS mean_neg, round((avg({a}) FILTER (y) - avg({a}) FILTER (NOT y)) / sqrt((var_pop({a}) FILTER (y) + var_pop({a}) FILTER (NOT y)) / 2), 6) AS effect FROM y" for a in EFFECT_AXES), 6)
 def summary_effects(spark, sf):
     rows = support.summary_axes(support.support_features(support.sentence_support(summaries(spark, sf)))).withColumn("y", F.split("id", "_")[0].cast("int") % 2 == 1)
-    return support.effect_size(rows, ["max_energy", "mean_energy", "p90_energy", "mean_coverage", "combined"], F.col("y"))
+    return support.effect_size(rows, list(EFFECT_AXES), F.col("y"))
 
 
 @query("SELECT a.doc_id FROM documents a WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.doc_id)")

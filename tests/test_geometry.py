@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from attestor.operators import clusters
+from attestor.operators import clusters, evidence
 from attestor.operators import geometry as G
 from attestor.operators import negatives as N
 
@@ -148,3 +149,38 @@ def test_mining_without_enough_evidence(spark):
     assert all(r["partner"] in (0, 1) for r in got.values())
     assert got[0]["relaxed"] == 3 and abs(got[0]["mined_energy"] - (0.0 if got[0]["partner"] == 0 else 1.0)) < 1e-9
     assert got[2]["relaxed"] == 0 and abs(got[2]["mined_energy"] - 0.5) < 1e-9
+
+
+def test_evidence_as_rows(spark):
+    """The same diagnostics from rows as from an array: short and long evidence, repeated, zero and missing vectors, factors merged in a tree."""
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 3, 12, 40, 700, 2500, 0]
+    rows = [(i, rng.normal(size=12).tolist(), (rng.normal(size=(n, 12)) * rng.uniform(0.1, 3)).tolist()) for i, n in enumerate(sizes)]
+    rows += [(20, [1.0] * 12, [[1.0] * 12] * 900), (21, [1.0] + [0.0] * 11, [[0.0] * 12]), (22, None, [[1.0] * 12]), (23, [0.0] * 12, [[1.0] * 12]), (24, [1.0] * 12, None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    items = frame.select("i", F.posexplode("evidence_vecs").alias("at", "vector"))
+    want = {r["i"]: r.asDict() for r in G.geometry(frame).drop("evidence_vecs", "claim_vec").collect()}
+    got = {r["i"]: r.asDict() for r in evidence.geometry_rows(frame.drop("evidence_vecs"), items, "i", block=16).drop("claim_vec").collect()}
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        if i == 22:  # a null claim has no diagnostics but the number of its evidence
+            assert {c: v for c, v in got[i].items() if v is not None and c not in ("i", "evidence_count")} == {}
+            continue
+        assert got[i].keys() == w.keys()
+        for c, v in w.items():
+            assert got[i][c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v), (i, c)
+    with pytest.raises(Exception, match="differ in length"):
+        evidence.geometry_rows(frame.select("i", F.array(F.lit(1.0)).alias("claim_vec")), items, "i").collect()
+    assert evidence.geometry_rows(frame.drop("evidence_vecs").limit(0), items, "i").count() == 0
+
+
+def test_a_million_vectors_of_one_claim(spark):
+    """No row of the factors grows with the evidence."""
+    items = spark.range(1_000_000).select(F.lit("a").alias("k"), F.col("id").alias("at"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda j: F.sin(F.col("id") * j)).alias("vector"))
+    blocks = evidence.blocked(items, "k", "at", "vector")
+    assert blocks.agg(F.max(F.size("ats"))).first()[0] == evidence.BLOCK
+    row = evidence.factors(blocks, "k").first()
+    x = np.sin(np.arange(1_000_000)[:, None] * np.arange(1, 7))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    assert (row["n"], len(row["vectors"])) == (1_000_000, 6)
+    assert np.allclose(np.linalg.svd(np.array(row["vectors"]), compute_uv=False), np.linalg.svd(x, compute_uv=False), rtol=1e-9)

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,42 @@ def test_models_find_what_is_there(spark):
     folds = models.folds(d).groupBy("fold", "label").count().collect()
     assert {r["count"] for r in folds} == {20}
     assert models.stratified_split(d).groupBy("label").agg(F.count(F.when(F.col("part") == "train", 1)).alias("n")).first()["n"] == 70
+
+
+def test_support_of_long_documents(spark):
+    """10,000 sentences against 10,000 paragraphs in blocks, as by numpy; no row holds more than a block."""
+    words = [f"w{i % 1009}x{i % 37} and{i % 101} more{i % 11}" for i in range(10_000)]
+    text = "\n\n".join(f"{w} {i // 100} in a paragraph." for i, w in enumerate(words))
+    summary = " ".join(f"{w} {i // 50} in a sentence." for i, w in enumerate(words))
+    got = {r["sentence_at"]: r for r in support.sentence_support(spark.createDataFrame([("1", summary, text)], "id string, summary string, document string")).collect()}
+    assert len(got) == 10_000 and {r["paragraph_count"] for r in got.values()} == {10_000}
+    vec = lambda texts: np.array(support.hashed_vector.func(pd.Series(texts)).tolist())
+    s, p = vec([x for x in (f"{w} {i // 50} in a sentence." for i, w in enumerate(words))]), vec(text.split("\n\n"))
+    _, values, vt = np.linalg.svd(p, full_matrices=False)
+    basis = vt[:32][values[:32] > 1e-6]
+    for i in range(0, 10_000, 777):
+        sims = np.sort(p @ s[i])[::-1]
+        assert got[i]["sim_top1"] == pytest.approx(sims[0]) and got[i]["sim_margin"] == pytest.approx(sims[0] - sims[1], abs=1e-9)
+        assert got[i]["coverage"] == pytest.approx((sims > 0.3 + 1e-12).mean())
+        assert got[i]["energy"] == pytest.approx(np.clip(1 - ((basis @ s[i]) ** 2).sum(), 0, 1), abs=1e-9)
+
+
+def test_entailment_of_top_paragraphs(spark):
+    """Of three paragraphs the two nearest count; a pair without a probability counts as 0."""
+    from attestor.functions.text import entailment_key
+
+    s, near, next_, far = "alpha beta gamma delta epsilon.", "alpha beta gamma delta epsilon zeta.", "alpha beta gamma other words.", "nothing like it here."
+    d = spark.createDataFrame([("1", s, "\n\n".join((far, near, next_)))], "id string, summary string, document string")
+    probs = spark.createDataFrame([(near, s, 0.75), (far, s, 1.0)], "p string, s string, entailment_prob double").select(entailment_key(F.col("p"), F.col("s")).alias("key"), "entailment_prob")
+    row = support.sentence_support(d, top_k=2, entailment=probs).first()
+    assert (row["entailment_max"], row["entailment_mean"], row["entailment_min"]) == (0.75, 0.375, 0.0)
+
+
+def test_paragraphs_in_linear_time(spark):
+    """A text of 100,000 sentences without blank lines."""
+    from attestor.functions.text import paragraphs
+
+    text = " ".join(f"Sentence {i}." for i in range(100_000))
+    parts = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(paragraphs(F.col("t")).alias("p")).collect()
+    assert len(parts[0]["p"]) == 20_000 and parts[0]["p"][1] == "Sentence 5. Sentence 6. Sentence 7. Sentence 8. Sentence 9."
+    assert parts[1]["p"] is None and parts[2]["p"] == []
