@@ -173,9 +173,9 @@ def _probes(ranks: tuple[int, ...]):
         for b in batches:
             claims, evidence = b.column("claim__").to_pylist(), b.column("evidence__").to_pylist()
             probes, leave = [None] * b.num_rows, [None] * b.num_rows
-            for rows, n, got in _grouped(claims, evidence, lambda c, e: ([_stack(c, e, r)["energy"] for r in ranks], _leave_one_out(c, e, max(ranks)))):
+            for rows, n, got in _grouped(claims, evidence, lambda c, e: _robust(c, e, ranks)):
                 for j, i in enumerate(rows):
-                    probes[i] = [g[j].item() for g in got[0]] if n else [1.0] * len(ranks)
+                    probes[i] = got[0][j].tolist() if n else [1.0] * len(ranks)
                     leave[i] = got[1][j].item() if n else 1.0
             kept = [c for c in b.schema.names if c not in ("claim__", "evidence__")]
             yield pa.record_batch([*(b.column(c) for c in kept), pa.array(probes, pa.list_(pa.float64())), pa.array(leave, pa.float64())], names=[*kept, "probe_energies", "leave_one_out"])
@@ -183,13 +183,39 @@ def _probes(ranks: tuple[int, ...]):
     return run
 
 
-def _leave_one_out(claims: np.ndarray, evidence: np.ndarray, rank: int) -> np.ndarray:
-    n = evidence.shape[1]
+def _robust(claims: np.ndarray, evidence: np.ndarray, ranks: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Energies (b, ranks) and the greatest rises when one evidence vector goes (b), of claims (b, d) with evidence (b, n, d), from one decomposition a claim."""
+    u, s, vt = np.linalg.svd(evidence, full_matrices=False)
+    real = s > RANK_EPS
+    along = np.where(real, np.einsum("bjd,bd->bj", vt, claims), 0)
+    explained = lambda rank: (along[:, :rank] ** 2).sum(axis=1)
+    energies = np.stack([np.clip(1 - explained(r), 0, 1) for r in ranks], axis=1)
+    n, rank = evidence.shape[1], max(ranks)
     if n <= 1:
-        return np.ones(len(claims))
-    base = _stack(claims, evidence, rank)["energy"]
-    rises = [_stack(claims, np.delete(evidence, i, axis=1), rank)["energy"] - base for i in range(n)]
-    return np.maximum(np.max(rises, axis=0), 0)
+        return energies, np.ones(len(claims))
+    # While no direction is cut off by rank, a vector takes one with it only if its leverage is 1, that is if the others
+    # don't span it: the one orthogonal to all others, which the pseudo-inverse gives.
+    over = np.where(real, 1 / np.where(real, s, 1), 0)
+    leverage = (np.where(real[:, None], u, 0) ** 2).sum(axis=2)
+    length = ((u * over[:, None]) ** 2).sum(axis=2)
+    lost = np.einsum("bnk,bk->bn", u * over[:, None], along) ** 2 / np.where(length > 0, length, 1)
+    left = explained(rank)[:, None] - np.where(leverage > 1 - RANK_EPS**2, lost, 0)
+    for i in np.flatnonzero(real.sum(axis=1) > rank):
+        left[i] = _downdated(u[i], s[i], along[i], rank)
+    base = np.clip(1 - explained(rank), 0, 1)
+    return energies, np.maximum((np.clip(1 - left, 0, 1) - base[:, None]).max(axis=1), 0)
+
+
+def _downdated(u: np.ndarray, s: np.ndarray, along: np.ndarray, rank: int) -> np.ndarray:
+    """What the first `rank` directions explain once each of the vectors u * s has gone: rank-one downdates of diag(s**2), many at a time."""
+    k, out = len(s), []
+    step = max(1, (1 << 22) // k**2)
+    for i in range(0, len(u), step):
+        z = u[i : i + step] * s
+        values, vectors = np.linalg.eigh(np.diag(s**2) - z[:, :, None] * z[:, None, :])
+        kept = values[:, -rank:] > RANK_EPS**2
+        out.append(np.where(kept, np.einsum("nkr,k->nr", vectors[:, :, -rank:], along) ** 2, 0).sum(axis=1))
+    return np.concatenate(out)
 
 
 def robustness(df: DataFrame, claim: str = "claim_vec", evidence: str = "evidence_vecs", ranks: tuple[int, ...] = PROBES) -> DataFrame:

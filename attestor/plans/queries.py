@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from attestor.functions import policies as P
 from attestor.functions import text as X
 from attestor.functions import vectors as V
-from attestor.operators import calibration, geometry, metrics, models, negatives, prepare, ranks, support
+from attestor.operators import calibration, evidence, geometry, metrics, models, negatives, prepare, ranks, support
 from attestor.plans import gate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,25 @@ def geometry_svd(spark, sf):
     return geometry.geometry(pairs(spark, sf)).select("idx", "explained", "energy", "sigma1_ratio", "participation_ratio", "alignment", "entropy_rank")
 
 
+@query(BASE + " SELECT idx, 2 AS evidence_count, explained, energy, sigma1_ratio, participation_ratio, alignment, entropy_rank, sim_top1, sim_top2, sim_margin, sensitivity FROM s WHERE split = 'pos'")
+def geometry_rows(spark, sf):
+    claims = pairs(spark, sf)
+    rows = evidence.geometry_rows(claims.select("idx", "claim_vec"), claims.select("idx", F.posexplode("evidence_vecs").alias("at", "vector")), "idx")
+    return rows.select("idx", "evidence_count", "explained", "energy", "sigma1_ratio", "participation_ratio", "alignment", "entropy_rank", "sim_top1", "sim_top2", "sim_margin", "sensitivity")
+
+
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings WHERE label IS NOT NULL), c AS (SELECT label, arg_min(e, vec_id) AS c FROM v GROUP BY label),
+s AS (SELECT label, list(list_dot_product(c, e) ORDER BY list_dot_product(c, e) DESC) AS x FROM v JOIN c USING (label) GROUP BY label)
+SELECT label, len(x)::INT AS evidence_count, len(x)::INT >= 64 AS spans_all, round(x[1], 9) AS sim_top1, round(x[2], 9) AS sim_top2, round(x[1] / list_sum(list_transform(x[1:12], lambda y: greatest(y, 0))), 9) AS sensitivity, CASE WHEN len(x) >= 64 THEN 0.0 END AS energy FROM s""")
+def geometry_by_label(spark, sf):
+    """A claim a label, the first vector, with all of the label's vectors as evidence: they span the space once there are as many as it has dimensions."""
+    rows = table(spark, sf, "embeddings").filter("label is not null").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    claims = rows.groupBy("label").agg(F.min_by("vector", "vec_id").alias("claim_vec"))
+    got = evidence.geometry_rows(claims, rows.withColumnRenamed("vec_id", "at"), "label", rank=64)
+    some = F.col("evidence_count") >= 64
+    return got.select("label", "evidence_count", (F.col("effective_rank") >= 64).alias("spans_all"), "sim_top1", "sim_top2", "sensitivity", F.when(some, F.col("energy")).alias("energy"))
+
+
 @query(BASE + " SELECT idx, sim_top1, sim_top2, sim_margin, sensitivity FROM s WHERE split = 'pos'")
 def similarity_stats(spark, sf):
     return geometry.similarity_stats(pairs(spark, sf)).select("idx", "sim_top1", "sim_top2", "sim_margin", "sensitivity")

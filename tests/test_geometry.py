@@ -184,3 +184,19 @@ def test_a_million_vectors_of_one_claim(spark):
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     assert (row["n"], len(row["vectors"])) == (1_000_000, 6)
     assert np.allclose(np.linalg.svd(np.array(row["vectors"]), compute_uv=False), np.linalg.svd(x, compute_uv=False), rtol=1e-9)
+
+
+def test_leave_one_out_by_downdates(spark):
+    """As n decompositions: independent, dependent, repeated and nearly repeated evidence, and more directions than the cap."""
+    rng = np.random.default_rng(8)
+    cases = [rng.normal(size=(n, 24)) for n in (2, 5, 10, 11, 18, 40)]
+    line = rng.normal(size=(1, 24))
+    cases += [np.repeat(line, 3, axis=0), np.vstack([line, line * 2, rng.normal(size=(2, 24))]), np.vstack([line, line + 1e-5 * rng.normal(size=(1, 24)), rng.normal(size=(1, 24))]), rng.normal(size=(12, 3)) @ rng.normal(size=(3, 24)), np.zeros((3, 24)), line]
+    rows = [(i, rng.normal(size=24).tolist(), e.tolist()) for i, e in enumerate(cases)] + [(99, [1.0] * 24, [])]
+    got = {r["i"]: r for r in G.robustness(spark.createDataFrame(rows, SCHEMA)).collect()}
+    energy = lambda c, e, rank: float(np.clip(1 - plain(c, e, rank)[0], 0, 1))
+    for i, c, e in rows[:-1]:
+        want = max(0.0, max(energy(c, np.delete(e, j, axis=0), 10) for j in range(len(e))) - energy(c, e, 10)) if len(e) > 1 else 1.0
+        assert got[i]["leave_one_out"] == pytest.approx(want, abs=1e-9), i
+        assert got[i]["probe_energies"] == pytest.approx([energy(c, e, r) for r in G.PROBES], abs=1e-9)
+    assert got[99]["leave_one_out"] == 1.0 and got[99]["probe_energies"] == [1.0] * 3
