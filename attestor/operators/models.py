@@ -1,14 +1,16 @@
-"""Supervised evaluation with pyspark.ml: split and cross-validated logistic regression, boosting, forests, ablation."""
+"""Supervised evaluation: split and cross-validated logistic regression, boosting, ablation, each with all its models at once; forests with pyspark.ml."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.operators import batched
 from attestor.operators import metrics as M
+from attestor.operators.frames import settled
 from attestor.operators.negatives import dense_index, portable_hash
 from attestor.operators.ranks import met
 
@@ -52,40 +54,56 @@ def _assembled(df: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(df.withColumn("label", F.col("label").cast("double")))
 
 
-def _scored(model, df: DataFrame, names: list[str]) -> DataFrame:
-    return model.transform(_assembled(df, names)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-
-
 def _auc(scored: DataFrame) -> float | None:
     return M.auc(scored, F.col("score"), F.col("label") == 1).first()["auc"]
 
 
-def logistic(train: DataFrame, names: list[str], c: float = 1.0, iterations: int = 3000):
-    """L2-penalised with inverse strength c, on features as they are."""
-    return LogisticRegression(regParam=1 / (c * max(1, train.count())), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-9).fit(_assembled(train, names))
+def _with_score(df: DataFrame, names: list[str], fit: batched.Logistic) -> DataFrame:
+    z = lambda i, n: (F.col(f"`{n}`").cast("double") - float(fit.mean[i])) / float(fit.deviation[i])
+    margin = sum((float(w) * z(i, n) for i, (n, w) in enumerate(zip(names, fit.weights, strict=True)) if np.isfinite(fit.deviation[i])), F.lit(fit.intercept))
+    return df.withColumn("label", F.col("label").cast("double")).withColumn("score", 1 / (1 + F.exp(-margin)))
+
+
+def split_models(df: DataFrame, sets: dict[str, list[str]], key: str = "id", seed: int = 42, scale: bool = True) -> dict[str, tuple[float | None, dict[str, float], DataFrame]]:
+    """By name of the set: (test auc, coefficients, scored test rows) of a stratified 70/30 split; all are fitted together."""
+    parts = settled(stratified_split(df, key=key, seed=seed))
+    table = batched.Table(parts, [batched.Model(names, F.col("part") == "train", "train" if scale else None) for names in sets.values()])
+    fits = batched.logistic(table)
+    found = zip(sets.items(), fits, _aucs(batched.logistic_scores(table, fits), len(sets)), strict=True)
+    return {name: (auc, dict(zip(names, fit.weights.tolist(), strict=True)), _with_score(parts.filter("part = 'test'"), names, fit)) for (name, names), fit, auc in found}
 
 
 def split_model(df: DataFrame, names: list[str], key: str = "id", seed: int = 42, scale: bool = True) -> tuple[float | None, dict[str, float], DataFrame]:
     """(test auc, coefficients, scored test rows) of a stratified 70/30 split."""
-    parts = stratified_split(df, key=key, seed=seed)
-    if scale:
-        parts = scaled(parts, parts.filter("part = 'train'"), names)
-    model = logistic(parts.filter("part = 'train'"), names)
-    scored = _scored(model, parts.filter("part = 'test'"), names)
-    return _auc(scored), dict(zip(names, model.coefficients.toArray().tolist(), strict=True)), scored
+    return split_models(df, {"": names}, key, seed, scale)[""]
 
 
-def cross_validated(df: DataFrame, names: list[str], k: int = 5, key: str = "id", seed: int = 42, fit=logistic) -> list[float]:
-    """Test auc by fold; features are scaled on all rows."""
-    parts = folds(scaled(df, df, names), k, key=key, seed=seed)
-    out = []
-    for i in range(k):
-        out.append(_auc(_scored(fit(parts.filter(F.col("fold") != i), names), parts.filter(F.col("fold") == i), names)))
-    return [a for a in out if a is not None]
+def _aucs(scores: DataFrame, count: int) -> list[float | None]:
+    """The auc of each of `count` models in scores (model, score, label); None where a class is missing."""
+    found = {r["model"]: r["auc"] for r in M.auc(scores, F.col("score"), F.col("label") == 1, ["model"]).collect()}
+    return [found.get(i) for i in range(count)]
+
+
+def _all_folds(df: DataFrame, k: int, key: str, seeds: tuple[int, ...], label: str = "label") -> DataFrame:
+    """df with fold__, an array of its fold under each seed; rows of all seeds are ranked in one dealing out."""
+    rows = settled(df.withColumn("row__", F.monotonically_increasing_id()))
+    each = rows.select("row__", label, key, F.explode(F.array(*(F.struct(F.lit(s).alias("seed__"), portable_hash(s, F.col(key)).alias("turn__")) for s in seeds))).alias("s__")).select("row__", label, key, "s__.*")
+    ranked = dense_index(each, [F.col("seed__"), F.col(label), F.col("turn__"), F.col(key)], "at__")
+    ranked = met(ranked, ranked.groupBy("seed__", label).agg(F.min("at__").alias("first__")), ["seed__", label])
+    at = ranked.groupBy("row__").agg(F.map_from_entries(F.collect_list(F.struct("seed__", ((F.col("at__") - F.col("first__")) % k).cast("int")))).alias("f__"))
+    return rows.join(at, "row__").withColumn("fold__", F.array(*(F.col("f__")[F.lit(s)] for s in seeds))).drop("row__", "f__")
+
 
+def cross_validated_sets(df: DataFrame, sets: dict[str, list[str]], k: int = 5, key: str = "id", seed: int = 42) -> dict[str, list[float]]:
+    """By name of the set: test auc by fold; features are scaled on all rows. All folds of all sets are fitted together."""
+    table = batched.Table(_all_folds(df, k, key, (seed,)), [batched.Model(names, F.col("fold__")[0] != i, "all") for names in sets.values() for i in range(k)])
+    got = _aucs(batched.logistic_scores(table, batched.logistic(table)), len(sets) * k)
+    return {name: [a for a in got[i * k : (i + 1) * k] if a is not None] for i, name in enumerate(sets)}
 
-def boosted(train: DataFrame, names: list[str], trees: int = 300, depth: int = 4, step: float = 0.05, seed: int = 42):
-    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(_assembled(train, names))
+
+def cross_validated(df: DataFrame, names: list[str], k: int = 5, key: str = "id", seed: int = 42) -> list[float]:
+    """Test auc by fold; features are scaled on all rows."""
+    return cross_validated_sets(df, {"": names}, k, key, seed)[""]
 
 
 def forest(train: DataFrame, names: list[str], trees: int = 300, depth: int = 6, seed: int = 42):
@@ -93,31 +111,39 @@ def forest(train: DataFrame, names: list[str], trees: int = 300, depth: int = 6,
 
 
 def boosted_split(df: DataFrame, names: list[str], key: str = "id", trees: int = 300, seed: int = 42) -> tuple[float | None, dict[str, float]]:
-    parts = stratified_split(df, key=key, seed=seed)
-    model = boosted(parts.filter("part = 'train'"), names, trees, seed=seed)
-    return _auc(_scored(model, parts.filter("part = 'test'"), names)), dict(zip(names, model.featureImportances.toArray().tolist(), strict=True))
+    """(test auc, share of gain by feature) of boosted trees on a stratified 70/30 split."""
+    table = batched.Table(stratified_split(df, key=key, seed=seed), [batched.Model(names, F.col("part") == "train")])
+    fits, cuts = batched.boosted(table, trees, seed=seed)
+    return _aucs(batched.boosted_scores(table, fits, cuts), 1)[0], dict(zip(names, fits[0].gain.tolist(), strict=True))
+
+
+def boosted_cv(df: DataFrame, names: list[str], k: int = 5, trees: int = 300, key: str = "id", seed: int = 42) -> list[float]:
+    """Test auc by fold of boosted trees; the folds' trees grow together."""
+    table = batched.Table(_all_folds(df, k, key, (seed,)), [batched.Model(names, F.col("fold__")[0] != i) for i in range(k)])
+    fits, cuts = batched.boosted(table, trees, seed=seed)
+    return [a for a in _aucs(batched.boosted_scores(table, fits, cuts), k) if a is not None]
 
 
-def in_sample(df: DataFrame, names: list[str], fit=logistic) -> tuple[float | None, DataFrame]:
-    scored = _scored(fit(df, names), df, names)
+def in_sample(df: DataFrame, names: list[str]) -> tuple[float | None, DataFrame]:
+    """(auc, scored rows) of a logistic model on the rows it has learnt from, unscaled."""
+    rows = settled(df)
+    fit = batched.logistic(batched.Table(rows, [batched.Model(names, F.lit(True))]))[0]
+    scored = _with_score(rows, names, fit)
     return _auc(scored), scored
 
 
 def ablation(df: DataFrame, sets: dict[str, list[str]], key: str = "id", seed: int = 42) -> list[tuple[str, float | None]]:
-    """(name, test auc) of the full set and of each set left out of it."""
+    """(name, test auc) of the full set and of each set left out of it; all are fitted together."""
     every = list(dict.fromkeys(n for names in sets.values() for n in names))
-    out = [("full", split_model(df, every, key, seed)[0])]
-    for name, names in sets.items():
-        rest = [n for n in every if n not in names]
-        if rest:
-            out.append((f"without {name}", split_model(df, rest, key, seed)[0]))
-    return out
+    left = {"full": every} | {f"without {name}": [n for n in every if n not in names] for name, names in sets.items()}
+    return [(name, got[0]) for name, got in split_models(df, {n: x for n, x in left.items() if x}, key, seed).items()]
 
 
 def residual_independence(df: DataFrame, axes: list[str], base: str = "energy") -> list[tuple[str, float, float, float]]:
-    """(axis, auc of base alone, with the axis, gain), in-sample and unscaled."""
-    alone = in_sample(df, [base])[0]
-    return [(a, alone, both, both - alone) for a in axes if (both := in_sample(df, [base, a])[0]) is not None and alone is not None]
+    """(axis, auc of base alone, with the axis, gain), in-sample and unscaled; all are fitted together."""
+    table = batched.Table(df, [batched.Model([base, *([a] if a else [])], F.lit(True)) for a in [None, *axes]])
+    alone, *both = _aucs(batched.logistic_scores(table, batched.logistic(table)), len(axes) + 1)
+    return [(a, alone, b, b - alone) for a, b in zip(axes, both, strict=True) if b is not None and alone is not None]
 
 
 def composite_difficulty(df: DataFrame) -> DataFrame:
@@ -128,17 +154,15 @@ def composite_difficulty(df: DataFrame) -> DataFrame:
     return in_sample(scaled(rows, rows, names), names)[1].withColumnRenamed("score", "composite")
 
 
-def seed_stability(df: DataFrame, names: list[str], seeds: tuple[int, ...] = (0, 1, 2, 3, 4), key: str = "id") -> list[tuple[int, float]]:
-    """(seed, mean auc over folds)."""
-    return [(s, sum(a) / len(a)) for s in seeds if (a := cross_validated(df, names, key=key, seed=s))]
+def seed_stability(df: DataFrame, names: list[str], seeds: tuple[int, ...] = (0, 1, 2, 3, 4), key: str = "id", k: int = 5) -> list[tuple[int, float]]:
+    """(seed, mean auc over folds); the folds of all seeds are fitted together."""
+    table = batched.Table(_all_folds(df, k, key, seeds), [batched.Model(names, F.col("fold__")[s] != i, "all") for s in range(len(seeds)) for i in range(k)])
+    got = _aucs(batched.logistic_scores(table, batched.logistic(table)), len(seeds) * k)
+    by = [(seed, [a for a in got[s * k : (s + 1) * k] if a is not None]) for s, seed in enumerate(seeds)]
+    return [(seed, sum(a) / len(a)) for seed, a in by if a]
 
 
 def boundary_composite(df: DataFrame, tau: float, width: float) -> tuple[float | None, DataFrame]:
     """(auc, rows with composite) of the composite difficulty among rows whose energy is within width of tau."""
     rows = composite_difficulty(M.band(df, tau, width))
     return M.auc(rows, F.col("composite"), F.col("label") == 1).first()["auc"], rows
-
-
-def boosted_cv(df: DataFrame, names: list[str], k: int = 5, trees: int = 300, key: str = "id", seed: int = 42) -> list[float]:
-    """Test auc by fold of boosted trees."""
-    return cross_validated(df, names, k, key, seed, lambda train, n: boosted(train, n, trees, seed=seed))

@@ -17,7 +17,7 @@ from attestor.functions import policies as P
 from attestor.functions import text as X
 from attestor.functions import vectors as V
 from attestor.operators import calibration, evidence, geometry, metrics, models, negatives, prepare, ranks, support
-from attestor.plans import gate
+from attestor.plans import evaluation, gate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -940,16 +940,40 @@ def logreg_cv(spark, sf):
     return spark.createDataFrame([(i, float(a)) for i, a in enumerate(got)], "fold int, auc double")
 
 
-#: Trees of gbt_auc, under the operator's 300: each is several jobs, and 300 take minutes however small the table.
-GBT_TREES = 60
-
-
 @query()
 def gbt_auc(spark, sf):
-    auc, gain = models.boosted_split(model_table(spark, sf), ["energy", "participation_ratio", "sensitivity"], trees=GBT_TREES)
+    auc, gain = models.boosted_split(model_table(spark, sf), ["energy", "participation_ratio", "sensitivity"])
     return spark.createDataFrame([(k, float(v), auc) for k, v in gain.items()], "feature string, importance double, auc double")
 
 
+@query()
+def boosted_cv(spark, sf):
+    got = models.boosted_cv(model_table(spark, sf), ["energy", "participation_ratio", "sensitivity"])
+    return spark.createDataFrame([(i, float(a)) for i, a in enumerate(got)], "fold int, auc double")
+
+
+@query()
+def seed_stability(spark, sf):
+    got = models.seed_stability(model_table(spark, sf), ["energy", "sim_margin"])
+    return spark.createDataFrame([(s, float(a)) for s, a in got], "seed int, mean_auc double")
+
+
+@query()
+def boundary_composite(spark, sf):
+    """Around the median energy."""
+    rows = model_table(spark, sf)
+    tau = ranks.quantiles(rows, F.col("energy"), [0.5]).first()["q0"]
+    return models.boundary_composite(rows.withColumn("effective_rank", F.lit(2.0)), tau, 0.02)[1].select("id", "label", "energy", "composite")
+
+
+@query()
+def evaluated(spark, sf):
+    """The supervised run over sentence support: auc, interval and mean over folds of each feature set."""
+    got = evaluation.evaluate(evaluation.features(summaries(spark, sf)), replicates=100)["sets"]
+    mean = lambda x: float(sum(x) / len(x)) if x else None
+    return spark.createDataFrame([(k, v["auc"], v["bootstrap"].get("low"), v["bootstrap"].get("high"), mean(v["cv"])) for k, v in got.items()], "features string, auc double, low double, high double, cv_auc double")
+
+
 @query()
 def rf_importance(spark, sf):
     rows = model_table(spark, sf)
