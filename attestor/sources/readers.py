@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: the nested row of a scored dump
@@ -22,14 +22,25 @@ PAIRS = "id string, claim string, evidence array<string>, label int"
 EVIDENCE_SETS = "id string, claim string, label string, evidence array<struct<content: array<string>, context: map<string, array<string>>>>"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, line (from 1): the lines of text files, blank ones too. Lines are counted by byte range, and a range adds the lines of its file's earlier ranges; no task reads a whole file."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    ranges = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("file", "start", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(ranges, ["file", "start"]).select("value", "file", (F.col("at") + F.col("shift")).alias("line"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """One JSON object a line; blank lines are skipped. With strict, a bad line fails the query with its file and text; without, it is a row of nulls."""
+    """One JSON object a line; blank lines are skipped. With strict, a bad line fails the query with its file, line and text; without, it is a row of nulls."""
     full = f"{schema.strip().rstrip(',')}, _corrupt_record string"
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    if strict:
-        bad = F.concat(F.lit("bad JSON in "), F.input_file_name(), F.lit(": "), F.substring("_corrupt_record", 1, 200))
-        rows = rows.filter(F.when(F.col("_corrupt_record").isNull(), True).otherwise(F.raise_error(bad).cast("boolean")))
-    return rows.drop("_corrupt_record")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    if not strict:
+        return spark.read.schema(full).options(**options).json(path).drop("_corrupt_record")
+    lines = numbered_lines(spark, path).filter(F.trim(F.regexp_replace("value", r"\s", " ")) != "").withColumn("row", F.from_json("value", full, options))
+    bad = F.concat(F.lit("bad JSON in "), F.col("file"), F.lit(", line "), F.col("line").cast("string"), F.lit(": "), F.substring("value", 1, 200))
+    wrong = F.col("row").isNull() | F.col("row._corrupt_record").isNotNull()
+    return lines.filter(F.when(wrong, F.raise_error(bad).cast("boolean")).otherwise(True)).select("row.*").drop("_corrupt_record")
 
 
 def evidence_sets(spark: SparkSession, path: str) -> DataFrame:
