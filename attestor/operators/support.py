@@ -16,22 +16,26 @@ from attestor.operators.frames import settled
 RANK = 32
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hashed_vector(c: pd.Series) -> pd.Series:
+def hashed(text: str) -> list[float]:
     """A deterministic 64-dimensional unit vector of hashed words, where no embedding model is at hand."""
     import numpy as np
 
-    def one(text):
-        if text is None:
-            return None
-        v = np.zeros(64)
-        for w in text.lower().split():
-            h = zlib.crc32(w.encode())
-            v[h % 64] += 1 if h >> 31 else -1
-        length = np.linalg.norm(v)
-        return (v / length if length else v).tolist()
-
-    return c.map(one)
+    v = np.zeros(64)
+    for w in text.lower().split():
+        h = zlib.crc32(w.encode())
+        v[h % 64] += 1 if h >> 31 else -1
+    length = np.linalg.norm(v)
+    return (v / length if length else v).tolist()
+
+
+def hashing_model():
+    """The stub as a factory of cache.build_vectors; a real model loads its weights here and takes the texts as a batch."""
+    return lambda texts: [hashed(t) for t in texts]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def hashed_vector(c: pd.Series) -> pd.Series:
+    return c.map(lambda text: None if text is None else hashed(text))
 
 
 def embed(texts: DataFrame, store: DataFrame | None = None, model: str = "hashed", dim: int = 64, column: str = "text") -> DataFrame:

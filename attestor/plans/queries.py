@@ -8,6 +8,7 @@ is what the SQL computes; diagnostics are rounded to nine places on both sides s
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from attestor.functions import policies as P
 from attestor.functions import text as X
 from attestor.functions import vectors as V
-from attestor.operators import calibration, evidence, geometry, metrics, models, negatives, prepare, ranks, support
+from attestor.operators import cache, calibration, evidence, geometry, metrics, models, negatives, prepare, ranks, support
+from attestor.operators.frames import shared_folder
 from attestor.plans import evaluation, gate
+from attestor.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -767,6 +770,17 @@ def summary_effects(spark, sf):
     return support.effect_size(rows, list(EFFECT_AXES), F.col("y"))
 
 
+@query("SELECT 'hashed' AS model, count(DISTINCT text) AS wanted, count(DISTINCT text) AS computed, 0::BIGINT AS computed_again, count(DISTINCT text) AS stored FROM conversations WHERE text IS NOT NULL")
+def embedding_cache(spark, sf):
+    """A cache of vectors built from nothing and once more, when there is nothing left to compute."""
+    store = Store(spark, f"{shared_folder(spark)}/embedding-cache-{uuid.uuid4().hex}")
+    said = table(spark, sf, "conversations").select("text")
+    build = lambda: cache.build_vectors(said, store, "hashed", support.hashing_model)
+    first, again = build(), build()
+    stored = cache.vectors(store, "hashed").filter("dim = 64").agg(F.count("*").alias("stored"))
+    return first.join(again.select("model", F.col("computed").alias("computed_again")), "model").crossJoin(stored).select("model", "wanted", "computed", "computed_again", "stored")  # one row each
+
+
 @query("SELECT a.doc_id FROM documents a WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.doc_id)")
 def missing_only(spark, sf):
     return prepare.missing_only(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), ["doc_id"])

@@ -79,6 +79,18 @@ class Store:
         before = self._manifest()["parts"]
         self._swap({"parts": before | {part: folder}, "previous": [before[part]] if part in before else []})
 
+    def append(self, rows: DataFrame) -> None:
+        """rows as a part of their own, as one step."""
+        self.put(rows, f"part-{uuid.uuid4().hex}")
+
+    def compact(self) -> None:
+        """All parts as one."""
+        held, manifest = self.read(), self._manifest()
+        if held is not None and len(manifest["parts"]) > 1:
+            folder = f"data-{uuid.uuid4().hex}"
+            held.write.parquet(f"{self.path}/{folder}")
+            self._swap({"parts": {"": folder}, "previous": list(manifest["parts"].values())})
+
     def upsert(self, new: DataFrame, keys: list[str], at: str = "updated_at", part: str = "") -> None:
         """The part's rows with new ones in place of older ones of their keys."""
         held = self.read(part)
