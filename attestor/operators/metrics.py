@@ -489,6 +489,13 @@ def stability_facts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(F.avg("effectiveness").alias("effectiveness"), share(F.col("is_stable")).alias("stable"))
 
 
+def tables_of(spark: SparkSession, pattern: str = "*") -> DataFrame:
+    """name and rows of the tables and views that the catalogue knows by a name like pattern, each counted whole; all names in one plan."""
+    names = sorted(t.name for t in spark.catalog.listTables(pattern=pattern))
+    counts = [spark.table(f"`{n}`").agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names]
+    return functools.reduce(DataFrame.unionAll, counts) if counts else spark.createDataFrame([], "name string, rows long")
+
+
 def columns_of(df: DataFrame) -> DataFrame:
     """name, at (from 0) and type of df's columns."""
     return df.sparkSession.createDataFrame([(n, i, t) for i, (n, t) in enumerate(df.dtypes)], "name string, at long, type string")

@@ -845,12 +845,23 @@ def table_columns(spark, sf):
     return metrics.columns_of(table(spark, sf, "lineitem")).select("name", "at")
 
 
-@query("SELECT 0::BIGINT AS issues")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" UNION ALL ".join(f"SELECT 'sf_{t}' AS name, count(*) AS rows FROM {t}" for t in TABLES))
+def table_list(spark, sf):
+    for t in TABLES:
+        table(spark, sf, t).createOrReplaceTempView(f"sf_{t}")
+    return metrics.tables_of(spark, "sf_*")
+
+
+@query(BASE + " SELECT * FROM (SELECT 'as scored' AS rows, (count(*) = 0 OR count(*) > count(energy))::BIGINT AS issues FROM s UNION ALL SELECT 'some without energy', (count(*) FILTER (sim_margin > 0.1) > 0)::BIGINT FROM s UNION ALL SELECT 'of low energy only', (count(*) FILTER (energy < 0.5) = 0)::BIGINT FROM s)")
 def artifact_check(spark, sf):
     rows = scored(spark, sf)
     neg = rows.filter("split = 'neg'")
-    issues = metrics.artifact_issues(rows, calibration.calibrate(rows.filter("split = 'pos'"), neg, neg))
-    return spark.createDataFrame([(len(issues),)], "issues long")
+    found = calibration.calibrate(rows.filter("split = 'pos'"), neg, neg)
+    variants = {"as scored": rows, "some without energy": rows.withColumn("energy", F.when(F.col("sim_margin") <= 0.1, F.col("energy"))), "of low energy only": rows.filter("energy < 0.5")}
+    return spark.createDataFrame([(k, len(metrics.artifact_issues(v, found))) for k, v in variants.items()], "rows string, issues long")
 
 
 @query(f"SELECT p_partkey, p_name FROM part WHERE p_size > 10 ORDER BY {HASHED.format(seed=42, key='p_partkey')}, p_partkey LIMIT 50")
