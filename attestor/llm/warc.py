@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from attestor.llm.common import has_columns, new_path, stored
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 32 << 20
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, archive string, offset long"
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, refers_to_id string, digest_ok boolean, archive string, offset long"
 
 
 def digest_of(payload: bytes) -> str:
@@ -164,20 +165,39 @@ def members_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, byt
         at = member[1]
 
 
+#: Ids of records that write() has made, with the page's number or nothing.
+_OWN = re.compile(rb"<urn:page:(-?\d*):[A-Z2-7]{32}>")
+
+
 def parse(content: bytes) -> dict:
-    """The fields of a record and its payload; raises on a damaged one."""
+    """The fields of a record of any type, with its payload; raises on a damaged one of write()'s own.
+
+    What isn't stated is null. Records of HTTP messages have the message's body as payload, others their whole block, and a
+    revisit none. A digest that isn't stated is computed; one in SHA-1 is checked, and digest_ok says how that went: in
+    other archives bodies may be stored as they were transferred, and digests be those of something else.
+    """
     head, _, block = content.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
-    block = block[: int(fields[b"content-length"])]
-    kind = fields[b"warc-type"].decode()
-    number = lambda v: int(x) if v is not None and (x := v.split(b":")[2]) else None
-    payload = block.partition(b"\r\n\r\n")[2]
-    stated = fields[b"warc-payload-digest"].decode().partition(":")[2]
-    if kind == "response" and digest_of(payload) != stated:
-        raise ValueError(f"payload of {fields[b'warc-record-id'].decode()} doesn't have the digest {stated}")
-    n = len(payload) if kind == "response" else int(fields[b"warc-payload-length"])
-    url = fields.get(b"warc-target-uri")
-    return {"page_id": number(fields[b"warc-record-id"]), "url": None if url is None else url.decode(), "payload_bytes": n, "payload_digest": stated, "record_type": kind, "refers_to": number(fields.get(b"warc-refers-to")), "payload": payload if kind == "response" else None}
+    text = lambda name: None if (v := fields.get(name)) is None else v.decode("utf-8", "replace")
+    whole = lambda v: int(v) if v is not None and v.isdigit() else None
+    own = lambda name: _OWN.fullmatch(fields.get(name, b""))
+    number = lambda name: int(m[1]) if (m := own(name)) and m[1] else None
+    length, kind = whole(fields.get(b"content-length")), text(b"warc-type") or "unknown"
+    if length is not None and len(block) < length:
+        raise ValueError(f"the block of {text(b'warc-record-id')} is cut short")
+    block = block if length is None else block[:length]
+    http = fields.get(b"content-type", b"").lower().startswith(b"application/http")
+    payload = None if kind == "revisit" else block.partition(b"\r\n\r\n")[2] if http else block
+    name, _, stated = (text(b"warc-payload-digest") or "").partition(":")
+    found = None if payload is None else digest_of(payload)
+    ok = found == stated.upper() if found and name.lower() == "sha1" and len(stated) == 32 else None
+    if ok is False and own(b"warc-record-id"):
+        raise ValueError(f"payload of {text(b'warc-record-id')} doesn't have the digest {stated}")
+    n = whole(fields.get(b"warc-payload-length")) if payload is None else len(payload)
+    return {
+        **{"page_id": number(b"warc-record-id"), "url": text(b"warc-target-uri"), "payload_bytes": n, "payload_digest": stated or found, "record_type": kind},
+        **{"refers_to": number(b"warc-refers-to"), "payload": payload, "record_id": text(b"warc-record-id"), "refers_to_id": text(b"warc-refers-to"), "digest_ok": ok},
+    }
 
 
 #: Names that Hadoop has for file systems which pyarrow knows by others.
@@ -191,8 +211,8 @@ def opened(path: str):
 
 
 def _read(with_payload: bool):
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload, "archive", "offset"]
-    kinds = {"url": pa.string(), "payload_digest": pa.string(), "record_type": pa.string(), "payload": pa.binary(), "archive": pa.string()}
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload, "record_id", "refers_to_id", "digest_ok", "archive", "offset"]
+    kinds = {"url": pa.string(), "payload_digest": pa.string(), "record_type": pa.string(), "payload": pa.binary(), "record_id": pa.string(), "refers_to_id": pa.string(), "digest_ok": pa.bool_(), "archive": pa.string()}
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([r[n] for r in rows], kinds.get(n, pa.int64())) for n in names], names=names)
@@ -215,7 +235,7 @@ def _read(with_payload: bool):
 
 
 def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
-    """The records of an archive directory or file: see RECORD. Payloads are checked against their digests; a revisit's payload is null, its length and digest are those of the full payload. The path has to be on a file system that pyarrow opens as well: local, HDFS, S3 (also as s3a), GCS or Azure."""
+    """The records of an archive directory or file, of any type and with any ids: see RECORD and parse. page_id and refers_to are those of archives that write() has made, null for others, whose ids are in record_id and refers_to_id. A revisit's payload is null, its length and digest are those of the full payload. A payload that doesn't compress and holds a whole gzipped record may give that one too where a range begins inside it. The path has to be on a file system that pyarrow opens as well: local, HDFS, S3 (also as s3a), GCS or Azure."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # the content isn't read
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.withColumn("stop", F.least(F.col("start") + split_bytes, "length"))
