@@ -9,7 +9,7 @@ import pytest
 from attestor.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"score_fusion", "logreg_cv", "ablation", "residual_independence", "gbt_auc", "rf_importance", "gate_run"}  # test_models.py has tests of what they call
+SLOW = {"score_fusion", "logreg_cv", "ablation", "residual_independence", "gbt_auc", "rf_importance", "gate_run", "boosted_cv", "seed_stability"}  # test_models.py and test_batched.py have tests of what they call
 
 
 @pytest.fixture(scope="module")
