@@ -85,18 +85,47 @@ def has_columns(df: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
-def first_by_hash(rows: DataFrame, kind: str, count: int, key: str = "doc_id") -> DataFrame:
-    """Of each kind, the `count` rows first by a hash of key; all if it has no more. Kinds are classes of labels: few.
+def first_by_hash(rows: DataFrame, kind: str, count: int, key: str) -> DataFrame:
+    """Of each kind, the `count` rows first by a hash of key, which no two rows share; all if it has no more. Kinds are few.
 
     The kinds are counted first, and only rows whose hash lies in the share of its range that should hold `count` rows,
     and some to spare, are ranked: however many rows a kind has, no task sees many more than `count` of them.
     """
     sizes = {r[kind]: r["n"] for r in rows.groupBy(kind).agg(F.count("*").alias("n")).collect()}
+    return _ranked(_early(rows, kind, count, [key], sizes), kind, count, [key]) if sizes else rows
+
+
+def different_by_hash(rows: DataFrame, kind: str, count: int, keys: Sequence[str], sizes: dict) -> DataFrame:
+    """kind and keys of the `count` different rows of each kind that are first by a hash of keys; all if it has no more.
+
+    sizes is kinds_of(rows, kind, keys). Rows alike in kind and keys are one: they are merged before they are shuffled,
+    so that neither a key nor a row on any share of the table sends its copies to one task.
+    """
+    rows = rows.select(kind, *keys)
     if not sizes:
         return rows
+    # the sketch's error is given room
+    near = _early(rows, kind, count, keys, {k: max(1, d) / 1.3 for k, (_, d) in sizes.items()})
+    return _ranked(near.distinct(), kind, count, keys)
+
+
+def kinds_of(rows: DataFrame, kind: str, keys: Sequence[str]) -> dict:
+    """Of each kind the number of rows, and about how many differ in keys (a sketch, off by 5 % as a rule)."""
+    found = rows.groupBy(kind).agg(F.count("*").alias("n"), F.approx_count_distinct(_turn(keys), 0.05).alias("d")).collect()
+    return {r[kind]: (r["n"], r["d"]) for r in found}
+
+
+def _turn(keys: Sequence[str]):
+    return F.shiftrightunsigned(F.xxhash64(*keys), 2)
+
+
+def _early(rows: DataFrame, kind: str, count: int, keys: Sequence[str], sizes: dict) -> DataFrame:
     span = float(1 << 62)
     limits = [(k, int(span * min(1.0, (count + 8 * count**0.5 + 50) / n))) for k, n in sizes.items()]
     limit = functools.reduce(lambda out, x: out.when(F.col(kind) == x[0], x[1]), limits[1:], F.when(F.col(kind) == limits[0][0], limits[0][1]))
-    turn = F.shiftrightunsigned(F.xxhash64(key), 2)
-    rank = F.row_number().over(Window.partitionBy(kind).orderBy("turn__", key))
-    return rows.withColumn("turn__", turn).filter(F.col("turn__") <= limit).withColumn("rank__", rank).filter(F.col("rank__") <= count).drop("turn__", "rank__")
+    return rows.withColumn("turn__", _turn(keys)).filter(F.col("turn__") <= limit)
+
+
+def _ranked(rows: DataFrame, kind: str, count: int, keys: Sequence[str]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(kind).orderBy("turn__", *keys))
+    return rows.withColumn("rank__", rank).filter(F.col("rank__") <= count).drop("turn__", "rank__")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import first_by_hash, has_columns, text_bytes
+from attestor.llm.common import different_by_hash, has_columns, kinds_of, text_bytes
 
 #: Documents a language is learned from, at most; those first by a hash of doc_id.
 TRAIN_DOCS = 400
@@ -214,11 +214,14 @@ class Model:
 
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, depth: int = DEPTH) -> Model | None:
-    """A model from documents with text and lang that aren't held out; None if there are none. At most train_docs documents a language are read."""
+    """A model from documents with text and lang that aren't held out; None if there are none. At most train_docs different rows (id and text) a language are read, however often an id or a row is repeated."""
+    mark = F.xxhash64("text").alias("mark")
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # at most train_docs ids a language
-    chosen = first_by_hash(labelled.select("doc_id", "lang"), "lang", train_docs).select("doc_id", F.col("lang").alias("chosen")).distinct()
-    rows = labelled.select("doc_id", "lang", text_bytes().alias("bytes")).join(F.broadcast(chosen), "doc_id").filter("lang = chosen").select("lang", "bytes")
+    ids = labelled.select("doc_id", "lang", mark)
+    chosen = different_by_hash(ids, "lang", train_docs, ["doc_id", "mark"], kinds_of(ids, "lang", ["doc_id", "mark"]))
+    # at most train_docs rows a language are broadcast; copies of one are merged before they move
+    texts = labelled.select("doc_id", "lang", mark, text_bytes().alias("bytes")).join(F.broadcast(chosen), ["doc_id", "lang", "mark"])
+    rows = texts.groupBy("doc_id", "lang", "mark").agg(F.first("bytes").alias("bytes")).select("lang", "bytes")
     grams = rows.mapInArrow(_grams(depth), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = grams.toArrow()  # bounded by the chosen documents
     if not found.num_rows:

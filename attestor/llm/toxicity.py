@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import dropped, first_by_hash, has_columns, stored, text_bytes
+from attestor.llm.common import different_by_hash, dropped, has_columns, kinds_of, stored, text_bytes
 
 #: Labelled documents of one grade that the model learns from, at most; those first by a hash of doc_id.
 TRAIN_DOCS = 4000
@@ -126,13 +126,17 @@ def _sigmoid(x):
 
 
 def train(docs: DataFrame, graded: DataFrame, train_docs: int = TRAIN_DOCS) -> Ordinal | None:
-    """From docs (doc_id, text) and graded (doc_id, grade; int, 0 and up; null: not labelled). At most train_docs documents a grade are read, each counting for its share of the grade. None without labels of two grades."""
-    ids = docs.select("doc_id").join(graded.filter(F.col("grade").isNotNull()), "doc_id")
-    found = {r["grade"]: r["n"] for r in ids.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    """From docs (doc_id, text) and graded (doc_id, grade; int, 0 and up; null: not labelled). At most train_docs different rows (id and text) a grade are read, however often one is repeated, each counting for its share of the grade. None without labels of two grades."""
+    keys = ["doc_id", "mark"]
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), text_bytes().alias("bytes"))
+    ids = marked.select(keys).join(graded.filter(F.col("grade").isNotNull()), "doc_id")
+    sizes = kinds_of(ids, "grade", keys)
+    found = {g: n for g, (n, _) in sizes.items()}
     if len(found) < 2:
         return None
-    chosen = first_by_hash(ids, "grade", train_docs).select("doc_id", "grade").distinct()
-    sample = docs.select("doc_id", text_bytes().alias("bytes")).join(F.broadcast(chosen), "doc_id")  # at most train_docs ids a grade
+    chosen = different_by_hash(ids, "grade", train_docs, keys, sizes)
+    # at most train_docs rows a grade are broadcast; copies of one are merged before they move
+    sample = marked.join(F.broadcast(chosen), keys).groupBy("grade", *keys).agg(F.first("bytes").alias("bytes"))
     rows = stored(sample.select("grade", "bytes").mapInArrow(_features, "grade int, features array<int>, counts array<tinyint>"), "features")
     per_grade = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     total = sum(found[g] for g in per_grade)
