@@ -4,7 +4,9 @@ The container holds two logical streams, interleaved page by page: raw unsigned
 that tells how many of their bytes are the document's own. The decoder verifies each page's checksum (and looks for the
 next page where one fails), separates the streams by serial number, puts packets together from lacing values over
 page ends, and gives every packet the times that the granule positions, which count samples, have for it. A stream starts
-with a page marked as its first; a serial number that comes up again starts another stream.
+with a page marked as its first; a serial number that comes up again starts another stream. Chained files are links:
+each link's first stream of samples counts, one after the other. A stream whose header isn't that of unsigned 8-bit mono
+samples at a positive rate gives none and is counted.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ _HEAD = struct.Struct("<4sBBqIIIB")
 _AUDIO = struct.Struct(">8sHHIIBBHI")
 _DATA = struct.Struct("<8sQQ")
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
-FEATURES = "doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, packet_seconds array<double>, bad_pages long, payload binary"
+FEATURES = "doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, packet_seconds array<double>, bad_pages long, bad_headers long, payload binary"
 
 
 def checksum(page: bytes) -> int:
@@ -84,6 +86,7 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
 @dataclass
 class Stream:
     serial: int = 0
+    link: int = 0
     packets: list[bytes] = field(default_factory=list)
     ends: list[int | None] = field(default_factory=list)
     granule: int = 0
@@ -108,41 +111,91 @@ class Media:
     streams: list[Stream]
     bad_pages: int
 
-    def _by(self, magic: bytes) -> Stream | None:
-        return next((s for s in self.streams if s.packets and s.packets[0].startswith(magic)), None)
+    def _headed(self, magic: bytes) -> list[Stream]:
+        return [s for s in self.streams if s.packets and s.packets[0].startswith(magic)]
 
     @property
-    def samples(self) -> bytes:
-        s = self._by(b"PCM     ")
-        return b"".join(s.packets[1:]) if s else b""
+    def sounds(self) -> list[Sound]:
+        """The samples' streams, the first of each link."""
+        first: dict[int, Sound] = {}
+        for s in self._headed(b"PCM     "):
+            if (x := Sound.of(s)) is not None:
+                first.setdefault(s.link, x)
+        return list(first.values())
 
     @property
-    def rate(self) -> int:
-        s = self._by(b"PCM     ")
-        return _AUDIO.unpack(s.packets[0])[4] if s else RATE
+    def bad_headers(self) -> int:
+        """Streams that are named as ours and whose headers can't be read."""
+        return sum(Sound.of(s) is None for s in self._headed(b"PCM     ")) + sum(_extent(s) is None for s in self._headed(b"ATTRDATA"))
+
+    @property
+    def samples(self) -> bytes:
+        return b"".join(p for x in self.sounds for p in x.packets)
 
     @property
     def seconds(self) -> float:
-        s = self._by(b"PCM     ")
-        return s.granule / self.rate if s else 0.0
+        return sum((x.seconds for x in self.sounds), 0.0)
 
     @property
     def packet_seconds(self) -> list[float | None]:
-        """When each packet of samples starts."""
-        s = self._by(b"PCM     ")
-        return s.times(len, self.rate)[1:] if s else []
+        """When each packet of samples starts, counted from the first link's start."""
+        out, before = [], 0.0
+        for x in self.sounds:
+            out += [None if t is None else before + t for t in x.times]
+            before += x.seconds
+        return out
 
     @property
     def n_bytes(self) -> int | None:
-        s = self._by(b"ATTRDATA")
-        return _DATA.unpack(s.packets[1])[1] if s and len(s.packets) > 1 else None
+        """The documents' own bytes, over all links that tell; None if none does."""
+        first: dict[int, int] = {}
+        for s in self._headed(b"ATTRDATA"):
+            if (n := _extent(s)) is not None:
+                first.setdefault(s.link, n)
+        return sum(first.values()) if first else None
+
+
+@dataclass
+class Sound:
+    """A stream of samples behind its headers."""
+
+    stream: Stream
+    rate: int
+    headers: int
+
+    @classmethod
+    def of(cls, s: Stream) -> Sound | None:
+        if len(s.packets[0]) != _AUDIO.size:
+            return None
+        _, _, _, kind, rate, bits, channels, _, extra = _AUDIO.unpack(s.packets[0])
+        return cls(s, rate, 1 + extra) if (kind, bits, channels) == (1, 8, 1) and rate > 0 else None
+
+    @property
+    def packets(self) -> list[bytes]:
+        return self.stream.packets[self.headers :]
+
+    @property
+    def seconds(self) -> float:
+        return self.stream.granule / self.rate
+
+    @property
+    def times(self) -> list[float | None]:
+        return self.stream.times(len, self.rate)[self.headers :]
+
+
+def _extent(s: Stream) -> int | None:
+    """The number of bytes that a data stream gives; None if it doesn't. One beyond 63 bits is none."""
+    if len(s.packets) < 2 or len(s.packets[1]) != _DATA.size:
+        return None
+    name, n, _ = _DATA.unpack(s.packets[1])
+    return n if name == b"EXTENT  " and n < 1 << 62 else None
 
 
 def decode(media: bytes) -> Media:
     """All logical streams in order of their first pages, chained ones too. A page with a wrong checksum or cut short is left out and counted; packets it had a part of are dropped."""
     streams: list[Stream] = []
     now: dict[int, Stream] = {}
-    at, bad = 0, 0
+    at, bad, link, heading = 0, 0, 0, True
     while True:
         at = media.find(b"OggS", at)
         if at < 0 or at + _HEAD.size > len(media):
@@ -155,8 +208,12 @@ def decode(media: bytes) -> Media:
         if version or len(lacing) < count or end > len(media) or checksum(media[at : at + 22] + b"\0\0\0\0" + media[at + 26 : end]) != crc:
             bad, at = bad + 1, at + 4
             continue
-        if flags & FIRST or serial not in now:
-            now[serial] = Stream(serial)
+        first = bool(flags & FIRST)
+        if first and streams and (not heading or (serial in now and now[serial].link == link)):
+            link += 1  # first pages of a link stand together; one behind other pages, or of a stream that is there, begins the next
+        heading = first
+        if first or serial not in now:
+            now[serial] = Stream(serial, link)
             streams.append(now[serial])
         s = now[serial]
         s.pages += 1
@@ -206,14 +263,14 @@ def _decoded(with_payload: bool):
             for media in b.column("media"):
                 data = media.as_py()
                 if data is None:
-                    rows.append((None,) * 11)
+                    rows.append((None,) * 12)
                     continue
                 m = decode(data)
                 p = m.samples
-                rows.append((m.n_bytes, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(m), m.seconds, m.packet_seconds, m.bad_pages, p))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 11
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.binary()]
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "packet_seconds", "bad_pages", "payload"][: 10 + with_payload]
+                rows.append((m.n_bytes, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(m), m.seconds, m.packet_seconds, m.bad_pages, m.bad_headers, p))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 12
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.binary()]
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "packet_seconds", "bad_pages", "bad_headers", "payload"][: 11 + with_payload]
             yield pa.record_batch([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols[: len(names)], kinds, strict=False))], names=["doc_id", *names])
 
     return run
@@ -226,7 +283,7 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 def media_facts(media: DataFrame, with_payload: bool = False) -> DataFrame:
-    """What a media column (doc_id, media) holds, from its bytes alone. A null file gives nulls, an empty one no samples; damaged pages are counted in bad_pages; packet_seconds has the start of each packet of samples, null where no position tells it."""
+    """What a media column (doc_id, media) holds, from its bytes alone. A null file gives nulls, an empty one no samples; damaged pages are counted in bad_pages, streams with unreadable headers in bad_headers; of chained files all samples are given and n_bytes is their sum; packet_seconds has the start of each packet of samples, null where no position tells it."""
     has_columns(media, ["doc_id", "media"])
     schema = FEATURES.format(kind=media.schema["doc_id"].dataType.simpleString())
     return media.select("doc_id", "media").mapInArrow(_decoded(with_payload), schema if with_payload else schema.removesuffix(", payload binary"))

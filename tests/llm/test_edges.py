@@ -466,7 +466,7 @@ def test_ogg_chained_streams():
     """Files one after another, with the same serial numbers, are streams of their own."""
     one = ogg.encode(b"a" * 192, 5)
     m = ogg.decode(one + one)
-    assert len(m.streams) == 4 and not m.bad_pages and m.samples == b"a" * 192
+    assert len(m.streams) == 4 and not m.bad_pages and m.samples == b"a" * 384
     assert [s.lost for s in m.streams] == [0] * 4 and all(s.ended for s in m.streams)
 
 
@@ -491,3 +491,46 @@ def test_warc_names_and_schemes():
     assert len(set(ids)) == 4
     assert [warc.parse(z.decompress(m, 31))["page_id"] for m in sorted(names)].count(None) == 2
     assert warc.opened("/tmp/x")[1] == "/tmp/x" and warc.opened("file:///tmp/x")[1] == "/tmp/x"
+
+
+def test_ogg_chained_samples():
+    """Every link's samples and own bytes; a second track of one link isn't mixed in."""
+    parts = [(b"a" * 192, 5), (b"b" * 384, 300), (b"c" * 192, 0)]
+    m = ogg.decode(b"".join(ogg.encode(p, n) for p, n in parts))
+    assert m.samples == b"".join(p for p, _ in parts) and m.n_bytes == 305 and m.bad_pages == m.bad_headers == 0
+    assert m.seconds == pytest.approx(768 / ogg.RATE) and m.packet_seconds == pytest.approx([0, 192 / ogg.RATE, 576 / ogg.RATE])
+    head = ogg._AUDIO.pack(b"PCM     ", 0, 0, 1, ogg.RATE, 8, 1, ogg.PACKET, 0)
+    one, two = (ogg.pages_of(i, [(head, 0), (c * 10, 10)]) for i, c in ((1, b"x"), (2, b"y")))
+    assert ogg.decode(b"".join(p for pair in zip(one, two, strict=True) for _, p in pair)).samples == b"x" * 10
+    # the same serial number again, with nothing but first pages in between
+    empty = ogg.pages_of(1, [(head, 0)])
+    assert len({s.link for s in ogg.decode(b"".join(p for _, p in empty + empty + one)).streams}) == 3
+
+
+@pytest.mark.parametrize("head", [b"PCM     ", b"PCM     " + bytes(20), b"PCM     " + bytes(40), ogg._AUDIO.pack(b"PCM     ", 0, 0, 1, 0, 8, 1, 9, 0), ogg._AUDIO.pack(b"PCM     ", 0, 0, 1, 8000, 16, 2, 9, 0)])
+def test_ogg_foreign_headers(spark, head):
+    """Headers of a wrong length, rate or form are counted; nothing is raised."""
+    bad = b"".join(p for _, p in ogg.pages_of(7, [(head, 0), (b"zz", 2)]) + ogg.pages_of(8, [(b"ATTRDATA", 0), (b"short", 0)]))
+    m = ogg.decode(bad)
+    assert m.samples == b"" and m.bad_headers == 2 and m.n_bytes is None and m.seconds == 0 and m.packet_seconds == []
+    r = ogg.media_facts(spark.createDataFrame([(1, bad + ogg.encode(b"q" * 192, 9))], "doc_id int, media binary"), with_payload=True).first()
+    assert (bytes(r.payload), r.n_bytes, r.bad_headers) == (b"q" * 192, 9, 2)
+
+
+def test_training_rows_are_bounded(spark):
+    """However often an id, or a row, is repeated: at most train_docs different rows of a kind are read, and one that is repeated counts once."""
+    from attestor.llm.common import different_by_hash, kinds_of
+
+    same = [(1, "en", f"word{i} common") for i in range(3000)]
+    rows = spark.createDataFrame(same + [(1, "en", "copy")] * 3000 + [(2, "de", "gleich")] * 3000, "doc_id int, lang string, text string")
+    keys = ["doc_id", "text"]
+    got = different_by_hash(rows, "lang", 10, keys, kinds_of(rows, "lang", keys)).collect()
+    assert len(got) == len(set(got)) == 11 and sum(r.lang == "en" for r in got) == 10
+    assert sorted(different_by_hash(rows, "lang", 10, keys, kinds_of(rows, "lang", keys)).collect()) == sorted(got)
+    model = language.learn(rows, train_docs=10)
+    read = [r.text.encode() for r in different_by_hash(rows.select("doc_id", "lang", F.xxhash64("text").alias("mark"), "text"), "lang", 10, ["doc_id", "mark"], kinds_of(rows.withColumn("mark", F.xxhash64("text")), "lang", ["doc_id", "mark"])).join(rows.withColumn("mark", F.xxhash64("text")), ["doc_id", "lang", "mark"]).select("lang", "text").distinct().collect() if r.lang == "en"]
+    want = language.learn(spark.createDataFrame([(1, "en", t.decode()) for t in read] + [(2, "de", "gleich")], rows.schema), train_docs=100)
+    texts = [b"word17 common", b"gleich", b"copy"]
+    assert len(read) == 10 and np.array_equal(model.bits(texts), want.bits(texts))
+    graded = spark.createDataFrame([(1, 0), (2, 1)], "doc_id int, grade int")
+    assert toxicity.train(rows.drop("lang"), graded, train_docs=10) is not None
