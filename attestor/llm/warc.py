@@ -8,6 +8,10 @@ theirs, and a zero byte stands between them and the next, as padding that the re
 Reading. A task gets a byte range of a file. It looks for the gzip magic, decodes the header and the first bytes of each
 candidate, and takes it for a member only if they are a WARC header; chance matches inside compressed data fail this. A
 member belongs to the range in which it starts and is read to its end, over the range's end if need be.
+
+A payload that doesn't compress may hold whole members, and a range may begin inside it. So ranges of longer files first
+report how far the members that start in them reach. A member inside another ends before it, so the furthest reach of a
+file's earlier ranges is where its true members go on: a task starts there, and no record comes from inside another one.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.llm.common import has_columns, new_path, stored
@@ -112,8 +116,8 @@ def _begins(tail: _Tail, at: int) -> bool:
         return False
 
 
-def _member(tail: _Tail, at: int) -> tuple[bytes, int] | None:
-    """(content, end) of the WARC member that starts at byte at; None if none does. Raises on one that is cut short or damaged behind its first bytes."""
+def _member(tail: _Tail, at: int, strict: bool) -> tuple[bytes, int] | None:
+    """(content, end) of the WARC member that starts at byte at; None if none does. One that is cut short or damaged behind its first bytes raises; if not strict, it is none, and so is one without a whole header and block."""
     unpack = zlib.decompressobj(31)
     out: list[bytes] = []
     known, pos = 0, at
@@ -121,14 +125,14 @@ def _member(tail: _Tail, at: int) -> tuple[bytes, int] | None:
         piece = tail.data[pos - tail.start : pos - tail.start + tail.block]
         if not piece:
             if not tail.more():
-                if known == 7:
+                if strict and known == 7:
                     raise ValueError(f"the WARC member at byte {at} is cut short")
                 return None
             continue
         try:
             out.append(unpack.decompress(piece))
         except zlib.error as e:
-            if known == 7 or _begins(tail, at):
+            if strict and (known == 7 or _begins(tail, at)):
                 raise ValueError(f"the WARC member at byte {at} is damaged: {e}") from e
             return None
         pos += len(piece)
@@ -137,13 +141,31 @@ def _member(tail: _Tail, at: int) -> tuple[bytes, int] | None:
             known = len(head)
             if not b"WARC/1.".startswith(head):
                 return None
-    if known < 7:
+    content = b"".join(out)
+    if known < 7 or not (strict or _is_whole(content)):
         return None
-    return b"".join(out), pos - len(unpack.unused_data)
+    return content, pos - len(unpack.unused_data)
+
+
+def _is_whole(content: bytes) -> bool:
+    """Whether a record's header ends, tells its type and how long its block is, and the block is there."""
+    head, end, block = content.partition(b"\r\n\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+    length = fields.get(b"content-length", b"")
+    return bool(end) and b"warc-type" in fields and length.isdigit() and int(length) <= len(block)
 
 
 def members_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the members that start in bytes start up to end of the file."""
+    """(offset, content) of the members that start in bytes start up to end of the file, where no member is open at start."""
+    return ((at, content) for at, content, _ in _walk(file, size, start, end, True))
+
+
+def reach(file, size: int, start: int, end: int) -> int:
+    """Where the furthest of the members ends that start in bytes start up to end of the file, which may lie inside one; 0 if none starts there."""
+    return max((stop for _, _, stop in _walk(file, size, start, end, False)), default=0)
+
+
+def _walk(file, size: int, start: int, end: int, strict: bool) -> Iterator[tuple[int, bytes, int]]:
     tail, at = _Tail(file, start, size), start
     while at < end:
         if at - tail.start > tail.block:
@@ -157,11 +179,11 @@ def members_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, byt
         at = tail.start + found
         if at >= end:
             return
-        member = _member(tail, at)
+        member = _member(tail, at, strict)
         if member is None:
             at += 1
             continue
-        yield at, member[0]
+        yield at, *member
         at = member[1]
 
 
@@ -234,12 +256,34 @@ def _read(with_payload: bool):
     return run
 
 
+def _reaches(batches):
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in ("path", "length", "start", "stop")]
+        far = []
+        for path, size, start, end in zip(*cols, strict=True):
+            system, inner = opened(path)
+            with system.open_input_file(inner) as file:
+                far.append(reach(file, size, start, end))
+        yield pa.record_batch([b.column("path"), b.column("start"), pa.array(far, pa.int64())], names=["path", "start", "reach"])
+
+
+def _entered(ranges: DataFrame, total: int) -> DataFrame:
+    """ranges with start moved to where the members that start in earlier ranges of the file end. Files of one range have nothing to ask; a row a range is shuffled, and no content."""
+    asked = ranges.filter("stop < length").repartition(max(1, total)).mapInArrow(_reaches, "path string, start long, reach long")
+    facts = stored(asked, "warc-reaches")
+    before = F.max("reach").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    entries = ranges.join(facts, ["path", "start"], "left").withColumn("entry", F.coalesce(before, F.lit(0)))
+    return entries.withColumn("start", F.greatest("start", "entry")).filter("start < stop or length = 0").select("path", "length", "start", "stop")
+
+
 def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
-    """The records of an archive directory or file, of any type and with any ids: see RECORD and parse. page_id and refers_to are those of archives that write() has made, null for others, whose ids are in record_id and refers_to_id. A revisit's payload is null, its length and digest are those of the full payload. A payload that doesn't compress and holds a whole gzipped record may give that one too where a range begins inside it. The path has to be on a file system that pyarrow opens as well: local, HDFS, S3 (also as s3a), GCS or Azure."""
+    """The records of an archive directory or file, of any type and with any ids: see RECORD and parse. page_id and refers_to are those of archives that write() has made, null for others, whose ids are in record_id and refers_to_id. A revisit's payload is null, its length and digest are those of the full payload. The rows are the same for every split_bytes; files longer than that are decompressed twice. The path has to be on a file system that pyarrow opens as well: local, HDFS, S3 (also as s3a), GCS or Azure."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # the content isn't read
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.withColumn("stop", F.least(F.col("start") + split_bytes, "length"))
     total = ranges.count()
+    if total > files.count():
+        ranges = _entered(ranges, total)
     schema = RECORD if with_payload else RECORD.replace(" payload binary,", "")
     return ranges.repartition(max(1, total)).mapInArrow(_read(with_payload), schema)
 

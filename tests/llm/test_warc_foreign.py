@@ -1,6 +1,8 @@
 """Archives that others have written: every record type, ids of any kind, digests of any kind or none, for every split size."""
 
 import gzip
+import random
+import zlib
 
 import pytest
 
@@ -52,3 +54,45 @@ def test_own_records_are_checked():
         warc.parse(gzip.decompress(good).replace(b"hello", b"hallo"))
     with pytest.raises(ValueError, match="cut short"):
         warc.parse(gzip.decompress(good)[:-12])
+
+
+def stored_member(record_id, block):
+    """A member whose block isn't compressed, as those that don't compress are."""
+    head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: {record_id}\r\nContent-Type: image/png\r\nContent-Length: {len(block)}\r\n\r\n"
+    packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return packer.compress(head.encode() + block + b"\r\n\r\n") + packer.flush()
+
+
+def noise(n, seed):
+    return random.Random(seed).randbytes(n)
+
+
+NESTED = [
+    *RECORDS[:2],
+    stored_member("<a>", noise(700, 1) + b"".join(RECORDS[1:4]) + noise(700, 2) + RECORDS[6] + noise(900, 3)),
+    RECORDS[2],
+    # one that is cut by the packer's own blocks, one that is damaged, and an archive in an archive
+    stored_member("<b>", noise(64_000, 4) + stored_member("<inner>", noise(5_000, 5) + RECORDS[3]) + noise(100, 6) + RECORDS[1][:-9] + noise(2_000, 7)),
+    stored_member("<c>", stored_member("<d>", stored_member("<e>", noise(300, 8)) + noise(300, 9)) + noise(300, 10)),
+    RECORDS[4],
+]
+
+
+@pytest.mark.parametrize("split", [250, 4096, 1 << 16, 1 << 24])
+def test_no_record_from_inside_another(spark, tmp_path, split):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(NESTED))
+    (tmp_path / "b.warc.gz").write_bytes(NESTED[2])
+    (tmp_path / "c.warc.gz").write_bytes(b"")
+    rows = warc.read(spark, str(tmp_path), split).orderBy("archive", "offset").collect()
+    assert [r.record_id for r in rows] == ["<urn:uuid:1>", "<urn:uuid:2>", "<a>", "<urn:uuid:3>", "<b>", "<c>", "<urn:uuid:5>", "<a>"]
+    places = [sum(map(len, NESTED[:i])) for i in range(len(NESTED))]
+    assert [r.offset for r in rows] == [*places, 0]
+
+
+def test_damage_is_found_whatever_the_ranges(spark, tmp_path):
+    data = bytearray(b"".join(NESTED[:4]))
+    data[len(b"".join(NESTED[:2])) + 900] ^= 1
+    (tmp_path / "a.warc.gz").write_bytes(bytes(data))
+    for split in (200, 1 << 20):
+        with pytest.raises(Exception, match="damaged"):
+            warc.read(spark, str(tmp_path), split).collect()
