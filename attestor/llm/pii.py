@@ -7,7 +7,9 @@ ranges, the calendar) and otherwise stay. What is left is turned into a list of
 permuted by a keyed alternating Feistel network over the two halves of that list: in each round, each value of one half
 is moved, modulo its radix, by a keyed hash of the other half. The result has the same format and is valid again; check
 digits are computed anew. Equal values have equal pseudonyms in every document, different ones of a kind have different:
-a date that can only be read with the day first stays one, by permuting on until its day is over 12.
+a date whose day is over 12 gets another such day, and one of up to 12 another of those, by permuting on until it does.
+So a day has one pseudonym in all formats, and which part comes first stays as clear as it was. Letters outside ASCII, in
+mail names, stay as they are, and so do IPv6 addresses.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ from attestor.llm.common import has_columns
 ROUNDS = 10  # an even number, so that the halves end up in their places
 
 # fixed values: what candidates look like, by kind
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+){1,8}+"
-DATE = r"(?<![0-9A-Za-z/.\-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![0-9A-Za-z/\-]|\.\d)"
+EMAIL = r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]++@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+){1,8}+"
+DATE = r"(?<![0-9A-Za-z/.\-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?:(?=T\d{2}:\d{2})|(?![0-9A-Za-z/\-]|\.\d))"
 CARD = r"(?<![0-9A-Za-z.\-])(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{4,5})(?![0-9A-Za-z]|[.\-]\d)"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
-SSN = r"(?<![0-9A-Za-z\-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z\-])"
+IBAN = r"(?<![0-9A-Za-z])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}[a-z0-9]{11,30})(?![0-9A-Za-z])"
+SSN = r"(?<![0-9A-Za-z\-])(?:\d{3}-\d{2}-\d{4}|(?<!\d )\d{3} \d{2} \d{4}(?! \d))(?![0-9A-Za-z\-])"
 IPV4 = r"(?<![0-9A-Za-z.])(?:\d{1,3}\.){3}\d{1,3}(?![0-9A-Za-z]|\.\d)"
 PHONE = r"(?<![0-9A-Za-z+(])(?:\+\d{8,15}|(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4})(?![0-9A-Za-z]|[.\-]\d)"
-SECRET = r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|token|secret|api_key)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9_\-]{8,}+)"
+NAMED = r"(?i:password|passwd|token|secret|api_key)[ ]{0,3}[=:][ ]{0,3}"
+SECRET = r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]*+|" + NAMED + r"(?:\"[^\"\x00-\x20]{6,}+\"|'[^'\x00-\x20]{6,}+'|[\"']?[A-Za-z0-9_\-]{8,}+)|(?i:password|passwd)[ ]{0,3}[=:][ ]{0,3}[\"']?(?=[!-~]*\d)[A-Za-z0-9_\-!@#$%^&*+?~]{6,}+)"
 ANY = "|".join((EMAIL, DATE, CARD, IBAN, SSN, IPV4, PHONE, SECRET))
 
 KINDS = ("email", "date", "card", "iban", "ssn", "ipv4", "phone", "secret")
@@ -89,22 +92,22 @@ def _iban_rest(s: str) -> str:
 def _iban_of(m: str) -> str:
     """The longest part of an IBAN candidate, from its start to a space or its end, that has the right check digits; else all of it."""
     parts = "transform(reverse(sequence(1, size(w))), i -> array_join(slice(w, 1, i), ' '))"
-    right = f"filter({parts}, y -> y rlike {_text(f'^(?:{IBAN})$')} AND {_iban_rest("replace(y, ' ', '')")} = 1)"
+    right = f"filter({parts}, y -> y rlike {_text(f'^(?:{IBAN})$')} AND {_iban_rest("upper(replace(y, ' ', ''))")} = 1)"
     return _let("w", f"split({m}, ' ')", f"coalesce(get({right}, 0), {m})")
 
 
 def _iban(m: str, key: str) -> str:
     rest = _iban_rest
-    plain = f"replace({m}, ' ', '')"
+    plain = f"upper(replace({m}, ' ', ''))"
     body = _chars(f"substr({m}, 5)", "false", key, "iban")
-    check = f"lpad(cast(98 - {rest("concat(substr(" + m + ", 1, 2), '00', replace(n, ' ', ''))")} as string), 2, '0')"
+    check = f"lpad(cast(98 - {rest("upper(concat(substr(" + m + ", 1, 2), '00', replace(n, ' ', '')))")} as string), 2, '0')"
     return f"if({rest(plain)} = 1, {_let('n', body, f'concat(substr({m}, 1, 2), {check}, n)')}, {m})"
 
 
 def _ssn(m: str, key: str) -> str:
-    parts = f"transform(split({m}, '-'), x -> cast(x as bigint))"
+    parts = f"transform(split({m}, '[- ]'), x -> cast(x as bigint))"
     values = "array(t[0] - if(t[0] > 666, 2, 1), t[1] - 1, t[2] - 1)"
-    out = "format_string('%03d-%02d-%04d', o[0] + if(o[0] >= 665, 2, 1), o[1] + 1, o[2] + 1)"
+    out = f"format_string('%03d%s%02d%s%04d', o[0] + if(o[0] >= 665, 2, 1), substr({m}, 4, 1), o[1] + 1, substr({m}, 4, 1), o[2] + 1)"
     moved = _let("o", _feistel(values, "array(898L, 99L, 9999L)", key, "ssn"), out)
     return _let("t", parts, f"if(t[0] BETWEEN 1 AND 899 AND t[0] <> 666 AND t[1] > 0 AND t[2] > 0, {moved}, {m})")
 
@@ -127,7 +130,7 @@ def _phone(m: str, key: str) -> str:
 
 def _date(m: str, key: str) -> str:
     """The day moves within its century; the centuries' days are 92 * 397, or 75 * 487 with a leap day more."""
-    parts = f"CASE WHEN {m} LIKE '%-%' THEN split({m}, '-') WHEN {m} LIKE '%.%' THEN reverse(split({m}, '[.]')) WHEN cast(split({m}, '/')[0] as int) <= 12 THEN array(split({m}, '/')[2], split({m}, '/')[0], split({m}, '/')[1]) ELSE reverse(split({m}, '/')) END"
+    parts = f"CASE WHEN {m} LIKE '%-%' THEN split({m}, '-') WHEN {m} LIKE '____/%' THEN split({m}, '/') WHEN {m} LIKE '%.%' THEN reverse(split({m}, '[.]')) WHEN cast(split({m}, '/')[0] as int) <= 12 THEN array(split({m}, '/')[2], split({m}, '/')[0], split({m}, '/')[1]) ELSE reverse(split({m}, '/')) END"
     numbers = f"transform({parts}, x -> cast(x as int))"
     valid = "t[0] > 0 AND t[1] BETWEEN 1 AND 12 AND t[2] BETWEEN 1 AND CASE WHEN t[1] BETWEEN 1 AND 12 AND t[0] > 0 THEN day(last_day(make_date(t[0], t[1], 1))) ELSE 0 END"
     start = "make_date(greatest(1, t[0] div 100 * 100), 1, 1)"
@@ -137,11 +140,11 @@ def _date(m: str, key: str) -> str:
     # x is days from the century's start
     moved = lambda x: _let("y", x, _let("o", _feistel("array(y div d.w, y % d.w)", "array(d.h, d.w)", key, "date"), "o[0] * d.w + o[1]"))
     at = lambda x: f"date_add(d.s, cast({x} as int))"
-    # with the day first for sure: on to the next such day of the cycle; 64 steps miss it with a probability under 1e-25
-    walked = f"aggregate(sequence(1, 64), {moved('d.i')}, (a, j) -> if(day({at('a')}) > 12, a, {moved('a')}))"
-    day = f"if({m} LIKE '%/%' AND cast(split({m}, '/')[0] as int) > 12, {at(walked)}, {at(moved('d.i'))})"
+    # on to the next day of its sort in the cycle; 128 steps miss it with a probability under 1e-27
+    walked = f"aggregate(sequence(1, 128), {moved('d.i')}, (a, j) -> if((day({at('a')}) > 12) = (t[2] > 12), a, {moved('a')}))"
+    day = at(walked)
     shape = (
-        f"CASE WHEN {m} LIKE '%-%' THEN date_format(e, 'yyyy-MM-dd') WHEN {m} LIKE '%.%' THEN date_format(e, if({m} rlike r'^\\d\\d\\.\\d\\d\\.', 'dd.MM.yyyy', 'd.M.yyyy')) "
+        f"CASE WHEN {m} LIKE '%-%' THEN date_format(e, 'yyyy-MM-dd') WHEN {m} LIKE '____/%' THEN date_format(e, 'yyyy/MM/dd') WHEN {m} LIKE '%.%' THEN date_format(e, if({m} rlike r'^\\d\\d\\.\\d\\d\\.', 'dd.MM.yyyy', 'd.M.yyyy')) "
         f"WHEN cast(split({m}, '/')[0] as int) <= 12 THEN date_format(e, if({m} rlike r'^\\d\\d/\\d\\d/', 'MM/dd/yyyy', 'M/d/yyyy')) ELSE date_format(e, if({m} rlike r'^\\d\\d/\\d\\d/', 'dd/MM/yyyy', 'd/M/yyyy')) END"
     )
     found = _let("d", f"named_struct('i', {index}, 'w', {width}, 'h', {height}, 's', {start})", f"if(d.i >= d.w * d.h, {m}, {_let('e', day, shape)})")
@@ -154,7 +157,8 @@ def _pieces(text: str, key: str, tweak: str) -> str:
 
 
 def _secret(m: str, key: str) -> str:
-    value = f"regexp_extract({m}, '[A-Za-z0-9_-]+$', 0)"
+    """Key identifiers and web tokens keep their first letters, named values their names; separators stay and have no part in it."""
+    value = f"if({m} LIKE 'eyJ%', substr({m}, 4), regexp_replace({m}, {_text(f'^{NAMED}')}, ''))"
     return f"if({m} LIKE 'AKIA%', concat('AKIA', {_chars(f'substr({m}, 5)', 'false', key, 'key')}), {_let('n', value, f"concat(substr({m}, 1, length({m}) - length(n)), {_pieces('n', key, 'secret')})")})"
 
 
