@@ -49,23 +49,46 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """As stored(), in `buckets` hash buckets of key: later joins and aggregates on key need no exchange of this side. df has to be partitioned by repartition(buckets, key)."""
+def stored_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Writes df to path in `buckets` hash buckets of keys and reads it back: later joins and aggregates on keys need no exchange of this side. df has to be partitioned by keys in that number, by an aggregate or by repartition(buckets, *keys)."""
     spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
+    table = f"stored_{uuid.uuid4().hex}"
     with shuffles_freed(spark):
-        df.write.format("parquet").option("path", new_path(spark, name)).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return _unnamed(spark, table)
+
+
+def bucketed(spark: SparkSession, path: str, schema: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """What stored_bucketed() has written to path, in this session or another."""
+    table, by = f"stored_{uuid.uuid4().hex}", ", ".join(keys)
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return _unnamed(spark, table)
+
+
+def _unnamed(spark: SparkSession, table: str) -> DataFrame:
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # an external table: the name goes, the files and out's plan stay
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared folder, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it isn't there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
 def dropped(df: DataFrame) -> None:
-    """Removes the files of a frame from stored() or stored_bucketed() that nothing refers to any more."""
+    """Removes the files of a frame from stored() that nothing refers to any more."""
     files = df.inputFiles()
     if files:
-        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        removed(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -8,14 +8,21 @@ share: a hash of the window whole, the fingerprint and the least document.
 
 A new batch becomes a run itself and is merge-joined with the earlier runs, bucket by bucket without an exchange. For a
 fingerprint that an earlier run holds for one document, that document's windows are computed now and verified; if it was
-held for several, they have been, and are read from the runs. So a batch computes windows of its own documents and of
-those earlier ones it hits for the first time. Windows are the same if both 64-bit hashes are: that of the whole and the
-fingerprint. `fanout` runs of a level are compacted into one of the next, and their files removed.
+held for several, they have been, and lie in the runs. So a batch computes windows of its own documents and of those
+earlier ones it hits for the first time. Windows are the same if both 64-bit hashes are: that of the whole and the
+fingerprint. They lie in buckets of both, so the many different windows around one common fingerprint are shared out.
+`fanout` runs of a level are compacted into one of the next, and their files removed.
+
+An index with a path of its own outlives its session: after each batch a new state is put in place of the last by one
+rename, and FingerprintIndex.open() goes on from there. A batch that broke off has left no trace in the state and can be
+given again; files that no state names are removed as the index is opened.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import dropped, has_columns, partitions_kept, stored, stored_bucketed, text_bytes
+from attestor.llm.common import bucketed, dropped, folders_in, has_columns, new_path, partitions_kept, removed, stored, stored_bucketed, text_bytes
+from attestor.sources.store import Store
 
 WIDTH, GRAM = 13, 5
 #: Null doc_ids are given numbers from here on, by a hash of their text; none of them comes before another.
@@ -145,40 +153,99 @@ def _before(a: Column, b: Column) -> Column:
 
 @dataclass
 class Run:
-    """prints: fp, least, most. windows: fp, whole, least, of shared fingerprints. Both in buckets of fp."""
+    """In the folder of this name, prints: fp, least, most, in buckets of fp; windows: fp, whole, least, of shared fingerprints, in buckets of fp and whole."""
 
+    name: str
     prints: DataFrame
     windows: DataFrame
 
 
+@dataclass
+class Texts:
+    """The units of a batch, and its documents' bounds."""
+
+    name: str | None
+    units: DataFrame
+    low: int
+    high: int
+
+
+PRINTS, WINDOWS = ("fp",), ("fp", "whole")
 KEPT = "doc long, th string, n_words long, n_removed long, kept binary"
 
 
 class FingerprintIndex:
-    """The runs of one corpus. Batches come in order of document: no document of a batch is below one of an earlier batch."""
+    """The runs of one corpus. Batches come in order of document: no document of a batch is below one of an earlier batch.
+
+    With a path the index is kept there, texts included, and open() finds it again; without, it lasts as long as the
+    session and refers to the frames it is given. One writer at a time.
+    """
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, buckets: int | None = None, fanout: int = 2):
+    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, buckets: int | None = None, fanout: int = 2, path: str | None = None):
         self.spark, self.width, self.gram, self.fanout = spark, width, gram, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[Run]] = []
-        self.texts: list[DataFrame] = []
+        self.texts: list[Texts] = []
         self.last: int | None = None
         self.compacted = 0
+        self.durable = path is not None
+        self.path = path.rstrip("/") if path else new_path(spark, "index")
+        if self.durable and self._state().read() is not None:
+            raise ValueError(f"{path} holds an index; open() goes on with it")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index kept at path, as its last whole batch left it."""
+        rows = Store(spark, f"{path.rstrip('/')}/state").read()
+        if rows is None:
+            raise ValueError(f"{path} holds no index")
+        state = json.loads(rows.first()["value"])
+        index = cls(spark, state["width"], state["gram"], state["buckets"], state["fanout"])
+        index.path, index.durable, index.last, index.compacted = path.rstrip("/"), True, state["last"], state["compacted"]
+        kept = lambda name, schema, keys: bucketed(spark, f"{index.path}/{name}", schema, keys, index.buckets)
+        index.levels = [[Run(n, kept(f"{n}/prints", "fp long, least long, most long", PRINTS), kept(f"{n}/windows", "fp long, whole long, least long", WINDOWS)) for n in level] for level in state["levels"]]
+        index.texts = [Texts(n, kept(n, "doc long, th string, bytes binary", ["doc"]), low, high) for n, low, high in state["texts"]]
+        index._clean()
+        return index
 
     @property
     def runs(self) -> list[Run]:
         return [r for level in self.levels for r in level]
 
-    def _bucketed(self, rows: DataFrame, name: str, parted: bool = False) -> DataFrame:
-        """rows in buckets of fp; parted: an aggregate on fp alone, which its own exchange deals out as the buckets need it."""
-        if not parted or int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
-            rows = rows.repartition(self.buckets, "fp")
+    def _state(self) -> Store:
+        return Store(self.spark, f"{self.path}/state")
+
+    def _save(self) -> None:
+        """Puts the state as it is in place of the last one; then what only that named can go."""
+        if self.durable:
+            state = {
+                **{k: getattr(self, k) for k in ("width", "gram", "buckets", "fanout", "last", "compacted")},
+                "levels": [[r.name for r in level] for level in self.levels],
+                "texts": [[t.name, t.low, t.high] for t in self.texts],
+            }
+            self._state().put(self.spark.createDataFrame([(json.dumps(state),)], "value string"))
+        self._clean()
+
+    def _clean(self) -> None:
+        named = {"state", *(r.name for r in self.runs), *(t.name for t in self.texts)}
+        for name in folders_in(self.spark, self.path):
+            if name not in named:
+                removed(self.spark, f"{self.path}/{name}")
+
+    def _bucketed(self, rows: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
+        """rows, an aggregate on keys, in buckets of them; its own exchange mostly deals them out as the buckets need it."""
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            rows = rows.repartition(self.buckets, *keys)
         with partitions_kept(self.spark):
-            return stored_bucketed(rows, name, "fp", self.buckets)
+            return stored_bucketed(rows, f"{self.path}/{name}", keys, self.buckets)
 
-    def _prints(self, rows: DataFrame) -> DataFrame:
+    def _prints(self, rows: DataFrame, run: str) -> DataFrame:
         """rows (fp, least, most), any number a fingerprint, combined before they are dealt out."""
-        return self._bucketed(rows.groupBy("fp").agg(F.min("least").alias("least"), F.max("most").alias("most")), "run", True)
+        return self._bucketed(rows.groupBy(*PRINTS).agg(F.min("least").alias("least"), F.max("most").alias("most")), f"{run}/prints", PRINTS)
+
+    def _combined(self, rows: DataFrame, run: str) -> DataFrame:
+        """rows (fp, whole, least), any number a window, combined alike."""
+        return self._bucketed(rows.groupBy(*WINDOWS).agg(F.min("least").alias("least")), f"{run}/windows", WINDOWS)
 
     def _add(self, run: Run, level: int = 0) -> None:
         """Puts the run on its level and compacts a full level into the next."""
@@ -188,12 +255,18 @@ class FingerprintIndex:
         if len(self.levels[level]) == self.fanout:
             merged, self.levels[level] = self.levels[level], []
             prints, windows = (functools.reduce(DataFrame.unionByName, (getattr(r, c) for r in merged)) for c in ("prints", "windows"))
-            one = Run(self._prints(prints), self._bucketed(windows.groupBy("fp", "whole").agg(F.min("least").alias("least")), "windows"))
+            name = f"run-{uuid.uuid4().hex}"
             self.compacted += 1
-            for r in merged:
-                dropped(r.prints)
-                dropped(r.windows)
-            self._add(one, level + 1)
+            self._add(Run(name, self._prints(prints, name), self._combined(windows, name)), level + 1)
+
+    def _reached(self, docs: DataFrame) -> list[tuple[Texts, int, int]]:
+        """The earlier batches that hold any of docs (doc), each with the least and greatest of those."""
+        if not self.texts:
+            return []
+        mine = lambda t: F.when(F.col("doc").between(t.low, t.high), F.col("doc"))
+        # one pass; batches share at most a bound
+        found = docs.agg(*(f(mine(t)).alias(f"{n}{i}") for i, t in enumerate(self.texts) for n, f in (("a", F.min), ("b", F.max)))).first()
+        return [(t, found[f"a{i}"], found[f"b{i}"]) for i, t in enumerate(self.texts) if found[f"a{i}"] is not None]
 
     def _windows(self, units: DataFrame, lists: DataFrame) -> DataFrame:
         """doc, wholes, fps: the windows of units whose fingerprint is in lists (doc, shared)."""
@@ -207,9 +280,12 @@ class FingerprintIndex:
             return units.withColumn("repeated", F.lit(None).cast("array<bigint>")).mapInArrow(_kept(self.width, self.gram), KEPT).select(*columns)
         if self.last is not None and bounds["a"] < self.last:
             raise ValueError("a batch has to follow the earlier ones in order of document")
-        self.last = bounds["b"]
+        name, texts = f"run-{uuid.uuid4().hex}", None
+        if self.durable:
+            texts = f"texts-{uuid.uuid4().hex}"
+            units = stored_bucketed(units.select("doc", "th", "bytes").repartition(self.buckets, "doc"), f"{self.path}/{texts}", ["doc"], self.buckets)
         posting = stored(units.select("doc", "bytes").mapInArrow(_postings(self.width, self.gram), "fp long, doc long"), "postings")
-        own = self._prints(posting.select("fp", F.col("doc").alias("least"), F.col("doc").alias("most")))
+        own = self._prints(posting.select("fp", F.col("doc").alias("least"), F.col("doc").alias("most")), name)
         runs = self.runs
         if runs:  # merge-joins of sorted buckets
             hits = functools.reduce(DataFrame.unionByName, (r.prints.join(own.hint("merge"), "fp", "left_semi") for r in runs))
@@ -223,25 +299,29 @@ class FingerprintIndex:
         lists = posting.join(shared.select("fp"), "fp").groupBy("doc").agg(F.collect_set("fp").alias("shared"))
         new = stored(self._windows(units, lists), "new")
         each = lambda df: df.select("doc", F.explode(F.arrays_zip("fps", "wholes")).alias("w")).select(F.col("w.fps").alias("fp"), F.col("w.wholes").alias("whole"), F.col("doc").alias("least"))
-        every = [each(new)]
         fetched = shared.filter("fetch is not null").groupBy(F.col("fetch").alias("doc")).agg(F.collect_set("fp").alias("shared"))
-        every += [each(self._windows(t, fetched)) for t in self.texts]
-        every += [r.windows.join(shared.select("fp"), "fp", "left_semi") for r in runs]
-        windows = functools.reduce(DataFrame.unionByName, every).groupBy("fp", "whole").agg(F.min("least").alias("least"))
-        windows = self._bucketed(windows, "windows")
+        every = [each(new)]
+        every += [each(self._windows(t.units.filter(F.col("doc").between(a, b)), fetched)) for t, a, b in self._reached(fetched)]
+        windows = self._combined(functools.reduce(DataFrame.unionByName, every), name)
         # a document keeps the windows of which it is the least; so windows move once each, and not with every document
-        own_windows = windows.filter(F.col("least") >= F.lit(bounds["a"])).groupBy(F.col("least").alias("doc")).agg(F.collect_list("whole").alias("first"))
+        first = windows.filter(F.col("least") >= F.lit(bounds["a"]))
+        for r in runs:
+            first = first.join(r.windows.select(*WINDOWS).hint("merge"), list(WINDOWS), "left_anti")
+        own_windows = first.groupBy(F.col("least").alias("doc")).agg(F.collect_list("whole").alias("first"))
         held = new.groupBy("doc").agg(F.flatten(F.collect_list("wholes")).alias("wholes")).join(own_windows, "doc", "left")
         gone = held.select("doc", F.array_except("wholes", F.coalesce("first", F.array().cast("array<long>"))).alias("repeated"))
         if bounds["b"] >= NULLS:  # among null doc_ids none comes before another
-            later = each(new.filter(F.col("doc") >= NULLS)).withColumnRenamed("least", "doc").join(windows.filter(F.col("least") < NULLS), ["fp", "whole"])
+            named = functools.reduce(DataFrame.unionByName, (w.filter(F.col("least") < NULLS).select(*WINDOWS) for w in (windows, *(r.windows for r in runs))))
+            later = each(new.filter(F.col("doc") >= NULLS)).withColumnRenamed("least", "doc").join(named, list(WINDOWS), "left_semi")
             gone = gone.filter(F.col("doc") < NULLS).unionByName(later.groupBy("doc").agg(F.collect_set("whole").alias("repeated")))
         left = units.join(gone, "doc", "left").select("doc", "th", "bytes", "repeated").mapInArrow(_kept(self.width, self.gram), KEPT)
         out = stored(left.select(*columns), "left")
         for done in (posting, shared, new):
             dropped(done)
-        self.texts.append(units)
-        self._add(Run(own, windows))
+        self.last = bounds["b"]
+        self.texts.append(Texts(texts, units, bounds["a"], bounds["b"]))
+        self._add(Run(name, own, windows))
+        self._save()
         return out
 
 
@@ -268,7 +348,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch
     own = first.groupBy("doc").agg(F.collect_set("th").alias("own"))  # a doc_id's different texts: one, but for repeated doc_ids
     units = rows.drop("doc_id").repartition(buckets, "doc").join(own, "doc").filter(F.array_contains("own", F.col("th"))).select("doc", "th", "bytes")
     with partitions_kept(spark):
-        units = stored_bucketed(units, "units", "doc", buckets)
+        units = stored_bucketed(units, new_path(spark, "units"), ["doc"], buckets)
     cuts = first.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
     index, parts = FingerprintIndex(spark, width, gram, buckets, fanout), []
