@@ -23,6 +23,9 @@ BLOCK = 4096
 #: Clusters at most; components of the vectors that centres are learnt from; rounds of learning; the share of all pairs from which blocks are cheaper.
 CLUSTERS, SAMPLE, ROUNDS, WORTH = 1024, 1 << 22, 4, 0.5
 _SLACK = 1e-9
+#: Where all pairs are examined: parts of either side, if that leaves `block` rows in each, and components of the vectors of a part at most. Rows of a tile of queries, and numbers held of it at once.
+PARTS, HELD = 8, 1 << 23
+TILE, PIECE = 1024, 1 << 22
 
 
 def centres(sample: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -45,20 +48,50 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _tile(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, product) of the k greatest products of each row of q with rows of x, ties to the smaller column. x is looked at piece by piece, so that what is held doesn't grow with it."""
+    row, column, sim = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    floor = np.full(len(q), -np.inf)
+    step = max(k, PIECE // len(q))
+    for low in range(0, len(x), step):
+        part = x[low : low + step]
+        sims = q @ part.T
+        # what is as near as the k-th stays in until it is ranked; the products of matrices differ in their last digits
+        take = min(k, len(part))
+        first = np.partition(sims, len(part) - take, axis=1)[:, len(part) - take] if take == k and low == 0 else floor
+        at, to = np.nonzero(sims >= np.maximum(floor, first)[:, None] - _SLACK)
+        if not len(at):
+            continue
+        for i in range(0, len(at), PIECE):
+            some = slice(i, i + PIECE)
+            row, column = np.concatenate([row, at[some]]), np.concatenate([column, to[some] + low])
+            sim = np.concatenate([sim, _products(q, part, at[some], to[some])])
+            order = np.lexsort((column, -sim, row))
+            row, column, sim = row[order], column[order], sim[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, column, sim = row[best], column[best], sim[best]
+        full = np.flatnonzero(np.bincount(row, minlength=len(q)) == k)
+        floor[full] = sim[np.searchsorted(row, full, side="right") - 1]
+    return row, column, sim
+
+
+def _products(q: np.ndarray, x: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Of rows with rows, summed the same way wherever they stand: copies have the same product to the last digit."""
+    step = max(1, PIECE // max(1, q.shape[1]))
+    return np.concatenate([(q[at[i : i + step]] * x[to[i : i + step]]).sum(axis=1) for i in range(0, len(at), step)])
+
+
 def _best(k: int):
     def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(points):
-            return pd.DataFrame({"query": np.empty(0, np.int64), "point": np.empty(0, np.int64), "sim": np.empty(0)})
-        ids, names = queries["query"].to_numpy(), points["point"].to_numpy()
-        sims = np.stack(queries["vector"].to_numpy()) @ np.stack(points["vector"].to_numpy()).T
-        take = min(k, len(names))
-        # what is as near as the k-th stays in until it is ranked, so that ties go by name
-        at, to = np.nonzero(sims >= np.partition(sims, len(names) - take, axis=1)[:, [len(names) - take]])
-        order = np.lexsort((names[to], -sims[at, to], at))
-        at, to = at[order], to[order]
-        best = np.arange(len(at)) - np.searchsorted(at, at) < take
-        at, to = at[best], to[best]
-        return pd.DataFrame({"query": ids[at], "point": names[to], "sim": sims[at, to]})
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(queries) and len(points):
+            points = points.sort_values("point")
+            ids, names = queries["query"].to_numpy(), points["point"].to_numpy()
+            q, x = np.stack(queries["vector"].to_numpy()), np.stack(points["vector"].to_numpy())
+            for low in range(0, len(q), TILE):
+                row, column, sim = _tile(q[low : low + TILE], x, k)
+                found.append((ids[low + row], names[column], sim))
+        return pd.DataFrame(dict(zip(("query", "point", "sim"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return run
 
@@ -70,13 +103,19 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def by_blocks(queries: DataFrame, points: DataFrame, n: int, k: int, block: int = BLOCK) -> DataFrame:
-    """query, point, sim: in each pair of blocks (of about `block` of n points) the k best of each query (query, vector) among the points (point, vector)."""
-    blocks = max(1, -(-n // block))
+    """query, point, sim: in each pair of parts of the n points and of the queries the k best of each query (query, vector) among the points (point, vector).
+
+    Both sides are dealt to the same few parts, so that each row moves PARTS times, until a part's vectors would be too
+    much for one task.
+    """
+    size = points.agg(F.max(F.size("vector")).alias("size")).first()["size"] or 1
+    parts = lambda rows: max(1, min(PARTS, -(-rows // block)), -(-rows * size // HELD))
+    rows, columns = parts(queries.count()), parts(n)
     # both sides' keys are ints: keys of unlike types hash apart and would never meet
-    deal = lambda c, name: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias(name)
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = queries.select("query", "vector", deal("query", "p"), every.alias("q"))
-    right = points.select("point", "vector", deal("point", "q"), every.alias("p"))
+    deal = lambda c, many, name: F.pmod(F.xxhash64(c), F.lit(many)).cast("int").alias(name)
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    left = queries.select("query", "vector", deal("query", rows, "p"), every(columns).alias("q"))
+    right = points.select("point", "vector", deal("point", columns, "q"), every(rows).alias("p"))
     return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(_best(k), "query long, point long, sim double")
 
 
@@ -100,7 +139,7 @@ class Clusters:
         self.stats = points.sparkSession.sparkContext.broadcast((radius, sizes))
 
     def _visits(self, queries: DataFrame, k: int, onward: bool) -> DataFrame:
-        return settled(queries.mapInArrow(_routed(self.at, self.stats, k, onward), "query long, cluster int"))
+        return queries.mapInArrow(_routed(self.at, self.stats, k, onward), "query long, cluster int")
 
     def _found(self, queries: DataFrame, visits: DataFrame, k: int) -> DataFrame:
         turns = visits.groupBy("cluster").agg(F.ceil(F.count("*") / self.block).cast("int").alias("turns"))
@@ -114,21 +153,21 @@ class Clusters:
         keys = ["cluster", "part", "turn"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(k), "query long, point long, sim double")
 
-    def _pairs(self, visits: DataFrame) -> int:
-        sizes = self.stats.value[1]
-        return sum(r["count"] * int(sizes[r["cluster"]]) for r in visits.groupBy("cluster").count().collect())
+    def _pairs(self, queries: DataFrame, k: int, onward: bool) -> int:
+        """What the visits would examine; they themselves may be as many as queries and clusters multiplied, and aren't written for it."""
+        return queries.mapInArrow(_routed(self.at, self.stats, k, onward, True), "pairs long").agg(F.sum("pairs").alias("n")).first()["n"] or 0
 
     def greatest(self, queries: DataFrame, k: int) -> DataFrame:
         """query, point, sim: rows among which are the k greatest of each query (query, vector)."""
-        seeds = self._visits(queries, k, False)
+        seeds = settled(self._visits(queries, k, False))
         first = settled(ranked(self._found(queries, seeds, k), k))
         floor = first.filter(F.col("rank") == k).select("query", F.col("sim").alias("floor"))
-        onward = self._visits(queries.join(floor, "query", "left"), k, True)
-        self.examined = self._pairs(seeds) + self._pairs(onward)
+        bound = settled(queries.join(floor, "query", "left"))
+        self.examined = self._pairs(queries, k, False) + self._pairs(bound, k, True)
         if self.examined > WORTH * self.n * max(1, queries.count()):
             self.examined = self.n * queries.count()
             return by_blocks(queries, self.points, self.n, k, self.block)
-        return first.drop("rank").unionByName(self._found(queries, onward, k))
+        return first.drop("rank").unionByName(self._found(queries, settled(self._visits(bound, k, True)), k))
 
 
 def _assigned(at):
@@ -143,14 +182,14 @@ def _assigned(at):
     return run
 
 
-def _routed(at, stats, k: int, onward: bool):
-    """Queries to the clusters to begin with or, onward, to the others that may hold what reaches their floor."""
+def _routed(at, stats, k: int, onward: bool, counted: bool = False):
+    """Queries to the clusters to begin with or, onward, to the others that may hold what reaches their floor; counted, how many pairs of query and point that makes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         radius, sizes = stats.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        # tables of queries by clusters: a piece of a batch at a time
+        step = max(1, PIECE // (4 * len(sizes)))
+        for b in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             near = _matrix(b.column("vector")) @ at.value.T
             order = np.argsort(-np.where(sizes > 0, near, -np.inf), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
@@ -160,6 +199,9 @@ def _routed(at, stats, k: int, onward: bool):
             if onward:
                 floor = np.array([-np.inf if f is None else f for f in b.column("floor").to_pylist()])
                 chosen = ~chosen & (near + radius + _SLACK >= floor[:, None]) & (sizes > 0)
+            if counted:
+                yield pa.record_batch([pa.array([int((chosen * sizes).sum())], pa.int64())], names=["pairs"])
+                continue
             i, cluster = np.nonzero(chosen)
             yield pa.record_batch([b.column("query").take(pa.array(i)), pa.array(cluster.astype(np.int32))], names=["query", "cluster"])
 
