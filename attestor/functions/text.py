@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,8 @@ from attestor.functions.vectors import let
 
 SENTENCE_END = r"(?<=[.!?])\s+"
 BLANK_LINE = r"\n\s*\n"
+#: Texts that are composed at once.
+NFC_ROWS = 256
 
 # fixed values: kinds of page elements, in the order in which ids are tried
 ELEMENT_KINDS = ("header_cell", "table_caption", "sentence", "cell", "item")
@@ -182,10 +185,11 @@ def to_int(c: Column) -> Column:
     return strip(c.cast("string")).try_cast("int")
 
 
-@F.pandas_udf(T.StringType())
-def nfc(c: pd.Series) -> pd.Series:
-    """Unicode's composed form, trimmed."""
-    return c.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).strip())
+@F.arrow_udf(T.StringType())
+def nfc(c: pa.Array) -> pa.Array:
+    """Unicode's composed form, trimmed. Few texts at a time become Python's, so that long ones don't add up."""
+    done = ((None if x is None else unicodedata.normalize("NFC", x).strip() for x in c.slice(at, NFC_ROWS).to_pylist()) for at in range(0, len(c), NFC_ROWS))
+    return pa.chunked_array([pa.array(x, pa.string()) for x in done], pa.string()).combine_chunks()
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
