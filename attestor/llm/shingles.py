@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import checkpointed, has_columns, stored, text_bytes
 from attestor.llm.components import components
-from attestor.llm.simhash import first_of_each, named_components
+from attestor.llm.simhash import classified, first_of_each, named_components
 
 WIDTH, LEAST, BANDS, ROWS, SEED = 5, 0.8, 50, 7, 42
 MASKS = (0, 0x5A5A5A5A5A5A5A5A, -1)
@@ -185,12 +185,21 @@ def links(shared: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame
     return rest.unionByName(roots.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")))
 
 
-def shingle_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+def _joined(rows: DataFrame, prints: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Edges (u, v) between sets (fp of rows) whose texts are in one class of simhash prints: each to the least of its class."""
+    rows_of, classes = prints
+    near = rows_of.join(classes.select("fp", "root"), "fp").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "root").distinct()
+    met = rows.select("doc_id", "th", "fp").join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("root", "fp").distinct()
+    least = met.groupBy("root").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).filter("v <> most")
+    return met.join(least.select("root", "v"), "root").filter("fp <> v").select(F.col("fp").alias("u"), "v")
+
+
+def shingle_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST, with_prints: bool = False) -> DataFrame:
     """docs with one row of each component of documents linked at a similarity of at least `least`, that of the smallest doc_id (of several such rows, one); columns as they are.
 
     Null, empty and all-space texts are copies of one another; texts are taken whole, however long. A null doc_id comes
     after all others; of rows with one doc_id and text, that whose columns hash least stays. Columns may have any names;
-    an empty table gives no rows.
+    an empty table gives no rows. With with_prints, op3's links (fingerprints at two bits, by its range-join) count too.
     """
     has_columns(docs, ["doc_id", "text"])
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -206,5 +215,8 @@ def shingle_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     texts = docs.select(*key)
     texts = texts.join(one, texts["doc_id"].eqNullSafe(one["id"]) & (texts["th"] == one["t"])).select("fp", "bytes")
     sets = stored(texts.mapInArrow(_sets(width), "fp long, grams array<long>, n int, counts binary").dropDuplicates(["fp"]), "sets")
-    classes = named_components(by_fp.select("fp", "first_doc"), links(shared, sets, least))
+    edges = links(shared, sets, least)
+    if with_prints:
+        edges = edges.unionByName(_joined(rows, classified(docs)))
+    classes = named_components(by_fp.select("fp", "first_doc"), edges)
     return first_of_each(docs, rows.drop("cells"), classes)

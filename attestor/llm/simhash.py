@@ -97,7 +97,7 @@ def links(fps: DataFrame) -> DataFrame:
     return mids.join(_shared(mids), "cell").filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
-def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows as doc_id, th (a hash of the text), fp; and of each fp its root and the component's smallest doc_id."""
     has_columns(docs, ["doc_id", "text"])
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -122,13 +122,13 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     doc_ids keep their rows; a null doc_id gets its component but never names one unless no other id is in it; other
     columns are ignored; an empty table gives no rows.
     """
-    rows, classes = _classified(docs)
+    rows, classes = classified(docs)
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id (of several such rows, the one whose columns hash least); columns as they are, whatever their names. Nulls, empty and long texts, repeated rows and empty tables are as in simhash_groups()."""
-    return first_of_each(docs, *_classified(docs))
+    return first_of_each(docs, *classified(docs))
 
 
 def first_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles at a similarity of 0.8 or more; op3's fingerprints, at two bits, only tell what is all but equal. Texts without words are copies of one another; the smallest doc_id of each group stays, a null one only where there is no other."""
-    return shingles.shingle_dedup(docs)
+    """Links of op3's fingerprints, by its range-join at two bits, and of five-word shingles at a similarity of 0.8 or more, as two bits only tell what is all but equal. Texts without words are copies of one another; the smallest doc_id of each group stays, a null one only where there is no other."""
+    return shingles.shingle_dedup(docs, with_prints=True)
 
 
 def personal_data_replaced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
