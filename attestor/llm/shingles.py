@@ -25,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import checkpointed, has_columns, stored, text_bytes
+from attestor.llm import simhash
+from attestor.llm.common import has_columns, stored, text_bytes
 from attestor.llm.components import components
-from attestor.llm.simhash import classified, first_of_each, named_components
+from attestor.llm.simhash import fingerprint, first_of_each, first_rows
 
 WIDTH, LEAST, BANDS, ROWS, SEED = 5, 0.8, 50, 7, 42
 MASKS = (0, 0x5A5A5A5A5A5A5A5A, -1)
@@ -75,15 +76,18 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32), pa.array(flat))
 
 
-def _signed(width: int):
+def _signed(width: int, with_prints: bool):
     def run(batches):
         for b in batches:
-            prints, found = [], []
+            sets, found, prints = [], [], []
             for x in b.column("bytes"):
-                grams = shingles(x.as_py(), width)
-                prints.append(xxhash.xxh3_64_intdigest(grams.tobytes()) if len(grams) else 0)
+                text = x.as_py()
+                grams = shingles(text, width)
+                sets.append(xxhash.xxh3_64_intdigest(grams.tobytes()) if len(grams) else 0)
                 found.append(cells(grams))
-            yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(np.array(prints, np.uint64).view(np.int64)), _longs(found)], names=["doc_id", "th", "fp", "cells"])
+                prints.append(fingerprint(text) if with_prints else 0)
+            fp, bits = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sets, prints))
+            yield pa.record_batch([b.column("doc_id"), b.column("th"), fp, _longs(found), bits], names=["doc_id", "th", "fp", "cells", "simhash"])
 
     return run
 
@@ -121,7 +125,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     left = pairs.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u")
     both = left.join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
     common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("total"))
-    return checkpointed(common.filter(F.col("n") / (F.col("total") - F.col("n")) >= least).select("u", "v"))
+    return stored(common.filter(F.col("n") / (F.col("total") - F.col("n")) >= least).select("u", "v"), "alike")
 
 
 def _near(least: float):
@@ -173,7 +177,7 @@ def links(shared: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame
     split = classes.groupBy("cell").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most")).filter(F.col("all") > F.col("most"))
     blocks = lambda rows, size: F.ceil(rows / size).cast("int")
     split = split.select("cell", "main", blocks(F.col("all") - F.col("most"), APART).alias("a"), blocks(F.col("all"), BLOCK).alias("b"))
-    now = checkpointed(now.join(split, "cell"))
+    now = stored(now.join(split, "cell"), "split")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     apart = now.filter(F.col("root") != F.col("main")).select("cell", "fp", "root", F.lit(1).alias("apart"), own("a").alias("i"), every("b").alias("j"))
@@ -185,13 +189,16 @@ def links(shared: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame
     return rest.unionByName(roots.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")))
 
 
-def _joined(rows: DataFrame, prints: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """Edges (u, v) between sets (fp of rows) whose texts are in one class of simhash prints: each to the least of its class."""
-    rows_of, classes = prints
-    near = rows_of.join(classes.select("fp", "root"), "fp").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "root").distinct()
-    met = rows.select("doc_id", "th", "fp").join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("root", "fp").distinct()
-    least = met.groupBy("root").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).filter("v <> most")
-    return met.join(least.select("root", "v"), "root").filter("fp <> v").select(F.col("fp").alias("u"), "v")
+def _print_links(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect the sets (fp of rows) of texts whose fingerprints (simhash of rows) are the same or linked by op3's range-join."""
+    # of each fingerprint the least set stands for all: links between fingerprints become links between those
+    least = stored(rows.groupBy("simhash").agg(F.min("fp").alias("least"), F.max("fp").alias("most")), "prints")
+    several = least.filter("least <> most").select("simhash", F.col("least").alias("v"))
+    same = rows.select("simhash", F.col("fp").alias("u")).distinct().join(several, "simhash").filter("u <> v").select("u", "v")
+    near = simhash.links(least.select(F.col("simhash").alias("fp")))
+    for end in ("u", "v"):
+        near = near.join(least.select(F.col("simhash").alias(end), F.col("least").alias(f"set_{end}")), end)
+    return same.unionByName(near.select(F.col("set_u").alias("u"), F.col("set_v").alias("v")).filter("u <> v"))
 
 
 def shingle_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST, with_prints: bool = False) -> DataFrame:
@@ -204,19 +211,16 @@ def shingle_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST, wit
     has_columns(docs, ["doc_id", "text"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = [F.col("doc_id"), F.xxhash64("text").alias("th"), text_bytes().alias("bytes")]
-    rows = stored(docs.select(*key).mapInArrow(_signed(width), f"doc_id {kind}, th long, fp long, cells array<long>"), "signed")
+    rows = stored(docs.select(*key).mapInArrow(_signed(width, with_prints), f"doc_id {kind}, th long, fp long, cells array<long>, simhash long"), "signed")
     # the cells of a set are a function of it
-    by_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.first("cells").alias("cells"))
-    placed = by_fp.select("fp", F.explode("cells").alias("cell"))
+    placed = rows.groupBy("fp").agg(F.first("cells").alias("cells")).select("fp", F.explode("cells").alias("cell"))
     crowded = placed.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("cell")
     shared = stored(placed.join(crowded, "cell", "left_semi"), "shared")
-    wanted = rows.select("doc_id", "th", "fp").join(shared.select("fp").distinct(), "fp", "left_semi")
-    one = wanted.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("one")).select("fp", F.col("one.doc_id").alias("id"), F.col("one.th").alias("t"))
+    one = first_rows(rows).join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("one.doc_id").alias("id"), F.col("one.th").alias("t"))
     texts = docs.select(*key)
     texts = texts.join(one, texts["doc_id"].eqNullSafe(one["id"]) & (texts["th"] == one["t"])).select("fp", "bytes")
     sets = stored(texts.mapInArrow(_sets(width), "fp long, grams array<long>, n int, counts binary").dropDuplicates(["fp"]), "sets")
     edges = links(shared, sets, least)
     if with_prints:
-        edges = edges.unionByName(_joined(rows, classified(docs)))
-    classes = named_components(by_fp.select("fp", "first_doc"), edges)
-    return first_of_each(docs, rows.drop("cells"), classes)
+        edges = edges.unionByName(_print_links(rows))
+    return first_of_each(docs, rows, components(edges).withColumnRenamed("node", "fp"))

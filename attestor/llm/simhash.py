@@ -92,8 +92,8 @@ def links(fps: DataFrame) -> DataFrame:
     # small rows become many: dealt out, or a few tasks would do all of it (by fp itself, Spark would leave them as they are)
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = fps.repartition(parts, F.xxhash64("fp")).mapInArrow(_spread(popcount_cells), "fp long, cell long")
-    near = cells.join(_shared(cells), "cell", "left_semi").select("fp").distinct()
-    mids = checkpointed(near).mapInArrow(_spread(hamming_midpoints), "fp long, cell long")
+    near = stored(cells.join(_shared(cells), "cell", "left_semi").select("fp").distinct(), "near").repartition(parts, F.xxhash64("fp"))
+    mids = near.mapInArrow(_spread(hamming_midpoints), "fp long, cell long")
     return mids.join(_shared(mids), "cell").filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
@@ -131,9 +131,16 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     return first_of_each(docs, *classified(docs))
 
 
+def first_rows(rows: DataFrame) -> DataFrame:
+    """Of each fp of rows (doc_id, th, fp) the first row as `one`: the smallest doc_id, a null one only where there is no other, and its least th."""
+    return rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("one"))
+
+
 def first_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """docs with the one row of each root, from rows (doc_id, th, fp) and classes (fp, root, component_id)."""
-    first = rows.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("one")).select(F.col("one.doc_id").alias("kept_id"), F.col("one.th").alias("kept_th"))
+    """docs with the one row of each root, from rows (doc_id, th, fp) and classes (fp, root); a fp that classes lack is its own root."""
+    # copies are merged before they meet anything
+    roots = first_rows(rows).join(classes.select("fp", "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    first = roots.agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("kept_id"), F.col("one.th").alias("kept_th"))
     # the texts move once, by document
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
     joined = whole.join(first, whole["id"].eqNullSafe(first["kept_id"]) & (whole["th"] == first["kept_th"]))

@@ -140,3 +140,46 @@ def test_the_stage_takes_op3s_links_too(spark):
     docs = spark.createDataFrame([(3, made[1]), (2, made[0]), (5, "one two three four five six"), (9, None), (7, "")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in shingles.shingle_dedup(docs).collect()) == [2, 3, 5, 7]
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates_out(spark, docs, SF).collect()) == [2, 5, 7]
+
+
+def test_components_leave_no_shuffle_files_nor_old_rounds(spark):
+    """What a round leaves behind adds up over the rounds, times the partitions squared."""
+    from pathlib import Path
+
+    from attestor.llm import components
+    from attestor.operators.frames import shared_folder
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shuffled = lambda: {f for f in (files().apply(i).getName() for i in range(files().size())) if f.startswith("shuffle_")}
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    chain = spark.range(40).selectExpr("id u", "id + 1 v").unionByName(spark.createDataFrame([(90, 90), (7, 7), (None, 3)], "u long, v long"))
+    before, there = shuffled(), set(folder.glob("edges-*"))
+    found = components.components(chain)
+    assert not shuffled() - before
+    assert len(set(folder.glob("edges-*")) - there) == 2  # those given and those of the last round
+    assert {r["node"]: r["root"] for r in found.collect()} == {n: 0 for n in range(41)} | {90: 90}
+
+
+def test_prints_join_sets_across_both_kinds_of_links(spark):
+    """Sets that only fingerprints link, at no bits and at two, directly or over a third text."""
+    from attestor.llm import shingles, simhash
+
+    a = " ".join(f"w{i}" for i in range(40))
+    b = " ".join([a] * 3 + ["w0 w1"])  # other sets than a's, by repetition
+    rows = [(5, a), (3, b), (9, "x " + a), (None, a), (2, "far away from all of them"), (7, None), (6, " ")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    prints = {d: simhash.fingerprint((t or "").encode()) for d, t in rows}
+    sets = {d: set(shingles.shingles((t or "").encode()).tolist()) for d, t in rows}
+
+    def alike(x, y):
+        both = len(sets[x] | sets[y])
+        return not both or len(sets[x] & sets[y]) >= 0.8 * both
+
+    root = {d: d for d in prints}
+    for _ in root:
+        for x in root:
+            for y in root:
+                if alike(x, y) or (prints[x] ^ prints[y]).bit_count() <= 2:
+                    root[x] = root[y] = min(root[x], root[y], key=lambda d: (d is None, d or 0))
+    got = shingles.shingle_dedup(docs, with_prints=True).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted({r for r in root.values()})
