@@ -14,6 +14,8 @@ from attestor.operators.frames import shared_folder
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Of the rows that Spark hands to Python at a time, within batches_bounded().
+BATCH_BYTES = 1 << 22
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -36,6 +38,11 @@ def shuffles_freed(spark: SparkSession):
     return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def batches_bounded(spark: SparkSession):
+    """Within it, a query sends Python batches of BATCH_BYTES or a row more, however long the rows are; Spark's own bound is 10,000 rows. It holds for what is written within, not for frames that are only built there."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def partitions_kept(spark: SparkSession):
     """Within it, an aggregate leaves as many partitions as spark.sql.shuffle.partitions says, so that its output fits buckets of that number."""
     return _setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false")

@@ -13,15 +13,17 @@ from __future__ import annotations
 import json
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attestor.llm.common import WORD, has_columns, stored
 
 #: Different membership patterns and sources that the driver's network may have; more raise an error.
 MAX_PATTERNS = 100_000
 RANGES = 4096
+_PLAN = pa.schema({"pattern": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "copies": pa.int64(), "rest": pa.int64(), "credit": pa.list_(pa.struct({"source": pa.string(), "share": pa.float64()}))})
+_LAST = pa.schema({"pattern": pa.string(), "last": pa.int64(), "before": pa.int64()})
 
 
 def words_of(text: Column) -> Column:
@@ -133,6 +135,11 @@ def seeded(seed: int, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 1)
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """The driver's rows by way of Arrow: to read plain tuples, each executor would start Python workers of another kind and keep them."""
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema))
+
+
 def _mixed(docs: DataFrame, sources: Column, keep: list[str], identity: list[str], weights: tuple[int, ...], share: Fraction, most: int, seed: int, exact: bool) -> DataFrame:
     """row (struct of keep), size, pattern, source_size, target, credit, taken."""
     spark = docs.sparkSession
@@ -155,17 +162,16 @@ def _mixed(docs: DataFrame, sources: Column, keep: list[str], identity: list[str
     for (key, p, size), flow in zip(patterns, flows, strict=True):
         taken = sum(flow.values())
         copies = taken // size if size else 0
-        credit = [(s, flow[at[s]] / taken) for s in p if flow[at[s]]]
+        credit = [{"source": s, "share": flow[at[s]] / taken} for s in p if flow[at[s]]]
         plan.append((key, sizes[p[0]], float(want[p[0]]), copies, taken - copies * size, credit))
-    schema = T.StructType.fromDDL("pattern string, source_size long, target double, copies long, rest long, credit array<struct<source: string, share: double>>")
     # at most MAX_PATTERNS rows
-    planned = F.broadcast(spark.createDataFrame(plan, schema))
+    planned = F.broadcast(_local(spark, plan, _PLAN))
     rows = rows.join(planned, "pattern").withColumn("range", F.shiftright("turn", 63 - RANGES.bit_length() + 1))
     # in which range of the order the rest ends, and the words before it
     ranges = rows.groupBy("pattern", "range").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     sums = ranges.withColumn("before", F.sum("words").over(Window.partitionBy("pattern").orderBy("range")) - F.col("words"))
     last = sums.filter("before < rest and before + words >= rest").select("pattern", F.col("range").alias("last"), "before")
-    last = spark.createDataFrame([(r["pattern"], r["last"], r["before"]) for r in last.collect()], "pattern string, last long, before long")  # a row a pattern
+    last = _local(spark, [tuple(r) for r in last.collect()], _LAST)  # a row a pattern
     rows = rows.join(F.broadcast(last), "pattern", "left")
     inside = F.col("range") == F.col("last")
     whole = F.when(F.col("last").isNull(), False).otherwise(F.col("range") < F.col("last"))

@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import has_columns, stored, text_bytes
+from attestor.llm.common import batches_bounded, has_columns, stored, text_bytes
 
 CAPACITY, SMALL, END_ID = 4096, 64, 2
-#: Chunks whose ids a Python worker remembers; beyond it forgets all and starts again.
-REMEMBERED = 400_000
+#: Chunks and their parts whose ids a Python worker remembers: those of the last turn and of the one before, each of so many; and the bytes of the longest of them.
+REMEMBERED, LONGEST = 200_000, 64
 _tokenizers: dict = {}
 
 
@@ -66,28 +66,43 @@ def _byte_letters() -> list[str]:
 
 
 class _Chunks(dict):
-    """Ids by chunk; a chunk that is new is encoded when it is first looked up."""
+    """Ids by chunk, and by part, which as a chunk would be its only part; a new one is encoded when it is first looked up. What was looked up in the turn before comes back from `before`."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model, self.parts, self.letters = tokenizer, tokenizer.model, {}, _byte_letters()
+        self.tokenizer, self.model, self.before, self.letters = tokenizer, tokenizer.model, {}, _byte_letters()
+
+    def turn(self) -> None:
+        """Forgets what hasn't been looked up in this turn."""
+        self.before = dict(self)
+        self.clear()
 
     def whole(self, text: bytes) -> bytes:
         return _packed(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def _part(self, part: bytes) -> bytes:
-        text = part.decode() if part.isascii() else "".join(map(self.letters.__getitem__, part))
-        ids = self.parts[part] = _packed([t.id for t in self.model.tokenize(text)])
+        ids = self.before.get(part)
+        if ids is None:
+            text = part.decode() if part.isascii() else "".join(map(self.letters.__getitem__, part))
+            ids = _packed([t.id for t in self.model.tokenize(text)])
+        return self._kept(part, ids)
+
+    def _kept(self, chunk: bytes, ids: bytes) -> bytes:
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
         return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.before.get(chunk)
+        return self._kept(chunk, self._ids(chunk) if ids is None else ids)
+
+    def _ids(self, chunk: bytes) -> bytes:
         if _IS_PLAIN(chunk):
             parts = _PLAIN.findall(chunk)
         else:
             text = chunk.decode("utf-8", "replace")
             parts = [x.encode() for x in _LATIN.findall(text.lower())] if _IS_LATIN(text) else None
-        find = self.parts.get
-        ids = self[chunk] = self.whole(chunk) if parts is None else b"".join([find(x) or self._part(x) for x in parts])
-        return ids
+        find = self.get
+        return self.whole(chunk) if parts is None else b"".join([find(x) or self._part(x) for x in parts])
 
 
 class Encoder:
@@ -110,9 +125,7 @@ class Encoder:
         known, out = self.known, []
         for t in texts:
             if len(known) > REMEMBERED:
-                known.clear()
-            if len(known.parts) > REMEMBERED:
-                known.parts.clear()
+                known.turn()
             t = t or b""
             out.append(known.whole(t) if not self.chunked or b"<|" in t else b"".join(map(known.__getitem__, t.lower().split())))
         return out
@@ -152,8 +165,8 @@ def _pieces(path: str, capacity: int, small: int, end_id: int):
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             doc, start, length, crc, tokens, rank = [], [], [], [], [], []
-            for i, ids in enumerate(encode(b.column("bytes").to_pylist())):
-                ids += end
+            for i, x in enumerate(b.column("bytes")):
+                ids = encode([x.as_py()])[0] + end
                 at = 0
                 for size in cut(len(ids) // 4, capacity, small):
                     doc.append(i)
@@ -201,7 +214,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sma
     has_columns(docs, ["doc_id", "text"])
     path = path or tokenizer_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = stored(docs.select("doc_id", text_bytes().alias("bytes")).mapInArrow(_pieces(path, capacity, small, end_id), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long"), "pieces")
+    with batches_bounded(docs.sparkSession):
+        pieces = stored(docs.select("doc_id", text_bytes().alias("bytes")).mapInArrow(_pieces(path, capacity, small, end_id), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long"), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = stored(counts, "counts")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm import simhash
-from attestor.llm.common import has_columns, stored, text_bytes
+from attestor.llm.common import batches_bounded, has_columns, stored, text_bytes
 from attestor.llm.components import components
 from attestor.llm.simhash import fingerprint, first_of_each, first_rows
 
@@ -211,7 +211,8 @@ def shingle_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST, wit
     has_columns(docs, ["doc_id", "text"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = [F.col("doc_id"), F.xxhash64("text").alias("th"), text_bytes().alias("bytes")]
-    rows = stored(docs.select(*key).mapInArrow(_signed(width, with_prints), f"doc_id {kind}, th long, fp long, cells array<long>, simhash long"), "signed")
+    with batches_bounded(docs.sparkSession):
+        rows = stored(docs.select(*key).mapInArrow(_signed(width, with_prints), f"doc_id {kind}, th long, fp long, cells array<long>, simhash long"), "signed")
     # the cells of a set are a function of it
     placed = rows.groupBy("fp").agg(F.first("cells").alias("cells")).select("fp", F.explode("cells").alias("cell"))
     crowded = placed.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("cell")
@@ -219,7 +220,8 @@ def shingle_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST, wit
     one = first_rows(rows).join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("one.doc_id").alias("id"), F.col("one.th").alias("t"))
     texts = docs.select(*key)
     texts = texts.join(one, texts["doc_id"].eqNullSafe(one["id"]) & (texts["th"] == one["t"])).select("fp", "bytes")
-    sets = stored(texts.mapInArrow(_sets(width), "fp long, grams array<long>, n int, counts binary").dropDuplicates(["fp"]), "sets")
+    with batches_bounded(docs.sparkSession):
+        sets = stored(texts.mapInArrow(_sets(width), "fp long, grams array<long>, n int, counts binary").dropDuplicates(["fp"]), "sets")
     edges = links(shared, sets, least)
     if with_prints:
         edges = edges.unionByName(_print_links(rows))

@@ -13,15 +13,15 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import different_by_hash, dropped, has_columns, kinds_of, stored, text_bytes
+from attestor.llm.common import batches_bounded, different_by_hash, dropped, has_columns, kinds_of, stored, text_bytes
 
 #: Labelled documents of one grade that the model learns from, at most; those first by a hash of doc_id.
 TRAIN_DOCS = 4000
@@ -31,7 +31,8 @@ BITS = 22
 LEAST, BEYOND = 3, 2.0
 #: The penalty, as a share of the mean loss's slope.
 PENALTY = 5e-5
-REMEMBERED = 200_000
+#: Words whose weight a Python worker remembers, and the bytes of the longest of them.
+REMEMBERED, LONGEST = 200_000, 64
 _EDGES = b".,!?;:\"'()[]{}*&%$#|<>-_=+~`/\\"
 
 
@@ -104,19 +105,20 @@ class Ordinal:
         get = self.weights.get
         return sum(get(f, 0.0) for f in features_of(word))
 
-    def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            words = words_of(t)
-            known = self.known
-            for w in words.difference(known):
-                known[w] = self.weight(w)
-            out[i] = float(np.sort(np.fromiter(map(known.__getitem__, words), np.float64, len(words))).sum())
-        return out
-
-    def at_least(self, texts: list[bytes | None]) -> np.ndarray:
+    def score(self, text: bytes | None) -> float:
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        words = words_of(text)
+        new = {w: self.weight(w) for w in words.difference(known)}
+        known.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
+        weights = [new[w] if w in new else known[w] for w in words]
+        return float(np.sort(np.array(weights, np.float64)).sum())
+
+    def scores(self, texts: Iterable[bytes | None]) -> np.ndarray:
+        return np.fromiter(map(self.score, texts), np.float64)
+
+    def at_least(self, texts: Iterable[bytes | None]) -> np.ndarray:
         """The probability of a grade of at least 1, 2, ... by text."""
         return _sigmoid(self.scores(texts)[:, None] - self.cuts)
 
@@ -137,7 +139,8 @@ def train(docs: DataFrame, graded: DataFrame, train_docs: int = TRAIN_DOCS) -> O
     chosen = different_by_hash(ids, "grade", train_docs, keys, sizes)
     # at most train_docs rows a grade are broadcast; copies of one are merged before they move
     sample = marked.join(F.broadcast(chosen), keys).groupBy("grade", *keys).agg(F.first("bytes").alias("bytes"))
-    rows = stored(sample.select("grade", "bytes").mapInArrow(_features, "grade int, features array<int>, counts array<tinyint>"), "features")
+    with batches_bounded(docs.sparkSession):
+        rows = stored(sample.select("grade", "bytes").mapInArrow(_features, "grade int, features array<int>, counts array<tinyint>"), "features")
     per_grade = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     total = sum(found[g] for g in per_grade)
     names = telling(rows, {g: found[g] / n / total for g, n in per_grade.items()}, sum(found[g] for g in per_grade if g > 0) / total)
@@ -179,12 +182,16 @@ def _columns(names):
     return run
 
 
+def _each(texts: pa.Array):
+    """The texts one after the other, so that Python holds one besides Spark's batch."""
+    return (x.as_py() for x in texts)
+
+
 def _graded(model, threshold: float):
     def run(batches):
         m = model.value
         for b in batches:
-            texts = b.column("bytes").to_pylist()
-            chance = m.at_least(texts) if m else np.zeros((len(texts), 1))
+            chance = m.at_least(_each(b.column("bytes"))) if m else np.zeros((b.num_rows, 1))
             severity = chance.sum(axis=1)
             yield pa.record_batch([*(b.column(c) for c in b.schema.names if c != "bytes"), pa.array(severity), pa.array((chance >= 0.5).sum(axis=1).astype(np.int32)), pa.array(chance[:, 0] >= threshold)], names=[*(c for c in b.schema.names if c != "bytes"), "severity", "grade", "toxic"])
 
@@ -221,9 +228,9 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOC
     """docs without the rows graded toxic; columns as they are, whatever their names. Nulls, empty and long texts, repeated rows and missing labels are as in grade(); a text without words stays unless most documents are toxic."""
     model = fitted(docs, labels, train_docs)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def toxic(texts: pa.Array) -> pa.Array:
         m = model.value
-        return pd.Series(m.at_least(list(texts))[:, 0] >= threshold if m else np.zeros(len(texts), bool))
+        return pa.array(m.at_least(_each(texts))[:, 0] >= threshold if m else np.zeros(len(texts), bool))
 
     return docs.filter(~toxic(text_bytes()))
